@@ -61,21 +61,21 @@ def hash_rank(
     each salt value (they are usually part of ``strata`` too).
     """
     strata = list(strata)
-    keyed = df.withColumn("__h", hash_key(seed, *salt, row_id)).withColumn("__b", F.substring("__h", 1, digits))
-    counts = keyed.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    keyed = df.withColumn("__hr_h", hash_key(seed, *salt, row_id)).withColumn("__bk", F.substring("__hr_h", 1, digits))
+    counts = keyed.groupBy(*strata, "__bk").agg(F.count(F.lit(1)).alias("__hr_c"))
     offsets = counts.select(
         *strata,
-        "__b",
-        F.coalesce(F.sum("__c").over(_before(strata, ["__b"])), F.lit(0)).alias("__off"),
-        F.sum("__c").over(_whole(strata)).alias("__n"),
+        "__bk",
+        F.coalesce(F.sum("__hr_c").over(_before(strata, ["__bk"])), F.lit(0)).alias("__hr_off"),
+        F.sum("__hr_c").over(_whole(strata)).alias("__hr_n"),
     )
-    inside = Window.partitionBy(*strata, "__b").orderBy("__h", row_id)
-    ranked = keyed.withColumn("__r", F.row_number().over(inside))
-    out = null_safe_join(ranked, offsets, [*strata, "__b"])
-    out = out.withColumn(rank, (F.col("__off") + F.col("__r")).cast("bigint"))
+    inside = Window.partitionBy(*strata, "__bk").orderBy("__hr_h", row_id)
+    ranked = keyed.withColumn("__hr_r", F.row_number().over(inside))
+    out = null_safe_join(ranked, offsets, [*strata, "__bk"])
+    out = out.withColumn(rank, (F.col("__hr_off") + F.col("__hr_r")).cast("bigint"))
     if size:
-        out = out.withColumn(size, F.col("__n").cast("bigint"))
-    return out.drop("__h", "__b", "__r", "__off", "__n")
+        out = out.withColumn(size, F.col("__hr_n").cast("bigint"))
+    return out.drop("__hr_h", "__bk", "__hr_r", "__hr_off", "__hr_n")
 
 
 def _bucket_of(value: Column, edges: Column) -> Column:
@@ -105,21 +105,21 @@ def running_totals(
     cells = df.groupBy(*by, order).agg(*[F.sum(col).alias(name) for name, col in sums.items()])
     if steps:
         edges = df.agg(F.array_distinct(F.percentile_approx(order, steps, 1000)).alias("e")).scalar()
-        cells = cells.withColumn("__e", edges).withColumn("__b", _bucket_of(F.col(order), F.col("__e"))).drop("__e")
+        cells = cells.withColumn("__e", edges).withColumn("__bk", _bucket_of(F.col(order), F.col("__e"))).drop("__e")
     else:
-        cells = cells.withColumn("__b", F.lit(0))
-    bucket_order = F.col("__b").desc() if descending else F.col("__b").asc()
+        cells = cells.withColumn("__bk", F.lit(0))
+    bucket_order = F.col("__bk").desc() if descending else F.col("__bk").asc()
     value_order = F.col(order).desc() if descending else F.col(order).asc()
-    totals = cells.groupBy(*by, "__b").agg(*[F.sum(name).alias(name) for name in names])
+    totals = cells.groupBy(*by, "__bk").agg(*[F.sum(name).alias(name) for name in names])
     offsets = totals.select(
         *by,
-        "__b",
+        "__bk",
         *[F.coalesce(F.sum(n).over(_before(by, [bucket_order])), F.lit(0)).alias(f"__off_{n}") for n in names],
         *[F.sum(n).over(_whole(by)).alias(f"{n}_total") for n in names],
     )
-    inside = Window.partitionBy(*by, "__b").orderBy(value_order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "__bk").orderBy(value_order).rowsBetween(Window.unboundedPreceding, 0)
     local = cells.select("*", *[F.sum(n).over(inside).alias(f"__in_{n}") for n in names])
-    joined = null_safe_join(local, offsets, [*by, "__b"])
+    joined = null_safe_join(local, offsets, [*by, "__bk"])
     return joined.select(
         *by,
         order,
@@ -143,7 +143,7 @@ def exact_quantiles(
 
     ``linear`` interpolates between order statistics; ``inverted_cdf`` returns
     an observed value. NULLs are ignored. ``weight`` gives integer row
-    multiplicities. ``extra`` aggregates (over ``column``, ``__c`` the count of
+    multiplicities. ``extra`` aggregates (over ``column``, ``__hr_c`` the count of
     a value) are computed in the same pass.
     """
     require(method in ("linear", "inverted_cdf"), f"unknown quantile method {method!r}")
@@ -151,10 +151,10 @@ def exact_quantiles(
         require(0.0 <= q <= 1.0, f"quantile {q} is outside [0, 1]")
     present = df.where(F.col(column).isNotNull())
     cells = running_totals(
-        present, column, {"__c": weight if weight is not None else F.lit(1)}, by=by, buckets=buckets
+        present, column, {"__hr_c": weight if weight is not None else F.lit(1)}, by=by, buckets=buckets
     )
-    total, upto = F.col("__c_total"), F.col("__c_cum")
-    before = upto - F.col("__c")
+    total, upto = F.col("__hr_c_total"), F.col("__hr_c_cum")
+    before = upto - F.col("__hr_c")
 
     def at(position: Column) -> Column:
         hit = (before <= position) & (position < upto)

@@ -11,6 +11,7 @@ from plumbline.functions import arrays as A
 from plumbline.functions.hashing import hash_int
 from plumbline.functions.ordering import hash_rank, null_safe_join, running_totals
 from plumbline.functions.scalars import safe_ratio
+from plumbline.functions.session import cut
 from plumbline.operators import metrics as M
 from plumbline.roles import require
 
@@ -57,7 +58,18 @@ def percentile_interval(values: DataFrame, by: Sequence[str], level: float = 0.9
     )
 
 
-def with_draws(df: DataFrame, draws: DataFrame, reps: int, row_id: str = "row_id") -> DataFrame:
+def point_and_interval(values: DataFrame, by: Sequence[str], level: float = 0.95) -> DataFrame:
+    """Estimate (replicate -1) and percentile interval (the others) in one aggregation."""
+    tail = (1 - level) / 2
+    boot = F.when(F.col("rep") != POINT, F.col("value"))
+    return values.groupBy(*by).agg(
+        F.max(F.when(F.col("rep") == POINT, F.col("value"))).alias("estimate"),
+        F.percentile(boot, F.lit(tail)).alias("ci_low"), F.percentile(boot, F.lit(1 - tail)).alias("ci_high"),
+        F.count(boot).alias("reps"),
+    )
+
+
+def with_draws(df: DataFrame, draws: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Rows with replicate weights ``c``: the drawn rows, and every row once as replicate -1."""
     point = df.withColumn("rep", F.lit(POINT)).withColumn("c", F.lit(1).cast("bigint"))
     drawn = df.join(draws, row_id)
@@ -72,10 +84,8 @@ def bootstrap_ci(
     check_bootstrap(reps, level)
     ids = df.select(row_id, *strata).distinct()
     draws = bootstrap_draws(ids, strata, reps, seed, row_id)
-    values = statistic(with_draws(df, draws, reps, row_id), ["rep"])
-    interval = percentile_interval(values.where(F.col("rep") != POINT), by, level)
-    point = values.where(F.col("rep") == POINT).select(*by, F.col("value").alias("estimate"))
-    return null_safe_join(point, interval, list(by), "left")
+    values = statistic(with_draws(df, draws, row_id), ["rep"])
+    return point_and_interval(values, by, level)
 
 
 def importance_ci(attr: DataFrame, reps: int, seed: object, level: float = 0.95) -> DataFrame:
@@ -88,7 +98,7 @@ def importance_ci(attr: DataFrame, reps: int, seed: object, level: float = 0.95)
 
 def bootstrap_scope_ap(df: DataFrame, draws: DataFrame, by: Sequence[str], group: str = "grp", row_id: str = "row_id") -> DataFrame:
     """``by, rep, scope, ap`` for replicates and the point (rep -1); all arms share the draws."""
-    weighted = with_draws(df, draws, 0, row_id)
+    weighted = with_draws(df, draws, row_id)
     return M.scope_ap(weighted, [*by, "rep"], group, weight=F.col("c"))
 
 
@@ -100,7 +110,8 @@ def metric_replicates(df: DataFrame, reps: int, seed: object, group: str = "grp"
     """
     rows = df.select("row_id", group, "y").distinct()
     draws = bootstrap_draws(rows, [group, "y"], reps, seed)
-    scoped = bootstrap_scope_ap(df, draws, ["arm", "seed"], group)
+    # arms x seeds x replicates x scopes rows: small, and read several times below
+    scoped = cut(bootstrap_scope_ap(df, draws, ["arm", "seed"], group))
     prev = M.prevalence(rows, group)
 
     def named(derived: DataFrame, by: list[str]) -> DataFrame:
@@ -282,7 +293,7 @@ def paired_tests(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     exact = F.least(F.lit(1.0), 2 * extreme / F.size(patterns))
     k = F.col("k")
     z = (F.col("wilcoxon_statistic") - k * (k + 1) / 4) / F.sqrt(k * (k + 1) * (2 * k + 1) / 24)
-    # erfc by the complementary error function series is not built in; use the logistic-free bound through exp
+    # two-sided normal p-value: the handbook's rational approximation of erfc, error below 2e-7
     x = F.abs(z) / F.sqrt(F.lit(2.0))
     u = 1 / (1 + 0.3275911 * x)
     poly = u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("contracts", "encoding")
+MODULES = ("sources", "contracts", "encoding", "metrics", "inference", "drift")
 
 
 def load_all() -> None:
