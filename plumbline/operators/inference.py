@@ -19,10 +19,12 @@ POINT = -1  # replicate number of the point estimate
 
 
 def bootstrap_draws(
-    df: DataFrame, strata: Sequence[str], reps: int, seed: object, row_id: str = "row_id"
+    df: DataFrame, strata: Sequence[str], reps: int, seed: object, row_id: str = "row_id", keep: Sequence[str] = ()
 ) -> DataFrame:
     """``(rep, row_id, c)``: how often each row is drawn, resampling inside each stratum.
 
+    ``keep`` names strata columns to return too, for row ids that repeat across strata.
+
     Every row is also a draw slot, so each replicate draws exactly the stratum's
     size. The draws are partitioned by (stratum, drawn rank), which a large
     stratum spreads over all tasks.
@@ -37,7 +39,7 @@ def bootstrap_draws(
     )
     counted = draws.repartition(*strata, "__hit").groupBy(*strata, "__hit", "rep").agg(F.count(F.lit(1)).alias("c"))
     rows = ranked.select(*strata, F.col("__rank").alias("__hit"), row_id)
-    return null_safe_join(counted, rows, [*strata, "__hit"]).select("rep", row_id, "c")
+    return null_safe_join(counted, rows, [*strata, "__hit"]).select(*keep, "rep", row_id, "c")
 
 
 def check_bootstrap(reps: int, level: float) -> None:

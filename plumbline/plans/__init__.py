@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "contracts", "encoding", "splits", "profile", "metrics", "inference", "drift")
+MODULES = ("sources", "contracts", "encoding", "splits", "profile", "metrics", "inference", "drift", "attribution")
 
 
 def load_all() -> None:
