@@ -6,68 +6,83 @@ the schema; everything is a narrow expression on the row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def average_ranks(a: Column) -> Column:
     """Ascending ranks from 1; ties share their mean rank."""
-    def rank(x: Column) -> Column:
-        lower = F.size(F.filter(a, lambda v: v < x))
-        same = F.size(F.filter(a, lambda v: v == x))
-        return lower + (same + 1) / F.lit(2.0)
+    def ranks(values: Column) -> Column:
+        def rank(x: Column) -> Column:
+            lower = F.size(F.filter(values, lambda v: v < x))
+            same = F.size(F.filter(values, lambda v: v == x))
+            return lower + (same + 1) / F.lit(2.0)
+
+        return F.transform(values, rank)
 
-    return F.transform(a, rank)
+    return let(a, ranks)
 
 
 def ordinal_ranks_desc(a: Column) -> Column:
     """0-based descending ranks; ties go to the lower position."""
-    def rank(x: Column, i: Column) -> Column:
-        return F.aggregate(
-            F.transform(a, lambda v, j: F.when((v > x) | ((v == x) & (j < i)), 1.0).otherwise(0.0)), F.lit(0.0), lambda acc, v: acc + v
+    def ranks(values: Column) -> Column:
+        return F.transform(
+            values, lambda x, i: F.size(F.filter(values, lambda v, j: (v > x) | ((v == x) & (j < i)))).cast("double")
         )
 
-    return F.transform(a, rank)
+    return let(a, ranks)
 
 
 def pearson(a: Column, b: Column) -> Column:
-    """Pearson correlation of two arrays; NULL when either is constant."""
-    n = F.size(a)
-    ma, mb = _total(a) / n, _total(b) / n
-    sab = _total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    saa = _total(F.transform(a, lambda x: (x - ma) * (x - ma)))
-    sbb = _total(F.transform(b, lambda y: (y - mb) * (y - mb)))
-    return F.when((saa > 0) & (sbb > 0), sab / F.sqrt(saa * sbb))
+    """Pearson correlation of two rank arrays in one pass; NULL when either is constant.
+
+    Ranks are multiples of one half, so the sums are exact.
+    """
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("n", "x", "y", "xx", "yy", "xy")])
+
+    def add(s: Column, z: Column) -> Column:
+        x, y = z["x"], z["y"]
+        return F.struct(
+            (s["n"] + 1.0).alias("n"), (s["x"] + x).alias("x"), (s["y"] + y).alias("y"),
+            (s["xx"] + x * x).alias("xx"), (s["yy"] + y * y).alias("yy"), (s["xy"] + x * y).alias("xy"),
+        )
+
+    def finish(s: Column) -> Column:
+        vx, vy = s["n"] * s["xx"] - s["x"] * s["x"], s["n"] * s["yy"] - s["y"] * s["y"]
+        return F.when((vx > 0) & (vy > 0), (s["n"] * s["xy"] - s["x"] * s["y"]) / F.sqrt(vx * vy))
+
+    return F.aggregate(F.arrays_zip(a.alias("x"), b.alias("y")), zero, add, finish)
 
 
 def is_constant(a: Column) -> Column:
-    return F.array_max(a) == F.array_min(a)
+    return let(a, lambda values: F.array_max(values) == F.array_min(values))
 
 
 def kendall_tau_b(a: Column, b: Column) -> Column:
     """Kendall's tau-b of two arrays; NULL when either is constant."""
-    pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
-
-    def over_pairs(term) -> Column:
-        inner = F.transform(
-            pairs,
-            lambda p, i: F.aggregate(
-                F.transform(pairs, lambda q, j: F.when(j > i, term(p, q)).otherwise(F.lit(0.0))), F.lit(0.0), lambda acc, v: acc + v
-            ),
-        )
-        return _total(inner)
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("num", "nx", "ny")])
+
+    def over(pairs: Column) -> Column:
+        # every ordered pair of positions: each unordered pair counts twice in all three sums
+        def outer(s: Column, p: Column) -> Column:
+            def inner(t: Column, q: Column) -> Column:
+                sx, sy = F.signum(p["x"] - q["x"]), F.signum(p["y"] - q["y"])
+                return F.struct((t["num"] + sx * sy).alias("num"), (t["nx"] + F.abs(sx)).alias("nx"), (t["ny"] + F.abs(sy)).alias("ny"))
 
-    def sign(p: Column, q: Column, name: str) -> Column:
-        return F.signum(p[name] - q[name])
+            return F.aggregate(pairs, s, inner)
+
+        return F.aggregate(
+            pairs, zero, outer, lambda s: F.when((s["nx"] > 0) & (s["ny"] > 0), s["num"] / F.sqrt(s["nx"] * s["ny"]))
+        )
 
-    num = over_pairs(lambda p, q: sign(p, q, "x") * sign(p, q, "y"))
-    nx = over_pairs(lambda p, q: F.abs(sign(p, q, "x")))
-    ny = over_pairs(lambda p, q: F.abs(sign(p, q, "y")))
-    return F.when((nx > 0) & (ny > 0), num / F.sqrt(nx * ny))
+    return let(F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z: F.struct(z["x"].cast("double").alias("x"), z["y"].cast("double").alias("y"))), over)
 
 
 def top_k_overlap(a: Column, b: Column, k: int) -> Column:
@@ -81,4 +96,4 @@ def top_k_overlap(a: Column, b: Column, k: int) -> Column:
 
 def argmax(a: Column) -> Column:
     """1-based position of the first largest entry."""
-    return F.array_position(a, F.array_max(a))
+    return let(a, lambda values: F.array_position(values, F.array_max(values)))

@@ -42,16 +42,24 @@ def _abs(values: Column) -> Column:
 
 def rank_corr(a: Column, b: Column) -> Column:
     """Correlation of ordinal ranks of absolute values; NULL when either is constant."""
-    x, y = _abs(a), _abs(b)
-    rho = A.pearson(A.ordinal_ranks_desc(x), A.ordinal_ranks_desc(y))
-    return F.when(~A.is_constant(x) & ~A.is_constant(y), rho)
+    def over(x: Column, y: Column) -> Column:
+        rho = A.pearson(A.ordinal_ranks_desc(x), A.ordinal_ranks_desc(y))
+        return F.when(~A.is_constant(x) & ~A.is_constant(y), rho)
+
+    return A.let(_abs(a), lambda x: A.let(_abs(b), lambda y: over(x, y)))
 
 
 def rank_corr_no_shared_zeros(a: Column, b: Column) -> Column:
     """Average-rank Spearman over features not zero in both; NULL when fewer than 3 remain or one is constant."""
-    zipped = F.filter(F.arrays_zip(_abs(a).alias("x"), _abs(b).alias("y")), lambda z: ~((z["x"] < SHARED_ZERO) & (z["y"] < SHARED_ZERO)))
-    x, y = F.transform(zipped, lambda z: z["x"]), F.transform(zipped, lambda z: z["y"])
-    return F.when(F.size(zipped) >= 3, A.pearson(A.average_ranks(x), A.average_ranks(y)))
+    informative = F.filter(
+        F.arrays_zip(_abs(a).alias("x"), _abs(b).alias("y")), lambda z: ~((z["x"] < SHARED_ZERO) & (z["y"] < SHARED_ZERO))
+    )
+
+    def over(zipped: Column) -> Column:
+        x, y = F.transform(zipped, lambda z: z["x"]), F.transform(zipped, lambda z: z["y"])
+        return F.when(F.size(zipped) >= 3, A.pearson(A.average_ranks(x), A.average_ranks(y)))
+
+    return A.let(informative, over)
 
 
 def instance_rank_corr(pairs: DataFrame, keys: Sequence[str] = ("row_id",)) -> DataFrame:
@@ -100,7 +108,7 @@ def _row_statistics(pairs: DataFrame) -> DataFrame:
 def summarize_agreement(pairs: DataFrame, m: int, by: Sequence[str] = ()) -> DataFrame:
     """Every point measure of two aligned attributions, per ``by``."""
     by = list(by)
-    keyed = _row_statistics(pairs if by else pairs.withColumn("__1", F.lit(1)))
+    keyed = cut(_row_statistics(pairs if by else pairs.withColumn("__1", F.lit(1))))
     keys = by or ["__1"]
     simple = keyed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col("rho") < 0.5).cast("double")).alias("share_below_half"),

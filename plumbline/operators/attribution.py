@@ -23,6 +23,15 @@ MAX_PLAYERS = 16
 MAX_REFERENCE = 100_000
 
 
+def spread_rows(df: DataFrame, row_id: str) -> DataFrame:
+    """Spread rows evenly over the session's shuffle partitions.
+
+    A row costs 2^M x reference model calls, so one shuffle of the narrow rows is
+    cheap beside the balance it buys when the input has few or uneven splits.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), row_id)
+
+
 def reference_scalar(reference: DataFrame, features: Sequence[str]) -> Column:
     """Distinct reference points with their weights as one array; its size is checked."""
     points = reference.groupBy(*[F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(features)]).agg(
@@ -53,12 +62,14 @@ def _bit(mask: Column, j: int) -> Column:
     return mask.bitwiseAND(F.lit(1 << j)) != 0
 
 
-def coalition_values(df: DataFrame, features: Sequence[str], reference: DataFrame, predict: Predict) -> DataFrame:
+def coalition_values(
+    df: DataFrame, features: Sequence[str], reference: DataFrame, predict: Predict, row_id: str = "row_id"
+) -> DataFrame:
     """Add ``v``: the value of every coalition, ``v[mask]`` with bit j for feature j."""
     m = len(features)
     require(1 <= m <= MAX_PLAYERS, f"exact coalitions need 1 to {MAX_PLAYERS} features, got {m}")
     xs = [F.col(f).cast("double") for f in features]
-    with_ref = df.withColumn("__ref", reference_scalar(reference, features))
+    with_ref = spread_rows(df, row_id).withColumn("__ref", reference_scalar(reference, features))
     values = F.transform(
         F.sequence(F.lit(0), F.lit((1 << m) - 1)),
         lambda mask: _hybrid_mean(xs, [_bit(mask, j) for j in range(m)], F.col("__ref"), predict),
@@ -112,7 +123,7 @@ def exact_shapley(
     df: DataFrame, features: Sequence[str], reference: DataFrame, predict: Predict, row_id: str = "row_id"
 ) -> DataFrame:
     """``(row_id, base_value, feature, value)`` against a reference distribution."""
-    valued = coalition_values(df, features, reference, predict).select(row_id, "v", F.get("v", 0).alias("base_value"))
+    valued = coalition_values(df, features, reference, predict, row_id).select(row_id, "v", F.get("v", 0).alias("base_value"))
     return _long(valued, [row_id, "base_value"], features, shapley_columns(len(features), F.col("v")))
 
 
@@ -134,7 +145,7 @@ def shapley_interactions(
 ) -> DataFrame:
     """``(row_id, feature_i, feature_j, value)``; the diagonal completes each row to its Shapley value."""
     m = len(features)
-    valued = coalition_values(df, features, reference, predict).select(row_id, "v")
+    valued = coalition_values(df, features, reference, predict, row_id).select(row_id, "v")
     pairs = interaction_columns(m, F.col("v"))
     named = valued.select(
         row_id, *[c.alias(f"p{i}_{j}") for (i, j), c in pairs.items()],
@@ -301,7 +312,7 @@ def removal_curves(
     m = len(features)
     xs = [F.col(f).cast("double") for f in features]
     packed = order.groupBy(*keys, row_id).agg(F.map_from_entries(F.collect_list(F.struct("feature", "rank"))).alias("__rank"))
-    joined = df.join(packed, row_id).withColumn("__ref", reference_scalar(reference, features))
+    joined = spread_rows(df.join(packed, row_id), row_id).withColumn("__ref", reference_scalar(reference, features))
     ranks = [F.col("__rank")[f] for f in features]
 
     def curve(keep: Callable[[Column, Column], Column]) -> Column:
