@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "contracts", "encoding", "splits", "profile", "metrics", "inference", "drift", "attribution")
+MODULES = (
+    "sources", "contracts", "encoding", "relational", "splits", "profile", "metrics", "inference", "drift", "models", "streaming", "attribution",
+)
 
 
 def load_all() -> None:
