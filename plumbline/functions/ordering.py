@@ -22,10 +22,7 @@ HASH_DIGITS = 3  # 16**3 buckets per stratum
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; right keys are dropped."""
-    if not keys:
-        keys = ["__one"]
-        joined = null_safe_join(left.withColumn("__one", F.lit(1)), right.withColumn("__one", F.lit(1)), keys, how)
-        return joined.drop("__one")
+    require(len(keys) > 0, "a join needs key columns")
     renamed = right
     for key in keys:
         renamed = renamed.withColumnRenamed(key, f"__r_{key}")

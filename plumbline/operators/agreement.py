@@ -108,6 +108,7 @@ def _row_statistics(pairs: DataFrame) -> DataFrame:
 def summarize_agreement(pairs: DataFrame, m: int, by: Sequence[str] = ()) -> DataFrame:
     """Every point measure of two aligned attributions, per ``by``."""
     by = list(by)
+    # a constant key makes the join below an ordinary equi-join on a stored column
     keyed = cut(_row_statistics(pairs if by else pairs.withColumn("__1", F.lit(1))))
     keys = by or ["__1"]
     simple = keyed.groupBy(*keys).agg(

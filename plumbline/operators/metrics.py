@@ -169,7 +169,8 @@ def derived_metrics(scope_values: DataFrame, prevalence: DataFrame, by: Sequence
         F.min("ap").alias("w"), F.min_by("scope", F.struct("ap", "scope")).alias("worst"),
         F.min(ap - prev).alias("w_ex"), F.min(ap / prev).alias("w_lift"),
     )
-    both = pooled.join(worst, by) if by else pooled.withColumn("__1", F.lit(1)).join(worst.withColumn("__1", F.lit(1)), "__1")
+    require(len(by) > 0, "derived metrics need at least one key column")
+    both = pooled.join(worst, by)
     top = both.select(
         *by,
         F.inline(F.array(
@@ -210,4 +211,4 @@ def fold_mean_ap(df: DataFrame, by: Sequence[str] = (), fold: str = "fold") -> D
     whole = average_precision(df, by).withColumnRenamed("ap", "concatenated_ap")
     if by:
         return means.join(whole, list(by))
-    return means.withColumn("__1", F.lit(1)).join(whole.withColumn("__1", F.lit(1)), "__1").drop("__1")
+    return means.withColumn("concatenated_ap", whole.scalar())

@@ -245,7 +245,11 @@ def latency_summary(df: DataFrame, latency: str, by: Sequence[str] = (), batch:
         F.max(latency).alias("max"), safe_ratio(F.sum(rows) * 1000.0, F.sum(latency)).alias("rows_per_second"),
     )
     points = exact_quantiles(df, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by=by)
-    joined = moments.join(points, list(by)) if by else moments.withColumn("__1", F.lit(1)).join(points.withColumn("__1", F.lit(1)), "__1").drop("__1")
+    if by:
+        joined = moments.join(points, list(by))
+    else:
+        one = points.select(F.struct("p50", "p95", "p99").alias("p")).scalar()
+        joined = moments.withColumn("__p", one).select("*", "__p.*").drop("__p")
     return joined.withColumns({"ci_low": F.col("mean") - F.col("half_width"), "ci_high": F.col("mean") + F.col("half_width")}).drop("half_width")
 
 

@@ -69,5 +69,5 @@ def group_ids(df: DataFrame, group: str = "grp", target: str | None = None, out:
         label = F.concat(label, F.lit("_"), F.col(target).cast("string"))
     labelled = df.withColumn("__label", label)
     names = labelled.select("__label").distinct()
-    table = names.select("__label", (F.row_number().over(Window.orderBy("__label")) - 1).alias(out))
+    table = names.select("__label", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__label")) - 1).alias(out))
     return null_safe_join(labelled, table, ["__label"]).drop("__label")

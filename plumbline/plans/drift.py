@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import unpivot_number
+from plumbline.functions.scalars import unpivot_text
 from plumbline.operators import drift as R
 from plumbline.plans.bindings import EVENTS, events, rounded, with_cte
 from plumbline.plans.registry import query
@@ -88,9 +88,11 @@ g AS (SELECT level AS label, CAST(row_number() OVER (ORDER BY level) - 1 AS INTE
 SELECT 'event_type' AS feature, g.bin, g.label, round(coalesce(c.n, 0) / sum(coalesce(c.n, 0)) OVER (), 6) AS share FROM g LEFT JOIN c USING (label)""")
 def r3(spark, sf):
     early, late = halves(spark, sf)
-    feature = F.lit("event_type").alias("feature")
-    levels = early.select(feature, F.col("event_type").alias("level")).distinct()
-    return rounded(R.categorical_shares(late.select(feature, F.col("event_type").alias("level")), levels, ["feature"]), "share")
+
+    def long(part):
+        return unpivot_text(part, [], ["event_type"]).withColumnRenamed("column", "feature")
+
+    return rounded(R.categorical_shares(long(late), long(early).distinct(), ["feature"]), "share")
 
 
 @query("r4_bin_labels", f"""

@@ -9,7 +9,7 @@ from plumbline.operators import resample
 from plumbline.operators import splits as D
 from plumbline.operators import weights as W
 from plumbline.plans.bindings import (
-    DOCS, EVENTS, SALES, arm_score, docs, events, rounded, sales, sql_arm_score, sql_key, table, with_cte,
+    DOCS, EVENTS, SALES, arm_score, docs, events, rounded, sales, sql_arm_score, sql_int, sql_key, table, with_cte,
 )
 from plumbline.plans.registry import query
 from plumbline.plans.splits import rank_sql
@@ -160,9 +160,6 @@ def a14(spark, sf):
     return rounded(A.total_variation(sales(spark, sf), ["priority", "segment"]), "distance")
 
 
-SMOTED = ["n_chars", "toxic"]
-
-
 def smoted(spark, sf):
     """Labelled documents with the rarer quality class oversampled on length and two one-hot language columns."""
     d = docs(spark, sf)
@@ -186,7 +183,18 @@ def a15(spark, sf):
     return A.resampling_balance(folded, after)
 
 
-@query("a16_blended_levels")
+BLEND_SQL = f"""bl AS (SELECT row_id, y, CAST(n_chars AS DOUBLE) AS a, CAST((grp = 'en')::INT AS DOUBLE) AS b, CAST((grp <> 'en')::INT AS DOUBLE) AS c FROM docs),
+sm AS (SELECT row_id, a, b, c, min(row_id) OVER (PARTITION BY a, b, c) AS gid, {rank_sql('', 'blend-base')} AS rk FROM bl WHERE y = 0),
+nn AS (SELECT x.row_id, z.b AS nb, z.c AS nc, row_number() OVER (PARTITION BY x.row_id ORDER BY sqrt((x.a - z.a) * (x.a - z.a) + (x.b - z.b) * (x.b - z.b) + (x.c - z.c) * (x.c - z.c)), z.gid, z.row_id) AS pos
+  FROM sm x JOIN sm z ON x.row_id <> z.row_id QUALIFY pos <= 5),
+sl AS (SELECT {rank_sql('', 'blend-slot')} AS slot FROM bl WHERE y <> 0),
+dr AS (SELECT slot, {sql_int('blend-draw', 'slot')} % (SELECT count(*) FROM sm) + 1 AS rk, {sql_int('blend-nbr', 'slot')} % 5 + 1 AS j,
+  ({sql_int('blend-u', 'slot')} % 1000000) / 1000000.0 AS u FROM sl WHERE slot <= (SELECT count(*) FROM sl) - (SELECT count(*) FROM sm)),
+al AS (SELECT b, c FROM bl UNION ALL SELECT s.b + u * (n.nb - s.b), s.c + u * (n.nc - s.c) FROM dr JOIN sm s USING (rk) JOIN nn n ON n.row_id = s.row_id AND n.pos = dr.j)"""
+
+
+@query("a16_blended_levels", with_cte(DOCS, BLEND_SQL) + """
+SELECT CASE WHEN b >= c THEN 'en' ELSE 'other' END AS dominant, count(*) AS n, count(*) FILTER (greatest(b, c) < 0.999) AS n_blended FROM al GROUP BY 1""")
 def a16(spark, sf):
     _, after = smoted(spark, sf)
     return A.blended_levels(after, {"en": "lang_en", "other": "lang_other"})
