@@ -87,13 +87,16 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     buckets: int = DEFAULT_BUCKETS,
+    edges_from: DataFrame | None = None,
 ) -> DataFrame:
     """Prefix sums over the distinct values of ``order``, peers together.
 
     Returns one row per (by, order) with, for every name in ``sums``, the cell
     value ``name``, the inclusive prefix sum ``name_cum`` and the group total
     ``name_total``. Bucket edges are approximate percentiles of ``order``:
-    they only balance the work, the sums are exact whatever the edges are.
+    they only balance the work, the sums are exact whatever the edges are. When
+    ``df`` is costly (resampled or exploded rows), ``edges_from`` names a cheaper
+    table with the same distribution of ``order``.
     """
     require(buckets >= 1, "buckets must be positive")
     by = list(by)
@@ -101,7 +104,7 @@ def running_totals(
     steps = [i / buckets for i in range(1, buckets)]
     cells = df.groupBy(*by, order).agg(*[F.sum(col).alias(name) for name, col in sums.items()])
     if steps:
-        edges = df.agg(F.array_distinct(F.percentile_approx(order, steps, 1000)).alias("e")).scalar()
+        edges = (df if edges_from is None else edges_from).agg(F.array_distinct(F.percentile_approx(order, steps, 1000)).alias("e")).scalar()
         cells = cells.withColumn("__e", edges).withColumn("__bk", _bucket_of(F.col(order), F.col("__e"))).drop("__e")
     else:
         cells = cells.withColumn("__bk", F.lit(0))
@@ -135,6 +138,7 @@ def exact_quantiles(
     weight: Column | None = None,
     extra: Sequence[Column] = (),
     buckets: int = DEFAULT_BUCKETS,
+    edges_from: DataFrame | None = None,
 ) -> DataFrame:
     """Exact quantiles per group through prefix sums over distinct values.
 
@@ -148,7 +152,8 @@ def exact_quantiles(
         require(0.0 <= q <= 1.0, f"quantile {q} is outside [0, 1]")
     present = df.where(F.col(column).isNotNull())
     cells = running_totals(
-        present, column, {"__hr_c": weight if weight is not None else F.lit(1)}, by=by, buckets=buckets
+        present, column, {"__hr_c": weight if weight is not None else F.lit(1)}, by=by, buckets=buckets,
+        edges_from=edges_from,
     )
     total, upto = F.col("__hr_c_total"), F.col("__hr_c_cum")
     before = upto - F.col("__hr_c")

@@ -143,7 +143,7 @@ def agreement_with_ci(
     )
     world = _importances(weighted, m, keys, c).select(*keys, *[col.alias(n) for n, col in _global_columns().items()])
     medians = [
-        exact_quantiles(weighted, source, {name: 0.5}, by=keys, weight=c)
+        exact_quantiles(weighted, source, {name: 0.5}, by=keys, weight=c, edges_from=keyed)
         for source, name in (("rho", "instance_spearman_median"), ("rho_nz", "instance_spearman_median_no_shared_zeros"))
     ]
     wide = simple.join(world, keys).join(medians[0], keys, "left").join(medians[1], keys, "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.ordering import exact_quantiles
 from plumbline.functions.scalars import unpivot_number, unpivot_text
+from plumbline.functions.session import cut
 from plumbline.operators.contracts import ContractError
 
 # Fixed values of the method.
@@ -160,18 +161,23 @@ def build_profile(
 ) -> DataFrame:
     """Reference shares per segment, feature and bin.
 
-    Levels are those of the whole reference, in every segment.
+    Levels are those of the whole reference, in every segment. The profile is
+    written once (checkpoint): it is small and every check reads it several times.
     """
     numbers, texts = long_features(df, categorical, numeric, score, group)
     keys = ["segment", "feature"]
-    edges = decile_edges(numbers, "value", keys)
+    # both tables are small (segments x features x bins or levels) and are read twice below
+    edges = cut(decile_edges(numbers, "value", keys))
+    level_counts = cut(texts.where("level IS NOT NULL").groupBy(*keys, "level").agg(F.count(F.lit(1)).alias("n")))
     by_number = numeric_shares(numbers, edges, keys, "ref_share").withColumn("kind", F.lit("numeric"))
-    present = texts.select(*keys).distinct()
-    pooled_levels = texts.where(F.col("segment") == POOLED).select("feature", "level").where("level IS NOT NULL").distinct()
-    by_level = categorical_shares(texts, present.join(pooled_levels, "feature"), keys, "ref_share")
+    pooled_levels = level_counts.where(F.col("segment") == POOLED).select("feature", "level")
+    grid = categorical_grid(level_counts.select(*keys).distinct().join(pooled_levels, "feature"), keys)
+    labelled = level_counts.withColumnRenamed("level", "label")
+    counts = grid.join(labelled, [*keys, "label"]).select(*keys, "bin", "n")
+    by_level = _shares(grid, counts, keys, "ref_share")
     by_level = by_level.withColumns({"kind": F.lit("categorical"), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
     columns = [*keys, "kind", "bin", "lo", "hi", "label", "ref_share"]
-    return by_number.select(*columns).unionByName(by_level.select(*columns))
+    return cut(by_number.select(*columns).unionByName(by_level.select(*columns)))
 
 
 def segment_rates(df: DataFrame, positive: Column, group: str | None) -> DataFrame:

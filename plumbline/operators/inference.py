@@ -101,7 +101,7 @@ def importance_ci(attr: DataFrame, reps: int, seed: object, level: float = 0.95)
 def bootstrap_scope_ap(df: DataFrame, draws: DataFrame, by: Sequence[str], group: str = "grp", row_id: str = "row_id") -> DataFrame:
     """``by, rep, scope, ap`` for replicates and the point (rep -1); all arms share the draws."""
     weighted = with_draws(df, draws, row_id)
-    return M.scope_ap(weighted, [*by, "rep"], group, weight=F.col("c"))
+    return M.scope_ap(weighted, [*by, "rep"], group, weight=F.col("c"), edges_from=df)
 
 
 def metric_replicates(df: DataFrame, reps: int, seed: object, group: str = "grp") -> tuple[DataFrame, DataFrame]:

@@ -57,11 +57,16 @@ def threshold_metrics(df: DataFrame, threshold: Column | float, by: Sequence[str
     return counted.select(*by, *[c.alias(n) for n, c in _threshold_columns().items()])
 
 
-def ranking_cells(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None, score: str = "score") -> DataFrame:
-    """Per distinct score, descending: ``pos``/``neg`` mass, prefix sums and totals."""
+def ranking_cells(
+    df: DataFrame, by: Sequence[str] = (), weight: Column | None = None, score: str = "score", edges_from: DataFrame | None = None
+) -> DataFrame:
+    """Per distinct score, descending: ``pos``/``neg`` mass, prefix sums and totals.
+
+    ``edges_from``: the rows before resampling or scope copies, when ``df`` holds many copies of them.
+    """
     w = F.lit(1) if weight is None else weight
     sums = {"pos": w * F.col("y"), "neg": w * (1 - F.col("y"))}
-    return running_totals(df, score, sums, by=by, descending=True)
+    return running_totals(df, score, sums, by=by, descending=True, edges_from=edges_from)
 
 
 def _ap() -> Column:
@@ -77,17 +82,21 @@ def _auc() -> Column:
     return safe_ratio(wins, F.sum("pos") * F.sum("neg"))
 
 
-def average_precision(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
-    return ranking_cells(df, by, weight).groupBy(*by).agg(_ap().alias("ap"))
+def average_precision(
+    df: DataFrame, by: Sequence[str] = (), weight: Column | None = None, edges_from: DataFrame | None = None
+) -> DataFrame:
+    return ranking_cells(df, by, weight, edges_from=edges_from).groupBy(*by).agg(_ap().alias("ap"))
 
 
 def roc_auc(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     return ranking_cells(df, by, weight).groupBy(*by).agg(_auc().alias("roc_auc"))
 
 
-def ranking_metrics(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
+def ranking_metrics(
+    df: DataFrame, by: Sequence[str] = (), weight: Column | None = None, edges_from: DataFrame | None = None
+) -> DataFrame:
     """``ap`` and ``roc_auc`` from one pass over the cells."""
-    return ranking_cells(df, by, weight).groupBy(*by).agg(_ap().alias("ap"), _auc().alias("roc_auc"))
+    return ranking_cells(df, by, weight, edges_from=edges_from).groupBy(*by).agg(_ap().alias("ap"), _auc().alias("roc_auc"))
 
 
 def pr_curve(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -127,7 +136,7 @@ def metrics_by_group(df: DataFrame, threshold: Column | float, group: str = "grp
     """All metrics for the pooled scope and each group, within each ``by`` cell."""
     keys = [*by, "scope"]
     scoped = spread_scopes(df, group)
-    return threshold_metrics(scoped, threshold, keys).join(ranking_metrics(scoped, keys), keys)
+    return threshold_metrics(scoped, threshold, keys).join(ranking_metrics(scoped, keys, edges_from=df), keys)
 
 
 def to_long(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -142,9 +151,11 @@ def summarize(long: DataFrame, by: Sequence[str], digits: int = 3) -> DataFrame:
     return out.withColumn("text", mean_pm_std(F.col("mean"), F.col("std"), digits))
 
 
-def scope_ap(df: DataFrame, by: Sequence[str], group: str = "grp", weight: Column | None = None) -> DataFrame:
+def scope_ap(
+    df: DataFrame, by: Sequence[str], group: str = "grp", weight: Column | None = None, edges_from: DataFrame | None = None
+) -> DataFrame:
     """AP of the pooled scope and of every group."""
-    return average_precision(spread_scopes(df, group), [*by, "scope"], weight)
+    return average_precision(spread_scopes(df, group), [*by, "scope"], weight, df if edges_from is None else edges_from)
 
 
 def derived_metrics(scope_values: DataFrame, prevalence: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -164,7 +164,7 @@ def loco(spark, sf):
     base = rows.select("row_id", "grp", "y").distinct()
     draws = B.bootstrap_draws(base, ["grp", "y"], REPS, "loco")
     weighted = B.with_draws(rows, draws)
-    ap = cut(M.average_precision(weighted, ["grp", "arm", "seed", "rep"], F.col("c")))
+    ap = cut(M.average_precision(weighted, ["grp", "arm", "seed", "rep"], F.col("c"), edges_from=rows))
     ap = ap.withColumnRenamed("grp", "held_out").withColumn("metric", F.lit("P"))
     boot = ap.groupBy("held_out", "arm", "rep", "metric").agg(F.avg("ap").alias("value"))
     per_seed = ap.where(F.col("rep") == B.POINT).select("held_out", "arm", "seed", "metric", F.col("ap").alias("value"))
