@@ -8,9 +8,10 @@ Parquet and reread as the next one's docs. All but the last return the columns o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.functions.session import cut
-from plumbline.llm import quality_rules
+from plumbline.llm import near_dedup, quality_rules
 from plumbline.llm.common import read_table
 
 #: The verdicts need 64-bit hashes and tokenizers that SQL lacks; the tests hold the stages against brute force.
@@ -23,7 +24,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]), trusted).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", rules)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of each component that names it; links as in op5. Five words and 0.8 are the stage's bounds."""
+    gone = near_dedup.near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+STAGES = [("quality rules", rules), ("near duplicates", near_copies)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
