@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.session import cut
-from plumbline.llm import near_dedup, quality_rules
+from plumbline.llm import decontaminate, near_dedup, quality_rules
 from plumbline.llm.common import read_table
 
 #: The verdicts need 64-bit hashes and tokenizers that SQL lacks; the tests hold the stages against brute force.
@@ -30,7 +30,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("quality rules", rules), ("near duplicates", near_copies)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Test passages are cut out; documents that consist of them by more than half go."""
+    clean = decontaminate.remove_items(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return _recounted(clean)
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
+STAGES = [("quality rules", rules), ("near duplicates", near_copies), ("decontamination", without_benchmark)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,28 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterabl
     return df.mapInArrow(run, target)
 
 
+def add_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, *inputs: Column) -> DataFrame:
+    """df with the columns of `schema` added; fn gets the inputs by alias, as lists, a batch at a time.
+
+    Other columns pass as Arrow data, whatever their types; a clashing one is replaced.
+    """
+    new = T._parse_datatype_string(schema)
+    kept = [c for c in df.columns if c not in new.names]
+    arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in new.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = b.column(len(kept)).flatten()
+            got = fn({f.name: v.to_pylist() for f, v in zip(b.schema.field(len(kept)).type, values)})
+            yield pa.RecordBatch.from_arrays(
+                [b.column(i) for i in range(len(kept))] + [pa.array(got[f.name], f.type) for f in arrow],
+                names=kept + arrow.names,
+            )
+
+    source = df.select(*[df[f"`{c}`"] for c in kept], F.struct(*inputs).alias("__in"))
+    return source.mapInArrow(run, T.StructType([df.schema[c] for c in kept] + new.fields))
+
+
 def _arrow_type(t: T.DataType) -> pa.DataType:
     if isinstance(t, T.ArrayType):
         return pa.list_(_arrow_type(t.elementType))

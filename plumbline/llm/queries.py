@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import near_dedup, quality_rules
+from plumbline.llm import decontaminate, near_dedup, quality_rules
 from plumbline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,33 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 """)
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_ITEM_WORDS = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+
+
+@query("op6_decontaminate", f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ITEM_WORDS}) AS ws FROM documents),
+    i AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ITEM_WORDS}) AS ws FROM benchmark),
+    sizes AS (SELECT DISTINCT least(len(ws), 10) AS k FROM i WHERE len(ws) > 0),
+    iw AS (
+        SELECT DISTINCT item_id, k, array_to_string(list_slice(ws, p, p + k - 1), ' ') AS x
+        FROM (SELECT item_id, ws, least(len(ws), 10) AS k, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS p FROM i WHERE len(ws) > 0)
+    ),
+    dw AS (
+        SELECT doc_id, k, p, array_to_string(list_slice(ws, p, p + k - 1), ' ') AS x
+        FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d JOIN sizes ON len(ws) >= k)
+    ),
+    m AS (SELECT doc_id, item_id, p, k FROM dw JOIN iw USING (k, x)),
+    hits AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS w FROM m) GROUP BY doc_id),
+    its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) GROUP BY doc_id)
+    SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
+""")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
