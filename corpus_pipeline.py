@@ -7,11 +7,12 @@ Parquet and reread as the next one's docs. All but the last return the columns o
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.session import cut
-from plumbline.llm import decontaminate, near_dedup, quality_rules
+from plumbline.llm import decontaminate, near_dedup, packing, quality_rules
 from plumbline.llm.common import read_table
 
 #: The verdicts need 64-bit hashes and tokenizers that SQL lacks; the tests hold the stages against brute force.
@@ -40,7 +41,15 @@ def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
 
 
-STAGES = [("quality rules", rules), ("near duplicates", near_copies), ("decontamination", without_benchmark)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece with its place in a sequence."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", rules), ("near duplicates", near_copies), ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
