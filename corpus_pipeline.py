@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.session import cut
-from plumbline.llm import decontaminate, near_dedup, packing, quality_rules
+from plumbline.llm import decontaminate, near_dedup, packing, pii, quality_rules
 from plumbline.llm.common import read_table
 
 #: The verdicts need 64-bit hashes and tokenizers that SQL lacks; the tests hold the stages against brute force.
@@ -41,6 +41,11 @@ def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
 
 
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; every document stays."""
+    return _recounted(pii.redact(docs)).select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece with its place in a sequence."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -48,7 +53,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", rules), ("near duplicates", near_copies), ("decontamination", without_benchmark),
-    ("packing", packed),
+    ("personal data", redacted), ("packing", packed),
 ]
 
 
