@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, near_dedup, packing, pii, quality_rules
+from plumbline.llm import decontaminate, near_dedup, packing, pii, quality_rules, token_counts
 from plumbline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,18 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [pii.count_of(F.col("base"), rank).alias(f"n_{kind}") for rank, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its tokens, those of each kind of section, and the allocation to single sections."""
+    counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+    def total(kind: str) -> Column:
+        return F.aggregate(F.filter("sections", lambda s: s["kind"] == kind), F.lit(0).cast("bigint"), lambda a, s: a + s["n_tokens"])
+
+    return counted.select(
+        "doc_id", "n_tokens", "between", *[total(k).alias(f"{k}_tokens") for k in token_counts.KINDS],
+        F.aggregate("sections", F.lit(0).cast("bigint"), lambda a, s: a + s["crossing"]).alias("crossing"),
+        F.size("sections").cast("bigint").alias("n_sections"), "sections",
+    )

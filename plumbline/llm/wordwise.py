@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
-_CACHED_WORDS = 1_500_000
+_CACHED_WORDS = 300_000
+_TEXTS_AT_ONCE = 128
 #: Letters of Latin-1: NFC leaves them, and each has one lower-case letter in the same block.
 _PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
@@ -35,7 +37,11 @@ class WordTokenizer:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        for at in range(0, len(texts), _TEXTS_AT_ONCE):
+            yield from self._encode(texts[at : at + _TEXTS_AT_ONCE])
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         split = [None if b"<|" in t else t.lower().split() for t in texts]
         if len(self.words) > _CACHED_WORDS:
             self.words.clear()
