@@ -12,11 +12,14 @@ Buckets are never expanded into all pairs:
 1. every class is compared with one class only, the most central among those that
    share a bucket with it (most central: the largest sum of its buckets' sizes);
 2. verified links give components; only buckets that still hold several components
-   go on, and there the members outside the bucket's largest component are compared
-   with members of other components. Pairs inside a component can't change it.
-Every candidate pair passes a likelihood-ratio test on its registers (the joint
-likelihood of the counts of larger, smaller and equal registers given both sizes);
-what is left is confirmed on the full sets.
+   go on. There each member outside the bucket's largest component is compared with
+   the likeliest of one member of that component per bucket, twice;
+3. what is still outside is compared with all members of other components, each pair
+   in its first common bucket only. Pairs inside a component can't change it.
+A pair goes on if the registers' likelihood leaves the similarity possible: in 1 the
+joint likelihood of the counts of larger, smaller and equal registers given both
+sizes, in 2 and 3 that of the count of equal ones (three bits of each), a condition of
+the join itself. What is left is confirmed on the full sets.
 
 Defined results: texts without words have an empty set, link with nothing and are
 their own component. A NULL doc_id never names a component unless all its members
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.session import cut
@@ -37,6 +40,9 @@ from plumbline.llm.graph import components
 BANDS, ROWS = 56, 6
 M = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
+#: bit planes of register bits, and 64-bit words of each
+PLANES, WORDS = 3, -(-M // 64)
+STAR_ROUNDS = 2
 #: Log-likelihood by which "below the similarity" must beat it for a pair to be dropped unseen: a chance of about e^-20.
 MARGIN = 20.0
 _CACHED_WORDS = 1_000_000
@@ -106,18 +112,58 @@ def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return map_batches(keyed, run, "k bigint, h bigint, n_shingles bigint, c binary, sketch binary")
 
 
+def _bucket(raw: bytes, band: int) -> int:
+    return xxhash.xxh64_intdigest(raw[2 * ROWS * band : 2 * ROWS * (band + 1)], seed=band) - (1 << 63)
+
+
 def bands(classes: DataFrame) -> DataFrame:
-    """(bucket, c): a row for each class and band."""
+    """(bucket, band, c): a row for each class and band."""
 
     def run(batches):
         for b in batches:
-            keys = []
+            yield {
+                "bucket": [_bucket(raw, k) for raw in b["sketch"] for k in range(BANDS)], "band": [*range(BANDS)] * len(b["c"]),
+                "c": [c for c in b["c"] for _ in range(BANDS)],
+            }
+
+    return map_batches(classes.select("c", "sketch"), run, "bucket bigint, band int, c binary")
+
+
+def signs(classes: DataFrame) -> DataFrame:
+    """(c, n, bits, keys): three bits of each register in PLANES bit planes, and 32 bits of each bucket."""
+
+    def run(batches):
+        for b in batches:
+            bits, keys = [], []
             for raw in b["sketch"]:
-                for k in range(BANDS):
-                    keys.append(xxhash.xxh64_intdigest(raw[2 * ROWS * k : 2 * ROWS * (k + 1)], seed=k) - (1 << 63))
-            yield {"bucket": keys, "c": [c for c in b["c"] for _ in range(BANDS)]}
+                mixed = np.frombuffer(raw, "<u2") * np.uint16(0x9E37) >> np.uint16(13)
+                planes = np.zeros((PLANES, 64 * WORDS), np.uint8)
+                planes[:, :M] = (mixed >> np.arange(PLANES, dtype=np.uint16)[:, None]) & np.uint16(1)
+                bits.append(np.packbits(planes, axis=1).view(">i8").ravel().tolist())
+                keys.append([(_bucket(raw, k) & 0xFFFFFFFF) - (1 << 31) for k in range(BANDS)])
+            yield {"c": b["c"], "n": b["n"], "bits": bits, "keys": keys}
+
+    return map_batches(classes.select("c", "n", "sketch"), run, "c binary, n bigint, bits array<bigint>, keys array<int>")
+
+
+def equal_registers(x: Column, y: Column) -> Column:
+    """How many registers agree in their bits."""
+    total = F.lit(M - 64 * WORDS)
+    for w in range(WORDS):
+        differ = [F.get(x, F.lit(p * WORDS + w)).bitwiseXOR(F.get(y, F.lit(p * WORDS + w))) for p in range(PLANES)]
+        total = total + F.bit_count(F.bitwise_not(differ[0].bitwiseOR(differ[1]).bitwiseOR(differ[2])))
+    return total
 
-    return map_batches(classes.select("c", "sketch"), run, "bucket bigint, c binary")
+
+def fewest_equal(percent: int) -> float:
+    """Equal registers that a pair of the least similarity has but for a chance of 2e-8."""
+    p = percent / 100 + (1 - percent / 100) / 2**PLANES
+    return M * p - 5.5 * (M * p * (1 - p)) ** 0.5
+
+
+def _possible(x: str, y: str, percent: int) -> Column:
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (equal_registers(F.col(f"{x}.bits"), F.col(f"{y}.bits")) >= fewest_equal(percent))
 
 
 def likely(n_a: np.ndarray, n_b: np.ndarray, larger: np.ndarray, smaller: np.ndarray, threshold: float) -> np.ndarray:
@@ -191,6 +237,29 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return map_batches(joined, run, "u binary, v binary")
 
 
+def _mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, band, c, root, top) of the members of buckets with several components; top is the largest."""
+    placed = cut(
+        members.join(roots.withColumnRenamed("node", "c"), "c", "left").select("bucket", "band", "c", F.coalesce("root", "c").alias("root"))
+    )
+    largest = (
+        placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        .groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+        .select("bucket", F.col("top.root").alias("top"))
+    )
+    return cut(placed.join(largest, "bucket"))
+
+
+def _likeliest(mixed: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each member outside its bucket's top, the likeliest of one member of each bucket's top."""
+    chosen = mixed.where("root = top").groupBy("bucket").agg(F.max(F.struct(F.xxhash64("c"), "c")).alias("y")).select("bucket", F.col("y.c").alias("yc"))
+    x = mixed.where("root <> top").select("bucket", "c").join(chosen, "bucket").select("c", "yc").distinct().join(signed, "c").alias("x")
+    y = signed.withColumnRenamed("c", "yc").alias("y")
+    equal = equal_registers(F.col("x.bits"), F.col("y.bits"))
+    best = x.join(y, (F.col("x.yc") == F.col("y.yc")) & _possible("x", "y", percent)).groupBy("x.c").agg(F.max(F.struct(equal, "y.yc")).alias("m"))
+    return best.select(F.col("m.yc").alias("a"), F.col("c").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of `docs`."""
     rows = cut(sketch(docs, key, text, size))
@@ -200,7 +269,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     ))
     banded = bands(classes)
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(banded.join(shared, "bucket"))
+    members = cut(banded.join(shared, "bucket"))  # (bucket, band, c, size)
     central = members.groupBy("c").agg(F.sum("size").alias("s"))
     ranked = cut(members.join(central, "c").select("bucket", "c", "s"))
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("s", "c")).alias("p"))
@@ -213,26 +282,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         .join(classes.select("c", "row"), F.col("k").eqNullSafe(F.col("row.k")) & (F.col("h") == F.col("row.h"))).select("c", "t")
     )
     links = cut(confirm(cut(likely_pairs(first, classes, percent / 100)), texts, size, percent))
-    roots = components(links)
-    placed = cut(
-        members.select("bucket", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
-        .select("bucket", "c", F.coalesce("root", "c").alias("root"))
-    )
-    largest = (
-        placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        .groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
-        .select("bucket", F.col("top.root").alias("top"))
+    signed = cut(signs(classes.join(members.select("c").distinct(), "c", "left_semi")))
+    for _ in range(STAR_ROUNDS):
+        mixed = _mixed_buckets(members, components(links))
+        tried = cut(_likeliest(mixed, signed, percent))
+        links = cut(links.unionByName(confirm(tried, texts, size, percent)))
+    mixed = _mixed_buckets(members, components(links))
+    x = mixed.where("root <> top").join(signed, "c").alias("x")
+    y = mixed.join(signed, "c").alias("y")
+    earlier = F.exists(
+        F.zip_with(F.slice("x.keys", F.lit(1), F.col("x.band")), F.slice("y.keys", F.lit(1), F.col("x.band")), lambda a, b: a == b), lambda e: e,
     )
-    mixed = cut(placed.join(largest, "bucket"))
-    outside = mixed.where("root <> top").select("bucket", F.col("c").alias("x"), F.col("root").alias("rx"))
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = cut(
-        outside.join(mixed, "bucket").where("rx <> root and (root = top or x < c)")
-        .select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
-        .join(tried, ["a", "b"], "left_anti")
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
+               & ((F.col("y.root") == F.col("y.top")) | (F.col("x.c") < F.col("y.c"))) & _possible("x", "y", percent) & ~earlier)
+        .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     )
-    more = confirm(cut(likely_pairs(rest, classes, percent / 100)), texts, size, percent)
-    roots = components(links.unionByName(more))
+    roots = components(links.unionByName(confirm(rest, texts, size, percent)))
     rooted = cut(
         classes.select("c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left")
         .select("c", "least", F.coalesce("root", "c").alias("root"))
