@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, near_dedup, packing, pii, quality_rules, token_counts
+from plumbline.llm import decontaminate, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts
 from plumbline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate("sections", F.lit(0).cast("bigint"), lambda a, s: a + s["crossing"]).alias("crossing"),
         F.size("sections").cast("bigint").alias("n_sections"), "sections",
     )
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"), "quality"))
