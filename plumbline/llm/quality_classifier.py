@@ -29,9 +29,10 @@ BUCKETS = 1 << 17
 DIMENSION = 8
 SIZES = (3, 4, 5)
 SAMPLE = 1500
-EPOCHS = 5
+EPOCHS = 4
 RATE = 0.5
 SEED = 17
+STEP = 16
 THRESHOLD = 0.3
 _CACHED_WORDS = 500_000
 AGAIN = b"\0"
@@ -116,8 +117,8 @@ def train(texts: list[bytes], labels: list[int], prior: float, buckets: int = BU
             p[label] -= 1.0
             gradient = weights.T @ p
             weights -= lr * np.outer(p, hidden)
-            # the mean's gradient, as long as the vectors themselves: each cell takes its share
-            vectors[at] -= (lr * len(at)) * np.outer(share, gradient) if len(at) < 64 else (lr * 64.0) * np.outer(share, gradient)
+            # a mean's gradient is small in every cell; the step is scaled by their number, up to a bound
+            vectors[at] -= (lr * min(len(at), STEP)) * np.outer(share, gradient)
     positive = sum(r[2] for r in rows)
     sampled = np.log(max(positive, 0.5) / max(len(rows) - positive, 0.5))
     return Model(vectors, weights, prior, prior - float(sampled))
