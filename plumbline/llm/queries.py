@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts
+from plumbline.llm import decontaminate, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts
 from plumbline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_classifier.score(docs, quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"), "quality"))
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
