@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts
+from plumbline.llm import capture_index, decontaminate, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts
 from plumbline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,20 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_lm_scoring")
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_capture_index", """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s FROM p),
+    f AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY s, n) ELSE page_id END AS first FROM d)
+    SELECT page_id, n::BIGINT AS payload_bytes, s AS payload_digest,
+        CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+    FROM f
+""")
+def op8_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = capture_index.archive_and_read(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select(
+        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), "refers_to",
+    )
