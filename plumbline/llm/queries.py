@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import capture_index, decontaminate, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts
+from plumbline.llm import capture_index, decontaminate, html_extract, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts
 from plumbline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,9 @@ def op8_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), "refers_to",
     )
+
+
+@query("op1_html_extract")
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
