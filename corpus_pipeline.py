@@ -22,9 +22,7 @@ ORACLE_SQL = None
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
-    judged = quality_rules.quality_rules(docs, trusted)
-    # a row number keeps the filter above the projection: pushed below, it would repeat each statistic at every use
-    return judged.withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0").select(*docs.columns)
+    return quality_rules.quality_rules(docs, trusted).where("kept").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

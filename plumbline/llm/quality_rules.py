@@ -98,6 +98,10 @@ def with_base(df: DataFrame, text: str) -> DataFrame:
     )
 
 
+#: what `judge` adds
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
+
+
 def _bigrams(h2: str) -> Column:
     return F.slice(h2, F.lit(1), F.greatest(F.size(h2) - 1, F.lit(0)))
 
@@ -135,13 +139,16 @@ def judge(
         return F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.get(table, F.pmod(h, F.lit(buckets)).cast("int")))
     n_grams = F.greatest(2 * F.size("_w") - 1, F.lit(1))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return (
+    judged = (
         with_base(with_hashes(docs, text), text)
         .withColumn("llr", (total(F.col("_h1")) + total(_bigrams("_h2"))) / n_grams)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-        .drop("_w", "_h1", "_h2")
     )
+    # A row number (never negative) makes the result indeterminate to the optimizer. Else a later filter
+    # on a statistic would be pushed down, with the statistic's whole computation at each of its uses.
+    result = F.when(F.monotonically_increasing_id() >= 0, F.struct(*STATISTICS)).alias("_result")
+    return judged.select(*[c for c in docs.columns if c not in STATISTICS], result).select("*", "_result.*").drop("_result")
 
 
 def mark_trusted(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -151,7 +158,9 @@ def mark_trusted(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id") -
     return docs.join(F.broadcast(ids) if small else ids, F.col(key) == F.col("_tid"), "left").drop("_tid")
 
 
-def quality_rules(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS,
+) -> DataFrame:
     """Fit on `docs` with the ids of the trusted target, then judge every row."""
-    ratios = fit_log_ratios(mark_trusted(docs.select(key, text), trusted_ids, key), F.col("_trusted"), text)
+    ratios = fit_log_ratios(mark_trusted(docs.select(key, text), trusted_ids, key), F.col("_trusted"), text, buckets)
     return judge(docs, ratios, text, threshold)
