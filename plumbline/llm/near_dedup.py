@@ -45,7 +45,7 @@ PLANES, WORDS = 3, -(-M // 64)
 STAR_ROUNDS = 2
 #: Log-likelihood by which "below the similarity" must beat it for a pair to be dropped unseen: a chance of about e^-20.
 MARGIN = 20.0
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 150_000
 _ODD = (np.random.default_rng(7).integers(1, 2**32, M, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
