@@ -19,10 +19,6 @@ from plumbline.operators.attribution import importance_share, mean_abs_importanc
 from plumbline.operators.profile import association_matrix
 
 SHARED_ZERO = 1e-9
-METRICS = (
-    "global_spearman", "global_kendall", "top3_overlap", "top5_overlap", "instance_spearman_median",
-    "instance_spearman_median_no_shared_zeros", "same_top_feature_share", "sign_agreement_share",
-)
 
 
 def pack(attr: DataFrame, name: str, keys: Sequence[str] = ("row_id",), position: str = "feature") -> DataFrame:
@@ -147,7 +143,7 @@ def agreement_with_ci(
         for source, name in (("rho", "instance_spearman_median"), ("rho_nz", "instance_spearman_median_no_shared_zeros"))
     ]
     wide = simple.join(world, keys).join(medians[0], keys, "left").join(medians[1], keys, "left")
-    cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in METRICS])
+    cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in wide.columns if n not in keys])
     long = wide.select(*keys, F.inline(cells))
     return B.point_and_interval(long, [*by, "metric"], level)
 

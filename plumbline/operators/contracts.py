@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.hashing import hash_key
 from plumbline.functions.scalars import unpivot_text
 from plumbline.roles import require
 
@@ -144,12 +143,18 @@ def vocabulary_diff(schema_levels: DataFrame, data_levels: DataFrame) -> DataFra
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free content hash: row count and the sum of 32-bit row hashes as text."""
-    row_hash = F.conv(F.substring(hash_key("row", *columns), 1, 8), 16, 10).cast("decimal(20,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("content_hash"),
-    )
+    """Order-free content hash: row count and two sums of 60-bit row hashes as text.
+
+    A value counts with its length in front and NULL as a mark of its own, so that
+    neither separators nor empty texts make different rows alike.
+    """
+    cells = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("N")) for c in columns]
+    key = F.md5(F.concat(*cells))
+
+    def total(start: int) -> Column:
+        return F.coalesce(F.sum(F.conv(F.substring(key, start, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", total(1), total(17)).alias("content_hash"))
 
 
 def check_fingerprint(df: DataFrame, columns: Sequence[str], stored: tuple[int, str]) -> DataFrame:

@@ -26,7 +26,7 @@ POOLED = "all"
 SCORE_FEATURE = "prediction_score"
 MIN_SAMPLES = 500
 MAX_MALFORMED = 0.01
-STATUS_CODES = {"stable": 0, "moderate": 10, "significant": 20, "insufficient_data": 30}
+STATUS_CODES = {"stable": 0, "moderate": 10, "significant": 20, "insufficient_data": 30, "no_reference": 40}
 
 DECILES = {f"d{i}": i / 10 for i in range(1, 10)}
 
@@ -221,9 +221,17 @@ def feature_drift(
     profile: DataFrame, recent: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
     score: str | None = None, group: str | None = None,
 ) -> DataFrame:
-    """Drift of recent rows against a profile, for every segment, largest PSI first."""
+    """Drift of recent rows against a profile, for every segment, largest PSI first.
+
+    Segments and features that the profile lacks come last, without PSI and with
+    status ``no_reference``.
+    """
+    keys = ["segment", "feature"]
     numbers, texts = long_features(recent, categorical, numeric, score, group)
-    return drift_from_counts(profile, recent_counts(profile, numbers, texts)).orderBy(F.desc("psi"), "segment", "feature")
+    known = drift_from_counts(profile, recent_counts(profile, numbers, texts))
+    unknown = numbers.select(*keys).unionByName(texts.select(*keys)).distinct().join(profile.select(*keys).distinct(), keys, "left_anti")
+    both = known.unionByName(unknown.withColumn("status", F.lit("no_reference")), allowMissingColumns=True)
+    return both.orderBy(F.desc_nulls_last("psi"), "segment", "feature")
 
 
 def drift_verdict(
@@ -235,7 +243,7 @@ def drift_verdict(
         code = F.when(F.col("status") == status, value).otherwise(code)
     worst = drift.withColumn("code", code).groupBy("segment").agg(F.max("code").alias("code"), F.max_by("status", "code").alias("status"), F.max("psi").alias("max_psi"))
     rates = recent_rates.select("segment", F.col("n").alias("n_recent"), F.col("positive_rate").alias("recent_positive_rate")).join(
-        reference_rates.select("segment", F.col("positive_rate").alias("reference_positive_rate")), "segment"
+        reference_rates.select("segment", F.col("positive_rate").alias("reference_positive_rate")), "segment", "left"
     )
     joined = rates.join(worst, "segment", "left")
     enough = F.col("n_recent") >= min_samples

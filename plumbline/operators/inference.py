@@ -263,14 +263,11 @@ def t_two_sided_p(t: Column, dof: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - inside)
 
 
-MAX_EXACT_PAIRS = 16
-
-
 def paired_tests(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Paired t and Wilcoxon signed-rank over aligned fold scores (``keys``, ``value``).
 
-    The Wilcoxon p-value enumerates all sign patterns up to 16 non-zero
-    differences and uses the normal approximation beyond.
+    The Wilcoxon p-value is exact for any number of pairs, ties included: a
+    recurrence counts the sign patterns by their rank sum.
     """
     joined = a.select(*keys, F.col("value").alias("__a")).join(b.select(*keys, F.col("value").alias("__b")), list(keys))
     diffs = joined.select((F.col("__a") - F.col("__b")).alias("d"))
@@ -285,22 +282,14 @@ def paired_tests(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     total = F.aggregate("ranks", F.lit(0.0), lambda acc, x: acc + x)
     table = table.withColumn("w_plus", plus).withColumn("w_total", total).withColumn("k", F.size("ds"))
     table = table.withColumn("wilcoxon_statistic", F.least(F.col("w_plus"), F.col("w_total") - F.col("w_plus")))
-    patterns = F.sequence(F.lit(0), (F.pow(F.lit(2), F.least(F.col("k"), F.lit(MAX_EXACT_PAIRS))) - 1).cast("int"))
-
-    def pattern_sum(mask: Column) -> Column:
-        chosen = F.transform("ranks", lambda r, i: F.when(mask.bitwiseAND(F.expr("1").cast("int") * F.pow(F.lit(2), i).cast("int")) != 0, r).otherwise(F.lit(0.0)))
-        return F.aggregate(chosen, F.lit(0.0), lambda acc, x: acc + x)
-
-    extreme = F.size(F.filter(patterns, lambda mask: pattern_sum(mask) <= F.col("wilcoxon_statistic") + 1e-9))
-    exact = F.least(F.lit(1.0), 2 * extreme / F.size(patterns))
-    k = F.col("k")
-    z = (F.col("wilcoxon_statistic") - k * (k + 1) / 4) / F.sqrt(k * (k + 1) * (2 * k + 1) / 24)
-    # two-sided normal p-value: the handbook's rational approximation of erfc, error below 2e-7
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    u = 1 / (1 + 0.3275911 * x)
-    poly = u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429))))
-    normal = poly * F.exp(-x * x)
-    table = table.withColumn("wilcoxon_p_value", F.when(k <= MAX_EXACT_PAIRS, exact).otherwise(normal))
+    # Of the 2^k sign patterns, how many have each sum of (doubled, so whole) ranks: a rank r adds the counts r places down.
+    doubled = F.transform("ranks", lambda r: F.round(2 * r).cast("int"))
+    size = F.round(2 * F.col("w_total")).cast("int")
+    none = F.transform(F.sequence(F.lit(0), size), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    counts = F.aggregate(doubled, none, lambda acc, r: F.transform(acc, lambda x, i: x + F.when(i >= r, F.get(acc, i - r)).otherwise(0.0)))
+    low = F.slice(counts, F.lit(1), F.round(2 * F.col("wilcoxon_statistic")).cast("int") + 1)
+    extreme = F.aggregate(low, F.lit(0.0), lambda acc, x: acc + x)
+    table = table.withColumn("wilcoxon_p_value", F.least(F.lit(1.0), 2 * extreme / F.pow(F.lit(2.0), F.col("k"))))
     return table.select("n", "t_statistic", "t_p_value", "wilcoxon_statistic", "wilcoxon_p_value")
 
 

@@ -345,7 +345,6 @@ def run_arms(
     """
     spark = df.sparkSession
     rows = cut(df)
-    groups = sorted(row["grp"] for row in rows.select("grp").distinct().limit(MAX_GROUPS).collect())
     tuned: dict[tuple, dict] = {}
     for design in designs:
         for seed in seeds:
@@ -353,9 +352,10 @@ def run_arms(
                 folded = cut(stratified_folds(rows, ["grp", "y"], k, seed))
                 n_folds = k
             else:
-                names = F.array(*[F.lit(g) for g in groups])
-                folded = rows.withColumn("fold", (F.array_position(names, F.col("grp")) - 1).cast("int"))
-                n_folds = len(groups)
+                # one row per group; each is a fold, and so a model fit of its own
+                numbered = cut(rows.select(F.col("grp").alias("__g")).distinct().withColumn("fold", F.row_number().over(Window.orderBy("__g")) - 1))
+                folded = cut(rows.join(numbered, F.col("grp").eqNullSafe(F.col("__g"))).drop("__g"))
+                n_folds = numbered.count()
             for arm in arms:
                 plan = spark.createDataFrame([(design, arm.name, seed, f) for f in range(n_folds)], "design string, arm string, seed int, fold int")
                 todo = [row["fold"] for row in artifacts.pending(plan, artifacts.manifest(spark, path)).collect()]

@@ -69,8 +69,8 @@ def smote(
     """Original rows and interpolated minority rows up to a 1:1 class ratio.
 
     Adds ``is_synthetic``; synthetic rows have a NULL row id. A synthetic row lies
-    between a drawn minority row and one of its ``k`` nearest minority rows. Use it
-    on a training part only.
+    between a drawn minority row and one of its ``k`` nearest minority rows; with
+    fewer than ``k`` the job fails. Use it on a training part only.
     """
     require(k >= 1, "k must be positive")
     rows = df.select(row_id, target, *[F.col(c).cast("double").alias(c) for c in features])
@@ -99,7 +99,8 @@ def smote(
         return F.struct((acc["seen"] + item["copies"]).alias("seen"), F.when(hit, item["y"]).otherwise(acc["y"]).alias("y"))
 
     found = F.aggregate(F.coalesce("ns", F.array().cast("array<struct<pos:int,copies:bigint,y:array<double>>>")), start, walk)["y"]
-    other = F.coalesce(F.when(rest >= 1, found), F.col("x"))
+    few = F.raise_error(F.lit(f"fewer than {k} minority neighbours to interpolate with")).cast("array<double>")
+    other = F.when(rest >= 1, F.coalesce(found, few)).otherwise(F.col("x"))
     made = met.withColumn("__y", other).withColumn("__z", F.zip_with("x", "__y", lambda a, b: a + F.col("u") * (b - a)))
     synthetic = made.select(
         F.lit(None).cast("bigint").alias(row_id), F.lit(minority).alias(target),

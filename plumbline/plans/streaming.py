@@ -103,10 +103,18 @@ def t3_stream(spark, sf):
     return shown(TD.window_drift(ref, counts))
 
 
-@query("t4_stream_counters", "SELECT 'written' AS counter, count(*) AS n FROM events UNION ALL SELECT 'late', CAST(0 AS BIGINT)")
+T4_SINCE = "2024-01-08"
+T4_EVENT = "timestamp string, model_version string, probability double"
+
+
+@query("t4_stream_counters", with_cte(EVENTS) + f"""
+, o AS (SELECT CASE WHEN row_id % 97 = 0 THEN 'malformed' WHEN row_id % 31 = 0 THEN 'other_version' WHEN ts < TIMESTAMP '{T4_SINCE}' THEN 'late' ELSE 'written' END AS counter FROM ev)
+SELECT c.counter, count(o.counter) AS n FROM (SELECT unnest(['written', 'late', 'malformed', 'other_version']) AS counter) c LEFT JOIN o USING (counter) GROUP BY ALL""")
 def t4(spark, sf):
-    stream = S.prediction_events(event_stream(spark, sf).withColumn("score", F.col("value") / 1000.0), ["event_type", "k"], "v1", 0.05)
-    q = T.stream_log_sink(stream, scratch_path(spark, "stream-log"), scratch_path(spark, "checkpoint"))
-    q.awaitTermination()
-    rows = [("written", T.observed_counts(q, "log").get("written", 0)), ("late", T.late_rows(q))]
-    return spark.createDataFrame(rows, "counter string, n bigint")
+    """The log of the events, with every 97th line cut off and every 31st of another model version."""
+    cells = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.when(F.col("row_id") % 31 == 0, "v0").otherwise("v1").alias("model_version"), (F.col("value") / 1000.0).alias("probability"))
+    text = F.to_json(cells)
+    lines = event_stream(spark, sf).select(F.when(F.col("row_id") % 97 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value"))
+    path = scratch_path(spark, "counted-log")
+    T.stream_counted_log(lines, T4_EVENT, "v1", T4_SINCE, path, scratch_path(spark, "checkpoint")).awaitTermination()
+    return T.stream_counters(spark, path)

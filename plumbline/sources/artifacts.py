@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.session import cut
 from plumbline.operators.contracts import ContractError, check_attribution
 
 UNIT = ["design", "arm", "seed", "fold"]
@@ -35,18 +36,15 @@ def write_oof(scores: DataFrame, path: str, seconds: float = 0.0, device: str =
     """Write score rows of one or more units, then their commit marks.
 
     A lost job leaves no mark, so its units stay pending; rewriting a unit
-    replaces its partition.
+    replaces its partition and its mark.
     """
-    spark = scores.sparkSession
-    (
-        scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*UNIT).parquet(f"{path}/scores")
-    )
-    written = spark.read.parquet(f"{path}/scores").join(scores.select(*UNIT).distinct(), UNIT, "left_semi")
-    marks = written.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("val_rows")).select(
+    stored = cut(scores)  # scored once: for the rows and for the marks
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*UNIT).parquet(f"{path}/scores")
+    marks = stored.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("val_rows")).select(
         F.col("design").cast("string"), F.col("arm").cast("string"), F.col("seed").cast("int"), F.col("fold").cast("int"),
         F.lit(float(seconds)).alias("seconds"), F.lit(device).alias("device"), "val_rows",
     )
-    marks.write.mode("append").parquet(f"{path}/manifest")
+    marks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*UNIT).parquet(f"{path}/manifest")
 
 
 def read_oof(
@@ -54,15 +52,16 @@ def read_oof(
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, excluded arms): only arms with every fold committed, covering every row exactly once per seed.
 
-    Wrong coverage fails the job that reads the scores.
+    Rows of units without a mark are not read. Wrong coverage raises.
     """
     done = manifest(spark, path).where((F.col("design") == design) & F.col("arm").isin(list(arms)))
     counted = done.select(*UNIT).distinct().groupBy("arm").agg(F.count(F.lit(1)).alias("n_folds"))
     wanted = spark.createDataFrame([(a,) for a in arms], "arm string")
     listed = wanted.join(counted, "arm", "left").withColumn("n_folds", F.coalesce("n_folds", F.lit(0)))
     complete = listed.where(F.col("n_folds") == n_seeds * n_folds).select("arm")
-    scores = spark.read.parquet(f"{path}/scores").where(F.col("design") == design).join(complete, "arm", "left_semi")
-    return scores, listed.where(F.col("n_folds") != n_seeds * n_folds)
+    marked = done.join(complete, "arm", "left_semi").select(*UNIT).distinct()
+    scores = spark.read.parquet(f"{path}/scores").where(F.col("design") == design).join(marked, UNIT, "left_semi")
+    return check_coverage(scores, row_ids), listed.where(F.col("n_folds") != n_seeds * n_folds)
 
 
 def coverage_report(scores: DataFrame, row_ids: DataFrame) -> DataFrame:

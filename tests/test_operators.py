@@ -78,14 +78,14 @@ def test_empty_sample_has_no_shares(spark):
 
 
 def test_same_population_has_no_drift_and_a_shift_is_found(spark):
-    rows = [(i, 25.0 if i % 2 else 40.0, "No" if i % 10 < 3 else "Yes", 0.9 if i % 10 < 2 else 0.1) for i in range(1000)]
+    rows = [(i, float(18 + i * 7 % 53), ("None", "Own", "Shared")[i * i % 3], (i * 13 % 100) / 100) for i in range(1200)]
     schema = "row_id long, age double, phone string, p double"
     base = frame(spark, rows, schema)
     profile = R.build_profile(base, ["phone"], ["age"], "p")
     same = R.feature_drift(profile, base, ["phone"], ["age"], "p").collect()
     assert {r["feature"] for r in same} == {"phone", "age", R.SCORE_FEATURE}
     assert all(r["psi"] == pytest.approx(0.0) and r["status"] == "stable" for r in same)
-    moved = base.withColumn("phone", F.lit("No"))
+    moved = base.withColumn("phone", F.lit("Shared"))
     drift = R.feature_drift(profile, moved, ["phone"], ["age"], "p")
     top = drift.first()
     assert (top["feature"], top["status"]) == ("phone", "significant")
@@ -100,11 +100,16 @@ def test_same_population_has_no_drift_and_a_shift_is_found(spark):
 # --- metrics ----------------------------------------------------------------
 
 def brute_ap(y, s, w):
-    order = np.argsort(-s, kind="stable")
-    y, s, w = y[order], s[order], w[order]
-    ends = np.r_[np.flatnonzero(np.diff(s)), len(s) - 1]
-    tp, fp = np.cumsum(w * y)[ends], np.cumsum(w * (1 - y))[ends]
-    return float((np.diff(tp, prepend=0) * np.where(tp + fp > 0, tp / np.maximum(tp + fp, 1), 0)).sum() / tp[-1])
+    """From the definition: at each threshold, what it adds to the recall times the precision there."""
+    positives = sum(b for a, b in zip(y, w) if a == 1)
+    total, recall = 0.0, 0.0
+    for threshold in sorted(set(s.tolist()), reverse=True):
+        chosen = [(a, b) for a, c, b in zip(y, s, w) if c >= threshold]
+        hit, all_ = sum(b for a, b in chosen if a == 1), sum(b for _, b in chosen)
+        if all_:
+            total += (hit / positives - recall) * hit / all_
+            recall = hit / positives
+    return float(total)
 
 
 @pytest.fixture(scope="module")
@@ -261,6 +266,49 @@ def test_neighbours_match_brute_force(spark, pivots):
         assert np.allclose(np.sort(part.dist), expected[i])
 
 
+def test_smote_fails_with_too_few_neighbours(spark):
+    df = frame(spark, [(i, int(i < 2), float(i), 1.0) for i in range(20)], "row_id long, y int, a double, b double")
+    with pytest.raises(Exception, match="fewer than 5 minority neighbours"):
+        resample.smote(df, ["a", "b"], 5, "s").collect()
+
+
+def test_unknown_segment_stays_in_the_report(spark):
+    base = frame(spark, [(i, "a", float(i % 7), "x") for i in range(200)], "row_id long, g string, v double, t string")
+    profile = R.build_profile(base, ["t"], ["v"], group="g")
+    recent = base.withColumn("g", F.when(F.col("row_id") < 100, "a").otherwise("new"))
+    got = {(r["segment"], r["feature"]): r["status"] for r in R.feature_drift(profile, recent, ["t"], ["v"], group="g").collect()}
+    assert got[("new", "v")] == got[("new", "t")] == "no_reference" and got[("a", "v")] != "no_reference"
+    rates = [R.segment_rates(d, F.col("v") > 3, "g") for d in (base, recent)]
+    verdict = {r["segment"]: r["status"] for r in R.drift_verdict(R.feature_drift(profile, recent, ["t"], ["v"], group="g"), *rates, min_samples=10).collect()}
+    assert verdict["new"] == "no_reference"
+
+
+def test_fingerprint_tells_nulls_and_separators_apart(spark):
+    def mark(*rows):
+        return tuple(C.fingerprint(frame(spark, list(rows), "a string, b string"), ["a", "b"]).first())
+
+    assert len({mark((None, "x")), mark(("", "x")), mark(("p|q", "r")), mark(("p", "q|r")), mark(("1:p", "r"))}) == 5
+    assert mark(("a", "b"), ("c", "d")) == mark(("c", "d"), ("a", "b"))
+
+
+@pytest.mark.parametrize("n", [5, 20, 50])
+def test_wilcoxon_is_exact_at_any_size(spark, n):
+    values = [((-1) ** (i % 3)) * (i + 1 + (i % 4 == 0)) for i in range(n)]
+    a = frame(spark, [(i, float(v)) for i, v in enumerate(values)], "fold int, value double")
+    got = B.paired_tests(a, a.withColumn("value", F.lit(0.0)), ["fold"]).first()
+    size = np.abs(values)
+    ranks = [float(np.mean([i + 1 for i, v in enumerate(sorted(size)) if v == x])) for x in size]
+    statistic = min(sum(r for r, v in zip(ranks, values) if v > 0), sum(r for r, v in zip(ranks, values) if v < 0))
+    ways = {0.0: 1}
+    for r in ranks:
+        more = dict(ways)
+        for total, c in ways.items():
+            more[total + r] = more.get(total + r, 0) + c
+        ways = more
+    exact = min(1.0, 2 * sum(c for total, c in ways.items() if total <= statistic) / 2**n)
+    assert got["wilcoxon_statistic"] == pytest.approx(statistic) and got["wilcoxon_p_value"] == pytest.approx(exact)
+
+
 def test_smote_balances_and_keeps_the_originals(spark):
     rng = np.random.default_rng(4)
     rows = [(i, int(i < 30), float(rng.normal()), float(i % 2)) for i in range(120)]

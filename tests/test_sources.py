@@ -140,8 +140,8 @@ def test_late_rows_are_counted(spark, folder):
         q.awaitTermination()
         return q
 
-    assert TS.late_rows(run()) == 0
+    assert TS.dropped_rows(run().recentProgress) == 0
     batch(["2026-01-01 01:00:00", "2026-02-20 00:00:00"], "two")
-    assert TS.late_rows(run()) > 0
+    assert TS.dropped_rows(run().recentProgress) > 0
     counts = spark.read.parquet(f"{folder}/out")
     assert {str(r["window_start"])[:10] for r in counts.select("window_start").distinct().collect()} >= {"2026-01-01", "2026-01-20"}
