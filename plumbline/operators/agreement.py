@@ -108,7 +108,7 @@ def summarize_agreement(pairs: DataFrame, m: int, by: Sequence[str] = ()) -> Dat
     keyed = cut(_row_statistics(pairs if by else pairs.withColumn("__1", F.lit(1))))
     keys = by or ["__1"]
     simple = keyed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col("rho") < 0.5).cast("double")).alias("share_below_half"),
+        F.count(F.lit(1)).alias("n"), F.avg((F.round("rho", 12) < 0.5).cast("double")).alias("share_below_half"),
         F.avg("same_top").alias("same_top_feature_share"), (F.sum("n_same_sign") / F.sum("n_nonzero")).alias("sign_agreement_share"),
         F.avg("abs_diff").alias("mean_abs_difference"), F.avg("shared_zeros").alias("mean_shared_zero_features"),
     )

@@ -255,7 +255,7 @@ rs AS (SELECT {', '.join('t.' + k.strip() for k in ks.split(','))}, r1.rho AS rh
 r AS (SELECT *, rank() OVER (ORDER BY ia) AS ra, rank() OVER (ORDER BY ib) AS rb, row_number() OVER (ORDER BY ia DESC) AS ta, row_number() OVER (ORDER BY ib DESC) AS tb FROM i),
 k AS (SELECT sum(sign(x.ia - z.ia) * sign(x.ib - z.ib)) / sqrt(sum(abs(sign(x.ia - z.ia))) * sum(abs(sign(x.ib - z.ib)))) AS tau FROM i x JOIN i z ON x.feature < z.feature),
 g AS (SELECT corr(ra, rb) AS s, count(*) FILTER (ta <= 3 AND tb <= 3) / 3.0 AS t3, count(*) FILTER (ta <= 5 AND tb <= 5) / 5.0 AS t5 FROM r)
-SELECT count(*) AS n, round(avg((rho < 0.5)::INT), 6) AS share_below_half, round(avg(same_top), 6) AS same_top_feature_share, round(sum(ss) / sum(nz), 6) AS sign_agreement_share,
+SELECT count(*) AS n, round(avg((round(rho, 12) < 0.5)::INT), 6) AS share_below_half, round(avg(same_top), 6) AS same_top_feature_share, round(sum(ss) / sum(nz), 6) AS sign_agreement_share,
   round(avg(ad), 6) AS mean_abs_difference, round(avg(sz), 6) AS mean_shared_zero_features, round(quantile_cont(rho, 0.25), 6) AS q25, round(median(rho), 6) AS median, round(quantile_cont(rho, 0.75), 6) AS q75,
   round(any_value(g.s), 6) AS global_spearman, round(any_value(k.tau), 6) AS global_kendall, round(any_value(g.t3), 6) AS top3_overlap, round(any_value(g.t5), 6) AS top5_overlap FROM rs, g, k""")
 def e15(spark, sf):
