@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.scalars import unpivot_text
+from plumbline.functions.session import scratch_path
 from plumbline.operators import drift as R
+from plumbline.operators import drift_check as K
 from plumbline.plans.bindings import EVENTS, events, rounded, with_cte
 from plumbline.plans.registry import query
+from plumbline.sources import prediction_log as S
 
 # The early events are the reference; the late ones lose most low-k signups and gain an unseen level.
 EARLY_SQL = """early AS (SELECT *, 'u' || (user_id % 4) AS ug FROM ev WHERE ts < TIMESTAMP '2024-01-20'),
@@ -180,6 +184,45 @@ def r10(spark, sf):
     return rounded(verdict, "reference_positive_rate", "recent_positive_rate", "max_psi")
 
 
+SINCE = "2024-01-26"
+RECENT_SQL = f""", late AS (SELECT * FROM late0 WHERE k % 10 <> 0 AND ts >= TIMESTAMP '{SINCE}')"""
+LAST_SQL = ", late AS (SELECT * FROM late0 WHERE k % 10 <> 0 ORDER BY date_trunc('millisecond', ts) DESC, row_id::VARCHAR DESC LIMIT 800)"
+CHECK_SQL = """
+, rr AS (SELECT avg((value >= 50)::INT) AS r FROM early), rc AS (SELECT count(*) AS n, avg((value >= 50)::INT) AS r FROM late),
+w AS (SELECT max(psi) AS max_psi, max(CASE status WHEN 'stable' THEN 0 WHEN 'moderate' THEN 10 ELSE 20 END) AS code FROM drift WHERE segment = 'all')
+SELECT 'v1' AS model_version, 'all' AS segment, rc.n AS n_recent, round(rr.r, 6) AS reference_positive_rate, round(rc.r, 6) AS recent_positive_rate,
+  CASE WHEN n >= 500 THEN round(max_psi, 6) END AS max_psi,
+  CASE WHEN n < 500 THEN 'insufficient_data' WHEN code = 0 THEN 'stable' WHEN code = 10 THEN 'moderate' ELSE 'significant' END AS status,
+  CASE WHEN n >= 500 THEN code ELSE 30 END AS code, (SELECT count(*) + 3 FROM late0) AS lines_read, CAST(3 AS BIGINT) AS malformed,
+  (SELECT count(*) FROM late0 WHERE k % 10 = 0 {window}) AS other_model_versions FROM rc, rr, w"""
+LOGGED = EARLY_SQL.replace("late AS (", "late0 AS (")
+
+
+def logged_check(spark, sf, **window):
+    """Late events as a prediction log, every tenth k of another model version, three lines cut off; checked against the early events."""
+    early, late = halves(spark, sf)
+    events_of = S.prediction_events(late.withColumn("score", F.col("value")), ["event_type", "ug", "k"], "v1", 50.0)
+    events_of = events_of.withColumn("model_version", F.when(F.col("features.k") % 10 == 0, "v0").otherwise("v1"))
+    path = scratch_path(spark, "drift-log")
+    S.append_predictions(events_of, path)
+    broken = spark.createDataFrame([('{"timestamp": "2024-01-2',)] * 3, "value string")
+    lines = S.log_lines(spark, path).select("value").unionByName(broken)
+    reference = K.build_reference(early, CATEGORICAL, NUMERIC, "value", F.col("value") >= 50, "v1", "ug")
+    features = T._parse_datatype_string("event_type string, ug string, k bigint")
+    report, _ = K.drift_check(lines, features, reference, **window)
+    return rounded(report, "reference_positive_rate", "recent_positive_rate", "max_psi")
+
+
+@query("r11_drift_check", with_cte(EVENTS, LOGGED + RECENT_SQL, PROFILE_SQL, DRIFT_SQL) + CHECK_SQL.format(window=f"AND ts >= TIMESTAMP '{SINCE}'"))
+def r11(spark, sf):
+    return logged_check(spark, sf, since=SINCE)
+
+
+@query("r11_drift_check_last_n", with_cte(EVENTS, LOGGED + LAST_SQL, PROFILE_SQL, DRIFT_SQL) + CHECK_SQL.format(window=""))
+def r11_last_n(spark, sf):
+    return logged_check(spark, sf, n=800)
+
+
 @query("w9_last_n", "SELECT event_id AS row_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 250")
 def w9(spark, sf):
     return R.last_n(events(spark, sf), 250).select("row_id", "event_type", "value")

@@ -145,3 +145,29 @@ def test_late_rows_are_counted(spark, folder):
     assert TS.dropped_rows(run().recentProgress) > 0
     counts = spark.read.parquet(f"{folder}/out")
     assert {str(r["window_start"])[:10] for r in counts.select("window_start").distinct().collect()} >= {"2026-01-01", "2026-01-20"}
+
+
+def test_drift_check_refuses_and_counts(spark):
+
+    from plumbline.operators import drift_check as K
+
+    base = spark.createDataFrame([(i, ("x", "y")[i % 2], float(i % 11), (i % 10) / 10, "ab"[i % 2]) for i in range(600)], "row_id long, t string, v double, p double, g string")
+    reference = K.build_reference(base, ["t", "g"], ["v"], "p", F.col("p") >= 0.5, "v1", "g")
+    with pytest.raises(C.ContractError):
+        K.build_reference(base.limit(10), ["t", "g"], ["v"], "p", F.col("p") >= 0.5, "v1", "g", expected=reference.data)
+    event = F.to_json(F.struct(
+        F.concat(F.lit("2024-02-01T00:"), F.lpad((F.col("row_id") % 60).cast("string"), 2, "0"), F.lit(":00Z")).alias("timestamp"), F.col("row_id").cast("string").alias("request_id"),
+        F.when(F.col("row_id") % 6 == 0, "v0").otherwise("v1").alias("model_version"), F.struct("t", "g", "v").alias("features"), F.col("p").alias("probability"),
+        F.when(F.col("p") >= 0.5, "Yes").otherwise("No").alias("prediction"),
+    ))
+    lines = base.select(event.alias("value"))
+    features = T._parse_datatype_string("t string, g string, v double")
+    report = K.drift_check(lines, features, reference, segment="a", min_samples=50)[0].first()
+    assert (report["segment"], report["lines_read"], report["malformed"], report["other_model_versions"], report["n_recent"]) == ("a", 600, 0, 100, 200)
+    assert K.drift_check(lines, features, reference, any_version=True)[0].first()["n_recent"] == 600
+    assert K.drift_check(lines, features, reference, n=100)[0].first()["status"] == "insufficient_data"
+    assert K.drift_check(lines, features, reference, since="2030-01-01")[0].first()["n_recent"] == 0
+    with pytest.raises(C.ContractError):
+        K.drift_check(lines, features, reference, segment="c")
+    with pytest.raises(Exception, match="malformed"):
+        K.drift_check(lines.unionByName(spark.createDataFrame([("{",)] * 50, "value string")), features, reference)[0].collect()
