@@ -40,9 +40,11 @@ AGAIN = b"\0"
 
 def subwords(word: bytes, buckets: int = BUCKETS) -> list[int]:
     """Cells of the word and of its character n-grams; < and > mark its ends."""
-    marked = "<" + word.decode("utf-8", "replace") + ">"
-    grams = {marked, *(marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1))}
-    return sorted({zlib.crc32(g.encode("utf-8", "replace")) % buckets for g in grams})
+    marked = b"<" + word + b">"
+    # bytes of plain ASCII are its characters
+    whole = marked if word.isascii() else marked.decode("utf-8", "replace")
+    grams = {whole, *(whole[i : i + n] for n in SIZES for i in range(len(whole) - n + 1))}
+    return sorted({zlib.crc32(g if isinstance(g, bytes) else g.encode("utf-8", "replace")) % buckets for g in grams})
 
 
 def stream(text: bytes) -> list[bytes]:
@@ -62,14 +64,16 @@ class Model:
 
     def __post_init__(self):
         self.shares: dict[bytes, float] = {}
+        #: each cell's part in the difference of the two classes' outputs
+        self.cells = (self.vectors.astype(np.float64) @ (self.weights[1] - self.weights[0]).astype(np.float64)).tolist()
 
     def share(self, word: bytes) -> float:
         """The word's part in the difference of the two classes' outputs."""
         if word not in self.shares:
             if len(self.shares) >= _CACHED_WORDS:
                 self.shares.clear()
-            vector = self.vectors[subwords(word, len(self.vectors))].mean(0, dtype=np.float64)
-            self.shares[word] = float(vector @ (self.weights[1] - self.weights[0]))
+            own = subwords(word, len(self.cells))
+            self.shares[word] = sum(self.cells[c] for c in own) / len(own)
         return self.shares[word]
 
     def score(self, text: bytes) -> float:
@@ -91,19 +95,19 @@ def train(texts: list[bytes], labels: list[int], prior: float, buckets: int = BU
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / dimension, 1 / dimension, (buckets, dimension)).astype(np.float32)
     weights = np.zeros((2, dimension), np.float32)
-    cells: dict[bytes, list[int]] = {}
+    cells: dict[bytes, np.ndarray] = {}
     rows = []
     for text, label in zip(texts, labels):
         words = stream(text)
         if not words:
             continue
-        share: dict[int, float] = {}
         for w in words:
             if w not in cells:
-                cells[w] = subwords(w, buckets)
-            for c in cells[w]:
-                share[c] = share.get(c, 0.0) + 1.0 / (len(words) * len(cells[w]))
-        rows.append((np.fromiter(share, np.int64, len(share)), np.fromiter(share.values(), np.float32, len(share)), label))
+                cells[w] = np.array(subwords(w, buckets), np.int64)
+        own = [cells[w] for w in words]
+        at, where = np.unique(np.concatenate(own), return_inverse=True)
+        each = np.repeat([1.0 / (len(words) * len(c)) for c in own], [len(c) for c in own])
+        rows.append((at, np.bincount(where, weights=each).astype(np.float32), label))
     steps, total = 0, max(1, epochs * len(rows))
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
