@@ -2,10 +2,12 @@
 
 Two multinomials over hashed word unigrams and bigrams are counted, one over a
 trusted target and one over the raw corpus. A document's verdict is the mean of
-log(p_target / p_raw) over its n-grams, held against a fixed threshold. Counting
-is one map-side aggregated pass into `buckets` cells, whatever the corpus; the
-log ratios (`buckets` doubles) go back to the tasks as one literal array, and
-every document is then judged inside its own row: no shuffle of texts, no Python.
+log(p_target / p_raw) over its n-grams, held against a fixed threshold. The number
+of cells follows the counted n-grams (CELL_NGRAMS a cell), so a cell means the same
+at every size. Own n-grams are taken out of both multinomials, so being labelled or
+not doesn't move a verdict, and a cell without other counts has ratio 0. Base
+statistics are computed inside the row; a text's cells are joined with the count
+table, which is broadcast up to BROADCAST_CELLS. No Python.
 
 Defined results: a NULL or blank text has no words, fails the base rules and is
 not kept; its ratio is 0. Repeated rows are judged alike, each on its own row.
@@ -14,23 +16,29 @@ Other columns pass through; a clashing one is replaced by the operator's.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.session import cut
 from plumbline.llm.common import words_of
 
-BUCKETS = 1 << 16
+#: n-grams in a cell on average, at any size of the corpus
+CELL_NGRAMS = 128
+#: counts at the raw corpus's ratio that each cell has beside its own, so sparse cells have a ratio near 0
+PRIOR = 2.0
 THRESHOLD = -0.15
-SMOOTHING = 0.5
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "[#*$%&|<>]"
 #: Trusted ids up to this number are broadcast; a larger set is joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Cells up to this number are broadcast with their counts; more are joined by a shuffle.
+BROADCAST_CELLS = 3_000_000
+#: Then the cells with more than 1 / HOT of all n-grams are still broadcast.
+HOT = 10_000
 
 
 def _dup_count(items: Column) -> Column:
@@ -106,26 +114,51 @@ def _bigrams(h2: str) -> Column:
     return F.slice(h2, F.lit(1), F.greatest(F.size(h2) - 1, F.lit(0)))
 
 
-def fit_log_ratios(raw: DataFrame, trusted: Column, text: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
-    """log(p_target / p_raw) by cell; `trusted` is a boolean column of `raw`.
+def count_cells(marked: DataFrame, text: str, buckets: int | None) -> tuple[DataFrame, int, int, int]:
+    """(cell, r, t) over `marked`, which has boolean `_trusted`; with the n-grams in all and in the target, and the number of cells."""
+    n = F.greatest(2 * F.size(words_of(F.col(text))) - 1, F.lit(0)).cast("long")
+    total = marked.agg(F.sum(n).alias("r"), F.sum(F.when(F.col("_trusted"), n)).alias("t")).first()
+    n_raw, n_target = total["r"] or 0, total["t"] or 0
+    buckets = buckets or max(1, n_raw // CELL_NGRAMS)
+    grams = with_hashes(marked.select(F.col(text).alias("_text"), F.coalesce("_trusted", F.lit(False)).alias("t")), "_text")
+    cells = grams.select("t", F.explode(F.concat("_h1", _bigrams("_h2"))).alias("h")).groupBy(F.pmod("h", F.lit(buckets)).alias("cell"))
+    return cut(cells.agg(F.count("*").alias("r"), F.count_if("t").alias("t"))), n_raw, n_target, buckets
 
-    The result has `buckets` numbers however large the corpus is.
+
+def _own_cells(marked: DataFrame, text: str, buckets: int) -> DataFrame:
+    """(a, b, own, n, cell, m): the m n-grams of a text of n in each cell. `a` and `b` are the text's hash, `own` its being trusted."""
+    grams = with_hashes(marked.select(F.col(text).alias("_text"), F.coalesce("_trusted", F.lit(False)).alias("own")), "_text")
+    ordered = grams.select(*_identity("_text"), "own", F.sort_array(F.transform(F.concat("_h1", _bigrams("_h2")), lambda h: F.pmod(h, F.lit(buckets)))).alias("s"))
+    places = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1))
+    first = ordered.withColumn("starts", F.filter(places, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))))
+    runs = F.transform("starts", lambda i, k: F.struct(F.get("s", i).alias("cell"), (F.coalesce(F.get("starts", k + 1), F.size("s")) - i).alias("m")))
+    # not explode: its inferred filter on the runs would be pushed below, with sorting anew for each entry
+    return first.select("a", "b", "own", F.size("s").alias("n"), F.explode_outer(runs).alias("x")).select("a", "b", "own", "n", "x.cell", "x.m")
+
+
+def _identity(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b")]
+
+
+def log_ratios(marked: DataFrame, text: str = "text", buckets: int | None = None, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+    """(a, b, own, llr) of each text that has words; copies of a text have the same ratio.
+
+    A text is judged on the counts of the others: its own n-grams leave both multinomials.
     """
-    cells = (
-        with_hashes(raw.select(F.col(text).alias("_t"), F.coalesce(trusted, F.lit(False)).alias("t")), "_t")
-        .select("t", F.explode(F.concat("_h1", _bigrams("_h2"))).alias("h"))
-        .groupBy(F.pmod("h", F.lit(buckets)).alias("cell")).agg(F.count("*").alias("n_raw"), F.count_if("t").alias("n_target"))
-    )
-    rows = cells.collect()
-    if not any(r["n_target"] for r in rows):
-        return [0.0] * buckets
-    n_raw, n_target = sum(r["n_raw"] for r in rows), sum(r["n_target"] for r in rows)
-    def ratio(t: int, c: int) -> float:
-        return math.log((t + smoothing) / (n_target + smoothing * buckets)) - math.log((c + smoothing) / (n_raw + smoothing * buckets))
-    out = [ratio(0, 0)] * buckets
-    for r in rows:
-        out[r["cell"]] = ratio(r["n_target"], r["n_raw"])
-    return out
+    counts, n_raw, n_target, buckets = count_cells(marked, text, buckets)
+    runs = _own_cells(marked, text, buckets)
+    if buckets <= broadcast_cells:
+        joined = runs.join(F.broadcast(counts), "cell")
+    else:
+        # at most HOT cells hold more than their share each; the rest has no hot key
+        hot = counts.where(F.col("r") * HOT > n_raw)
+        rest = runs.join(F.broadcast(hot.select("cell")), "cell", "left_anti")
+        joined = runs.join(F.broadcast(hot), "cell").unionByName(rest.join(counts.where(F.col("r") * HOT <= n_raw), "cell"))
+    share = (F.lit(float(n_target)) - F.when(F.col("own"), F.col("n")).otherwise(0)) / F.nullif(F.lit(float(n_raw)) - F.col("n"), F.lit(0.0))
+    others = F.col("r") - F.col("m")
+    trusted = F.col("t") - F.when(F.col("own"), F.col("m")).otherwise(0)
+    ratio = F.when(F.col("share") > 0, F.log((trusted + PRIOR * F.col("share")) / ((others + PRIOR) * F.col("share")))).otherwise(0.0)
+    return joined.withColumn("share", share).groupBy("a", "b", "own").agg((F.sum(F.col("m") * ratio) / F.sum("m")).alias("llr"))
 
 
 def judge(
@@ -138,17 +171,17 @@ def judge(
     def total(hashes: Column) -> Column:
         return F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.get(table, F.pmod(h, F.lit(buckets)).cast("int")))
     n_grams = F.greatest(2 * F.size("_w") - 1, F.lit(1))
+    judged = with_base(with_hashes(docs, text), text).withColumn("llr", (total(F.col("_h1")) + total(_bigrams("_h2"))) / n_grams)
+    return _with_verdict(judged, docs.columns, threshold, min_words, max_repeat_percent)
+
+
+def _with_verdict(stated: DataFrame, columns: list[str], threshold: float, min_words: int, max_repeat_percent: int) -> DataFrame:
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    judged = (
-        with_base(with_hashes(docs, text), text)
-        .withColumn("llr", (total(F.col("_h1")) + total(_bigrams("_h2"))) / n_grams)
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    )
+    judged = stated.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
     # A row number (never negative) makes the result indeterminate to the optimizer. Else a later filter
     # on a statistic would be pushed down, with the statistic's whole computation at each of its uses.
     result = F.when(F.monotonically_increasing_id() >= 0, F.struct(*STATISTICS)).alias("_result")
-    return judged.select(*[c for c in docs.columns if c not in STATISTICS], result).select("*", "_result.*").drop("_result")
+    return judged.select(*[c for c in columns if c not in STATISTICS], result).select("*", "_result.*").drop("_result")
 
 
 def mark_trusted(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -159,8 +192,14 @@ def mark_trusted(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id") -
 
 
 def quality_rules(
-    docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS,
+    docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int | None = None,
+    broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
-    """Fit on `docs` with the ids of the trusted target, then judge every row."""
-    ratios = fit_log_ratios(mark_trusted(docs.select(key, text), trusted_ids, key), F.col("_trusted"), text, buckets)
-    return judge(docs, ratios, text, threshold)
+    """Fit on `docs` with the ids of the trusted target, then judge every row. `buckets` fixes the number of cells."""
+    marked = mark_trusted(docs, trusted_ids, key)
+    ratios = log_ratios(marked.select(text, "_trusted"), text, buckets, broadcast_cells).select(*[F.col(c).alias(f"_{c}") for c in ("a", "b", "own", "llr")])
+    names = [c.alias(f"_text_{i}") for i, c in enumerate(_identity(text))]
+    stated = with_base(with_hashes(marked.select("*", *names).withColumn("_trusted", F.coalesce("_trusted", F.lit(False))), text), text).drop("_w", "_h1", "_h2")
+    same = (F.col("_text_0") == F.col("_a")) & (F.col("_text_1") == F.col("_b")) & (F.col("_trusted") == F.col("_own"))
+    judged = stated.join(ratios, same, "left").withColumn("llr", F.coalesce("_llr", F.lit(0.0)))
+    return _with_verdict(judged, docs.columns, threshold, MIN_WORDS, MAX_REPEAT_PERCENT)

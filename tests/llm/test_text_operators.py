@@ -83,6 +83,34 @@ def test_rules_on_odd_and_missing_rows(odd_rows, no_rows):
     assert not [c for c in judged.columns if judged.columns.count(c) > 1]
 
 
+@pytest.mark.parametrize("broadcast_cells", [quality_rules.BROADCAST_CELLS, 0])
+def test_ratios_are_those_of_the_other_documents(spark, broadcast_cells, monkeypatch):
+    monkeypatch.setattr(quality_rules, "HOT", 50)
+    texts = [prose(i, 40) for i in range(30)] + [prose(3, 40), prose(31, 40) + " " + prose(31, 40), "a", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    grams = [Counter(w) + Counter(zip(w, w[1:])) for w in (WORD.findall(t or "") for t in texts)]
+    got = {r.doc_id: r.llr for r in quality_rules.quality_rules(docs, docs.where("doc_id < 12"), buckets=1 << 40, broadcast_cells=broadcast_cells and 1 << 41).collect()}
+    assert len(got) == len(texts)
+    for i, own in enumerate(grams):
+        raw, target = sum((g for j, g in enumerate(grams) if j != i), Counter()), sum((g for j, g in enumerate(grams) if j != i and j < 12), Counter())
+        share = target.total() / raw.total()
+        mean = sum(m * math.log((target[g] + quality_rules.PRIOR * share) / ((raw[g] + quality_rules.PRIOR) * share)) for g, m in own.items()) / max(own.total(), 1)
+        assert got[i] == pytest.approx(mean, abs=1e-9)
+
+
+def test_verdicts_agree_at_two_sizes(spark):
+    table = lambda size, name: spark.read.parquet(f"/root/testdata/{size}/{name}.parquet")
+    shares = {}
+    for size in ("sf0.001", "sf0.01"):
+        labels = table(size, "labels").select("doc_id", "quality")
+        judged = quality_rules.quality_rules(table(size, "documents").select("doc_id", "text"), labels.where("quality = 1"))
+        rows = judged.where("not base_failed").join(labels, "doc_id", "left").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+        shares[size] = {r.quality: r.k for r in rows}
+    for s in shares.values():
+        assert s[1] >= 0.98 and s[None] >= 0.9 and s[0] < 0.5
+    assert abs(shares["sf0.001"][None] - shares["sf0.01"][None]) < 0.1
+
+
 # near duplicates
 
 
