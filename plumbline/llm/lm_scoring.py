@@ -4,19 +4,20 @@ Base: unigram probabilities from exact counts. The `vocabulary` most frequent wo
 (a bounded number) go to the tasks with their counts and settle most tokens there;
 the other tokens are joined with the count table by word, once per document and word.
 
-Model: a bigram model over the same bounded vocabulary, all other words being one
-class. Bigram counts are quantised to 1 + floor(log2 c) and kept in a Bloom filter as
-that many entries (bigram, level); a count is read back by probing level after level
-until one misses. The filter is blocked: a bigram's hash picks a block of BLOCK_BITS,
-and a group of bigrams builds its block on its own. With Dirichlet smoothing
+Model: a bigram model over all words, by 64-bit hashes of the words themselves. Bigram
+counts are quantised to 1 + floor(log2 c) and kept in a Bloom filter as that many
+entries (bigram, level); a count is read back by probing level after level until one
+misses. The filter is blocked: a bigram's hash picks a block of BLOCK_BITS, and a group
+of bigrams builds its block on its own. With Dirichlet smoothing
     P(w | p) = (c(p w) + MU * P(w)) / (c(p) + MU)
-and a word outside the vocabulary has its class's probability, divided by the number
-of words the class stands for. Begin and end marks frame a text.
+Word counts c(p) and those in P(w) are exact for the most frequent words and read from
+a second filter, of all words, for the others. Begin and end marks frame a text.
 
-The filter has BITS_PER_TOKEN bits for each training token, so its error rate is the
-same at every size. It is broadcast if it has at most `broadcast_bytes`; a larger one
-is cut into shards of that size by block, and one pass per shard adds up the tokens
-whose bigrams the shard would hold. Both ways give the same scores.
+The filters have BITS_PER_ENTRY bits for each entry, counted first, so about 1 % of
+unseen grams read back as seen, at every size. The words' filter is broadcast. The
+bigrams' filter is broadcast if it has at most `broadcast_bytes`; a larger one is cut
+into shards of that size by block, and one pass per shard adds up the tokens whose
+bigrams the shard would hold. Both ways give the same scores.
 
 Defined results: NULL and empty texts are the end mark alone. With nothing to learn
 from, every count is 0. Rows that repeat are scored alike, each on its own row. Rows
@@ -30,6 +31,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,13 @@ from plumbline.functions.session import cut
 from plumbline.llm.common import map_batches, utf8
 
 VOCABULARY = 200_000
-BITS_PER_TOKEN = 3.0
+BITS_PER_ENTRY = 10.0
 BLOCK_BITS = 1 << 19
 HASHES = 5
 MU = 300.0
 ADD = 0.1
 BROADCAST_BYTES = 512 << 20
+_BEGIN = 1
 _END = b"\n"  # holds a separator, so no word is the same
 _FLUSH = 400_000
 _TEXTS_AT_ONCE = 64
@@ -75,26 +78,46 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Words:
-    """The vocabulary's ids and counts. Behind them come the class of all other words, and the begin mark."""
+    """The exact counts of the most frequent words, and the filter of all words' counts."""
 
-    def __init__(self, head: list[tuple[bytes, int]], n: int, distinct: int):
+    def __init__(self, head: list[tuple[bytes, int]], n: int, distinct: int, bits: np.ndarray):
         self.ids = {w: i for i, (w, _) in enumerate(head)}
-        self.other, self.begin = len(head), len(head) + 1
-        counts = np.array([c for _, c in head], np.float64)
-        rest = float(n - counts.sum())
-        self.context = np.concatenate((counts, [rest, float(counts[self.ids[_END]]) if _END in self.ids else 0.0]))
-        self.n, self.distinct = n, distinct
-        self.base = np.log10((counts + ADD) / (n + ADD * (distinct + 1)))
-        self.known = counts > 0
-        self.plain = np.concatenate(((counts + ADD), [rest + ADD * (distinct - len(head) + 1)])) / (n + ADD * (distinct + 1))
-        self.within = -np.log10(max(distinct - len(head), 0) + 1.0)
+        self.other = len(head)
+        self.counts = np.array([c for _, c in head] + [0.0], np.float64)
+        self.texts = float(self.counts[self.ids[_END]]) if _END in self.ids else 0.0
+        self.floor, self.bits = n + ADD * (distinct + 1), bits
+        self.base = np.log10((self.counts + ADD) / self.floor)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.get, words, repeat(self.other)), np.int64, len(words))
+    def count(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Exact for the most frequent words, read from the filter for others."""
+        out = self.counts[ids]
+        rare = np.flatnonzero(ids == self.other)
+        out[rare] = read_counts(hashes[rare], block_of(hashes[rare], len(self.bits)), self.bits)
+        return out
 
-    def bigrams(self, ids: np.ndarray) -> np.ndarray:
-        """A number for each pair of neighbours; ids of one text, its end last."""
-        return np.concatenate(([self.begin], ids[:-1])) * (self.begin + 1) + ids
+
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
+def indexed(split: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of some texts, their hashes, and each token's place in them."""
+    index: dict[bytes, int] = {}
+    at = np.fromiter((index.setdefault(w, len(index)) for s in split for w in s), np.int64)
+    return list(index), np.fromiter(map(word_hash, index), np.int64, len(index)), at
+
+
+def contexts(split: list[list[bytes]]) -> np.ndarray:
+    """Where texts start among their tokens."""
+    return np.concatenate(([0], np.cumsum([len(s) for s in split])[:-1])).astype(np.int64)
+
+
+def bigrams(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each token with its predecessor, from the words themselves; _BEGIN precedes a text."""
+    prev = np.empty_like(hashes)
+    prev[1:] = hashes[:-1]
+    prev[starts] = _BEGIN
+    return (_hashed(prev, 99) + hashes.astype(np.uint64)).astype(np.int64)
 
 
 def _hashed(code: np.ndarray, salt: int) -> np.ndarray:
@@ -138,54 +161,89 @@ def read_counts(code: np.ndarray, at: np.ndarray, bits: np.ndarray) -> np.ndarra
     return np.where(level < 2, level, 1.4 * 2.0 ** (level - 1))
 
 
-def build_filter(texts: DataFrame, words, blocks: int) -> DataFrame:
-    """(block, bits) over the column t; `words` is a broadcast Words."""
+def bigram_counts(texts: DataFrame) -> DataFrame:
+    """(code, n) over the column t, all bigrams."""
 
     def run(batches):
         for b in batches:
             for at in range(0, len(b["t"]), 2000):
-                own = words.value
-                codes = [own.bigrams(own.of(tokens(t))) for t in b["t"][at : at + 2000]]
-                code, count = np.unique(np.concatenate(codes), return_counts=True)
-                yield {"block": block_of(code, blocks), "code": code, "n": count}
+                split = [tokens(t) for t in b["t"][at : at + 2000]]
+                _, hashes, places_ = indexed(split)
+                code, count = np.unique(bigrams(hashes[places_], contexts(split)), return_counts=True)
+                yield {"code": code, "n": count}
+
+    return map_batches(texts, run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def hashed_words(counts: DataFrame) -> DataFrame:
+    """(code, n) of the words in (w, c)."""
+
+    def run(batches):
+        for b in batches:
+            yield {"code": [word_hash(w) for w in b["w"]], "n": b["c"]}
+
+    return map_batches(counts, run, "code bigint, n bigint")
+
+
+def blocks_for(grams: DataFrame, at_least: float = 0.0) -> int:
+    """Blocks that give each entry of (code, n), a level of a gram, BITS_PER_ENTRY bits."""
+    levels = grams.agg(F.sum(F.length(F.bin("n")))).first()[0] or 0  # binary digits: 1 + floor(log2 n)
+    return max(1, int(-(-max(levels * BITS_PER_ENTRY, at_least) // BLOCK_BITS)))
+
+
+def build_filter(grams: DataFrame, blocks: int) -> DataFrame:
+    """(block, bits) of (code, n)."""
+
+    def run(batches):
+        for b in batches:
+            yield {"block": block_of(np.array(b["code"], np.int64), blocks), "code": b["code"], "n": b["n"]}
 
     def build(t: pa.Table) -> pa.Table:
         bits = build_block(t["code"].to_numpy(), t["n"].to_numpy())
         return pa.table({"block": t["block"][:1], "bits": pa.array([bits], pa.binary())})
 
-    grams = map_batches(texts, run, "block bigint, code bigint, n bigint")
-    return grams.groupBy("block").applyInArrow(build, "block bigint, bits binary")
+    return map_batches(grams, run, "block bigint, code bigint, n bigint").groupBy("block").applyInArrow(build, "block bigint, bits binary")
+
+
+def _gathered(built: DataFrame, low: int, size: int) -> np.ndarray:
+    bits = np.zeros((size, BLOCK_BITS // 8), np.uint8)
+    for r in built.where(F.col("block").between(low, low + size - 1)).toLocalIterator():
+        bits[r["block"] - low] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits
 
 
 def _score_texts(texts: list[bytes], own: Words, low: int, bits: np.ndarray, blocks: int):
-    """Per text: tokens, known tokens and base score inside the vocabulary, other words, and the shard's part of the score."""
+    """Per text: tokens, known tokens and base score of the most frequent words, other words, and the shard's part of the score."""
     split = [tokens(t) for t in texts]
-    ids = [own.of(s) for s in split]
-    code = np.concatenate([own.bigrams(i) for i in ids])
-    every = np.concatenate(ids)
-    prev = code // (own.begin + 1)
+    names, hashes, every = indexed(split)
+    ids = np.fromiter(map(own.ids.get, names, repeat(own.other)), np.int64, len(names))
+    starts = contexts(split)
+    code = bigrams(hashes[every], starts)
     block = block_of(code, blocks) - low
     mine = (block >= 0) & (block < len(bits))
+    counts = own.count(ids, hashes)
+    context = np.empty(len(every))
+    context[1:] = counts[every[:-1]]
+    context[starts] = own.texts
     count = np.zeros(len(code))
-    if len(bits):
-        count[mine] = read_counts(code[mine], block[mine], bits)
-    p = (np.minimum(count, own.context[prev]) + MU * own.plain[every]) / (own.context[prev] + MU)
-    part = np.where(mine, np.log10(p) + np.where(every == own.other, own.within, 0.0), 0.0)
-    inside = every < own.other
-    base = np.zeros(len(every))
-    base[inside] = own.base[every[inside]]
-    known = np.zeros(len(every), np.int64)
-    known[inside] = own.known[every[inside]]
-    starts = np.concatenate(([0], np.cumsum([len(i) for i in ids])[:-1]))
-    others = [Counter(w for w, i in zip(s, row.tolist()) if i == own.other) for s, row in zip(split, ids)]
-    return [len(i) for i in ids], np.add.reduceat(known, starts), np.add.reduceat(base, starts), others, np.add.reduceat(part, starts)
+    count[mine] = read_counts(code[mine], block[mine], bits)
+    p = (np.minimum(count, context) + MU * (counts[every] + ADD) / own.floor) / (context + MU)
+    part = np.where(mine, np.log10(p), 0.0)
+    inside = ids[every] < own.other
+    base = np.where(inside, own.base[ids[every]], 0.0)
+    known = (inside & (counts[every] > 0)).astype(np.int64)
+    rare = [Counter(names[i] for i in row[ids[row] == own.other].tolist()) for row in np.split(every, starts[1:])]
+    return [len(s) for s in split], np.add.reduceat(known, starts), np.add.reduceat(base, starts), rare, np.add.reduceat(part, starts)
 
 
 def score(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, bits_per_token: float = BITS_PER_TOKEN,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, bits_per_token: float = 0.0,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
+
+    The filter has at least `bits_per_token` bits for each training token.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("k"), utf8(F.col(text)).alias("t"))
     training = rows.where(~is_held_out(F.col("k"))).select("t")
@@ -194,16 +252,18 @@ def score(
     n, distinct = int(total["n"] or 0), int(total["v"])
     # at most `vocabulary` words, the end mark among them
     head = counts.orderBy(F.col("w") != F.lit(_END), F.desc("c"), "w").limit(vocabulary).collect()
-    words = spark.sparkContext.broadcast(Words([(bytes(r["w"]), r["c"]) for r in head], n, distinct))
-    blocks = max(1, int(-(-n * bits_per_token // BLOCK_BITS)))
-    built = cut(build_filter(training, words, blocks))
+    of_words = cut(hashed_words(counts))
+    word_blocks = blocks_for(of_words)
+    bits = _gathered(cut(build_filter(of_words, word_blocks)), 0, word_blocks)
+    words = spark.sparkContext.broadcast(Words([(bytes(r["w"]), r["c"]) for r in head], n, distinct, bits))
+    grams = cut(bigram_counts(training))
+    blocks = blocks_for(grams, n * bits_per_token)
+    built = cut(build_filter(grams, blocks))
     per_pass = max(1, broadcast_bytes // (BLOCK_BITS // 8))
     scored, parts = None, []
     for low in range(0, blocks, per_pass):
         size = min(per_pass, blocks - low)
-        bits = np.zeros((size, BLOCK_BITS // 8), np.uint8)
-        for r in built.where(F.col("block").between(low, low + size - 1)).toLocalIterator():  # at most broadcast_bytes
-            bits[r["block"] - low] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits = _gathered(built, low, size)  # at most broadcast_bytes
         shard = spark.sparkContext.broadcast(bits)
         if scored is None:
             scored = cut(_scored(rows, words, shard, low, blocks).withColumn("row", F.monotonically_increasing_id()))

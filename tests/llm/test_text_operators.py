@@ -358,6 +358,22 @@ def test_counts_come_back_from_the_filter():
     assert (unseen == 0).mean() > 0.9
 
 
+@pytest.mark.parametrize("vocabulary", [20, lm_scoring.VOCABULARY])
+def test_scores_follow_exact_counts_of_all_words(spark, vocabulary):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, 200), 10**6))) for i in range(400)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    words = {i: [b"^", *t.encode().split(), b"\n"] for i, t in rows}
+    one, two = (Counter(g for i, w in words.items() if not held(i) for g in f(w)) for f in (lambda w: w, lambda w: zip(w, w[1:])))
+    n, floor = one.total() - one[b"^"], one.total() - one[b"^"] + lm_scoring.ADD * len(one)
+    level = lambda c: c if c < 2 else 1.4 * 2.0 ** (c.bit_length() - 1)
+    mu = lm_scoring.MU
+    exact = lambda w: sum(math.log10((min(level(two[p, x]), one[p]) + mu * (one[x] + lm_scoring.ADD) / floor) / (one[p] + mu)) for p, x in zip(w, w[1:]))
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string"), vocabulary=vocabulary).collect()
+    errors = [abs(r.score - exact(words[r.doc_id])) / r.n_tokens for r in got]
+    assert max(errors) < 0.1 and np.mean(errors) < 0.04 and got[0].train_tokens == n
+
+
 # classifier
 
 
