@@ -5,7 +5,7 @@ every page's DOM tree is aligned with it by simple tree matching (the largest se
 node pairs that keeps parents and order; runs of equal siblings count as one repeated
 node, so lists and paragraphs of any length align). A text that the same node of the
 pivot has on most pages of the host is template; all else stands in varying slots. The
-counts cover all pages: (host, node, text) triples are aggregated map-side, and only
+counts cover all different pages, copies of one having one vote together: (host, node, text) triples are aggregated map-side, and only
 triples of most pages of a host are kept, so a host has few however many pages it has.
 
 Content is then the text in varying slots outside of what isn't an article by its
@@ -15,14 +15,14 @@ comments. If a page has articles or a main part, content is looked for in there
 Blocks are joined by one space, white space inside a block is one space, character
 references are decoded. Defined results: NULL and empty html give an empty text; a page
 that is cut off is read as far as it goes; pages without a host are one host. Rows that
-repeat are read alike. A host with fewer than MIN_PAGES pages has no template.
+repeat are read alike. A host with fewer than MIN_PAGES different pages has no template.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -36,6 +36,8 @@ SUPPORT = 0.6
 PIVOT_CHARS = 2048
 #: Hosts up to this number have their pivots broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 2_000
+#: The same for pages that have copies, without their text.
+BROADCAST_COPIES = 500_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|title|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -309,31 +311,36 @@ def host_of(url: Column) -> Column:
 
 def induce(pages: DataFrame, url: str, html: str, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
     """(host, pivot, constant) by host: the pivot page, and (node, text hash) pairs of its template."""
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("page")).where("page is not null")
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("page")).where("page is not null").withColumn("h", F.xxhash64("page"))
+    copies = cut(rows.groupBy("host", "h").agg(F.count("*").alias("copies")))
+    different = copies.groupBy("host").agg(F.count("*").alias("n"))
     distance = F.struct(F.abs(F.length("page") - PIVOT_CHARS), F.xxhash64("page"))
-    pivots = cut(rows.groupBy("host").agg(F.min_by("page", distance).alias("pivot"), F.count("*").alias("n")))
+    pivots = cut(rows.groupBy("host").agg(F.min_by("page", distance).alias("pivot")).join(different, "host"))
 
     def run(batches):
         trees = _Pivots()
         for b in batches:
-            counts: Counter[tuple[str, int, int]] = Counter()
-            for host, page, pivot in zip(b["host"], b["page"], b["pivot"]):
+            counts: dict[tuple[str, int, int], float] = defaultdict(float)
+            for host, page, pivot, copies in zip(b["host"], b["page"], b["pivot"], b["copies"]):
                 root = parse(page)
                 numbers: dict[int, int] = {}
                 match(trees.of(pivot), [root], numbers)
-                counts.update({(host, numbers[id(node)], _hash(text)) for text, node, _, _ in blocks(root) if id(node) in numbers})
+                for k in {(host, numbers[id(node)], _hash(text)) for text, node, _, _ in blocks(root) if id(node) in numbers}:
+                    counts[k] += 1 / (copies or 1)
             keys = list(counts)
             yield {"host": [k[0] for k in keys], "node": [k[1] for k in keys], "text": [k[2] for k in keys], "c": [counts[k] for k in keys]}
 
-    seen = map_batches(rows.join(_few(pivots.where(F.col("n") >= min_pages).select("host", "pivot")), "host"), run, "host string, node int, text bigint, c bigint")
-    often = seen.groupBy("host", "node", "text").agg(F.sum("c").alias("c")).join(pivots.select("host", "n"), "host").where(F.col("c") >= support * F.col("n"))
+    # all copies of a page have one vote together
+    voting = rows.join(_few(pivots.where(F.col("n") >= min_pages).select("host", "pivot")), "host").join(_few(copies.where("copies > 1"), BROADCAST_COPIES), ["host", "h"], "left")
+    seen = map_batches(voting.select("host", "page", "pivot", "copies"), run, "host string, node int, text bigint, c double")
+    often = seen.groupBy("host", "node", "text").agg(F.sum("c").alias("c")).join(pivots.select("host", "n"), "host").where(F.col("c") >= support * F.col("n") - 1e-6)
     # at most nodes / support pairs by host
     constant = often.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("constant"))
     return pivots.join(constant, "host").select("host", "pivot", "constant")
 
 
-def _few(hosts: DataFrame) -> DataFrame:
-    return F.broadcast(hosts) if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else hosts
+def _few(rows: DataFrame, most: int = BROADCAST_HOSTS) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -43,6 +43,16 @@ def test_text_of_pages(pages):
     assert len(got[27][0]) == 5 * 30_000 - 1
 
 
+def test_copies_are_one_page_of_a_host(spark):
+    page = lambda i: f"<div>Menu of all</div><p>text {i}</p><p>more {i}</p>"
+    rows = [(i, "http://c.org/a", page("copied")) for i in range(30)] + [(100 + i, "http://c.org/b", page(i)) for i in range(7)]
+    rows += [(200 + i, None, page("same")) for i in range(9)] + [(300 + i, "http://d.org", page(i % 4)) for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {got[i] for i in range(30)} == {"text copied more copied"} and got[103] == "text 3 more 3"
+    # one and four different pages aren't enough for a template
+    assert {got[200 + i] for i in range(9)} == {"Menu of all text same more same"} and got[302] == "Menu of all text 2 more 2"
+
+
 def test_no_pages(pages):
     assert html_extract.extract(pages.where("page_id < 0")).count() == 0
     assert capture_index.archive_and_read(pages.where("page_id < 0")).count() == 0
