@@ -34,6 +34,14 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, longer if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow with columns as lists: fn gets and yields dicts of equally long lists."""
     target = T._parse_datatype_string(schema)
@@ -64,7 +72,7 @@ def add_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
                 names=kept + arrow.names,
             )
 
-    source = df.select(*[df[f"`{c}`"] for c in kept], F.struct(*inputs).alias("__in"))
+    source = df.select(*[df[f"`{c}`"] for c in kept], F.struct(*inputs).alias(free_name(df, "inputs")))
     return source.mapInArrow(run, T.StructType([df.schema[c] for c in kept] + new.fields))
 
 
