@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import hash_key
 from plumbline.roles import require
 
-DEFAULT_BUCKETS = 64
+BUCKET_CELLS = 50_000  # distinct values in a range bucket
+SAMPLES_PER_BUCKET = 32  # sampled cells for one edge
+_LONGEST = 30  # doublings of the edge search
 HASH_DIGITS = 3  # 16**3 buckets per stratum
 
 
@@ -75,42 +77,53 @@ def hash_rank(
     return out.drop("__hr_h", "__bk", "__hr_r", "__hr_off", "__hr_n")
 
 
-def _bucket_of(value: Column, edges: Column) -> Column:
-    """Number of edges below ``value``: an order-preserving bucket number."""
-    return F.size(F.filter(edges, lambda edge: edge < value))
+def _edges_below(value: Column, edges: Column) -> Column:
+    """Number of sorted edges below ``value``, by doubling steps: an order-preserving bucket number."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(_LONGEST))])
+
+    def farther(found: Column, step: Column) -> Column:
+        inside = (found + step <= F.size(edges)) & (F.get(edges, found + step - 1) < value)
+        return F.when(inside, found + step).otherwise(found)
+
+    return F.when(F.size(edges) == 0, 0).otherwise(F.aggregate(steps, F.lit(0), farther))
+
+
+def bucketed_cells(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), target: int = BUCKET_CELLS) -> DataFrame:
+    """One row per (by, order) with the sums and a range bucket ``__bk`` of about ``target`` cells.
+
+    Each group gets as many buckets as its counted cells need, one if they are within
+    the target. Edges come from a mergeable sketch, the cells whose hash falls into a
+    share of the hash range: every 32nd sampled value is an edge.
+    """
+    require(target >= 1, "target must be positive")
+    by = list(by)
+    cells = df.groupBy(*by, order).agg(*[F.sum(col).alias(name) for name, col in sums.items()])
+    value = F.col(order).cast("double")
+    sampled = F.when(F.pmod(F.xxhash64(order), F.lit(max(1, target // SAMPLES_PER_BUCKET))) == 0, value)
+    picked = F.filter(F.array_sort(F.collect_list(sampled)), lambda _, i: (i + 1) % SAMPLES_PER_BUCKET == 0)
+    # counting the sums as well keeps these cells' plan equal to that of the cells joined below: one scan and shuffle serve both
+    size = F.greatest(F.count(F.lit(1)), *[F.count(name) for name in sums])
+    shape = cells.groupBy(*by).agg(F.when(size > target, picked).otherwise(F.array().cast("array<double>")).alias("__e"))
+    known = null_safe_join(cells, shape, by) if by else cells.withColumn("__e", shape.scalar())
+    return known.withColumn("__bk", _edges_below(value, F.col("__e"))).drop("__e")
 
 
 def running_totals(
-    df: DataFrame,
-    order: str,
-    sums: dict[str, Column],
-    by: Sequence[str] = (),
-    descending: bool = False,
-    buckets: int = DEFAULT_BUCKETS,
-    edges_from: DataFrame | None = None,
+    df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), descending: bool = False, target: int = BUCKET_CELLS
 ) -> DataFrame:
-    """Prefix sums over the distinct values of ``order``, peers together.
+    """Prefix sums over the distinct values of ``order`` (a number), peers together.
 
     Returns one row per (by, order) with, for every name in ``sums``, the cell
     value ``name``, the inclusive prefix sum ``name_cum`` and the group total
-    ``name_total``. Bucket edges are approximate percentiles of ``order``:
-    they only balance the work, the sums are exact whatever the edges are. When
-    ``df`` is costly (resampled or exploded rows), ``edges_from`` names a cheaper
-    table with the same distribution of ``order``.
+    ``name_total``. Bucket edges only balance the work: the sums are exact whatever
+    they are.
     """
-    require(buckets >= 1, "buckets must be positive")
     by = list(by)
     names = list(sums)
-    steps = [i / buckets for i in range(1, buckets)]
-    cells = df.groupBy(*by, order).agg(*[F.sum(col).alias(name) for name, col in sums.items()])
-    if steps:
-        edges = (df if edges_from is None else edges_from).agg(F.array_distinct(F.percentile_approx(order, steps, 1000)).alias("e")).scalar()
-        cells = cells.withColumn("__e", edges).withColumn("__bk", _bucket_of(F.col(order), F.col("__e"))).drop("__e")
-    else:
-        cells = cells.withColumn("__bk", F.lit(0))
+    known = bucketed_cells(df, order, sums, by, target)
     bucket_order = F.col("__bk").desc() if descending else F.col("__bk").asc()
     value_order = F.col(order).desc() if descending else F.col(order).asc()
-    totals = cells.groupBy(*by, "__bk").agg(*[F.sum(name).alias(name) for name in names])
+    totals = known.groupBy(*by, "__bk").agg(*[F.sum(name).alias(name) for name in names])
     offsets = totals.select(
         *by,
         "__bk",
@@ -118,7 +131,7 @@ def running_totals(
         *[F.sum(n).over(_whole(by)).alias(f"{n}_total") for n in names],
     )
     inside = Window.partitionBy(*by, "__bk").orderBy(value_order).rowsBetween(Window.unboundedPreceding, 0)
-    local = cells.select("*", *[F.sum(n).over(inside).alias(f"__in_{n}") for n in names])
+    local = known.select("*", *[F.sum(n).over(inside).alias(f"__in_{n}") for n in names])
     joined = null_safe_join(local, offsets, [*by, "__bk"])
     return joined.select(
         *by,
@@ -129,6 +142,24 @@ def running_totals(
     )
 
 
+def first_n(df: DataFrame, n: int, bucket: Column, order: Sequence[Column | str]) -> DataFrame:
+    """The ``n`` first rows by (bucket, order); ``bucket`` is a coarse key that keeps the order and is never NULL.
+
+    Buckets are counted where the rows are. Those that start within the first ``n``
+    rows are read again and ranked each on its own, so neither ``n`` rows nor one
+    more than a bucket meet in a task. What one task sees is the table of bucket
+    counts, which the caller's key bounds.
+    """
+    require(n > 0, "n must be positive")
+    keyed = df.withColumn("__bk", bucket)
+    counts = keyed.groupBy("__bk").agg(F.count(F.lit(1)).alias("__c"))
+    starts = counts.select("__bk", F.coalesce(F.sum("__c").over(_before([], ["__bk"])), F.lit(0)).alias("__s"))
+    last = starts.where(F.col("__s") < n).agg(F.struct(F.max("__bk").alias("bk"), (n - F.max("__s")).alias("need"))).scalar()
+    inside = Window.partitionBy("__bk").orderBy(*order)
+    reached = keyed.withColumn("__l", last).where(F.col("__bk") <= F.col("__l.bk")).withColumn("__r", F.row_number().over(inside))
+    return reached.where((F.col("__bk") < F.col("__l.bk")) | (F.col("__r") <= F.col("__l.need"))).drop("__bk", "__l", "__r")
+
+
 def exact_quantiles(
     df: DataFrame,
     column: str,
@@ -137,8 +168,7 @@ def exact_quantiles(
     method: str = "linear",
     weight: Column | None = None,
     extra: Sequence[Column] = (),
-    buckets: int = DEFAULT_BUCKETS,
-    edges_from: DataFrame | None = None,
+    target: int = BUCKET_CELLS,
 ) -> DataFrame:
     """Exact quantiles per group through prefix sums over distinct values.
 
@@ -151,10 +181,7 @@ def exact_quantiles(
     for q in quantiles.values():
         require(0.0 <= q <= 1.0, f"quantile {q} is outside [0, 1]")
     present = df.where(F.col(column).isNotNull())
-    cells = running_totals(
-        present, column, {"__hr_c": weight if weight is not None else F.lit(1)}, by=by, buckets=buckets,
-        edges_from=edges_from,
-    )
+    cells = running_totals(present, column, {"__hr_c": weight if weight is not None else F.lit(1)}, by=by, target=target)
     total, upto = F.col("__hr_c_total"), F.col("__hr_c_cum")
     before = upto - F.col("__hr_c")
 

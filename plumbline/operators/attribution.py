@@ -1,9 +1,10 @@
 """Exact Shapley values, interactions, ablation and removal curves.
 
-A model is a function of a list of columns, ``predict([x0, ..., xM-1])``. All
-coalitions of a row are evaluated inside the row with array functions against a
-reference list that travels as a scalar, so nothing is shuffled: the work is
-rows x 2^M x reference points, spread like the rows are.
+A model is a function of a list of columns, ``predict([x0, ..., xM-1])``. A row's
+coalitions are means over a reference distribution: rows meet the reference in
+blocks of points, and the outputs are summed by row in generated code, a block of
+coalitions as columns of one aggregate. The hybrid rows exist only inside a task,
+what is shuffled are partial sums; neither rows nor reference have a size limit.
 """
 
 from __future__ import annotations
@@ -20,96 +21,110 @@ from plumbline.roles import require
 Predict = Callable[[list[Column]], Column]
 
 MAX_PLAYERS = 16
-MAX_REFERENCE = 100_000
+REFERENCE_BLOCK = 500  # distinct reference points a row meets at once
+WIDE_BITS = 4  # 2^4 coalitions are columns of one aggregate, the other bits are rows
 
 
-def spread_rows(df: DataFrame, row_id: str) -> DataFrame:
-    """Spread rows evenly over the session's shuffle partitions.
+def single_point(point: DataFrame, features: Sequence[str]) -> Column:
+    """The only row's features as one struct x0, x1, ...; more or fewer rows raise."""
+    packed = F.struct(*[F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(features)])
+    size = F.count(F.lit(1))
+    only = F.when(size == 1, F.max(packed)).otherwise(F.raise_error(F.concat(F.lit("needs exactly one reference row, got "), size.cast("string"))))
+    return point.agg(only.alias("p")).scalar()
 
-    A row costs 2^M x reference model calls, so one shuffle of the narrow rows is
-    cheap beside the balance it buys when the input has few or uneven splits.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), row_id)
 
+def _against_reference(df: DataFrame, row_id: str, features: Sequence[str], reference: DataFrame) -> tuple[DataFrame, list[Column], Column]:
+    """Each row with every distinct reference point; the point's columns, and its share of the reference.
 
-def reference_scalar(reference: DataFrame, features: Sequence[str]) -> Column:
-    """Distinct reference points with their weights as one array; its size is checked."""
-    points = reference.groupBy(*[F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(features)]).agg(
-        F.count(F.lit(1)).cast("double").alias("w")
-    )
-    packed = F.array_sort(F.collect_list(F.struct(*[f"x{j}" for j in range(len(features))], "w")))
+    Points form blocks by hash. Rows are sent to all blocks by an equi-join, salted by
+    row: the keys spread the rows over as many tasks as a shuffle has partitions.
+    """
+    m = len(features)
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = reference.groupBy(*[F.col(f).cast("double").alias(f"__b{j}") for j, f in enumerate(features)]).agg(F.count(F.lit(1)).alias("__w"))
     size = F.count(F.lit(1))
-    checked = F.when((size >= 1) & (size <= MAX_REFERENCE), packed).otherwise(
-        F.raise_error(F.concat(F.lit(f"a reference needs 1 to {MAX_REFERENCE} distinct points, got "), size.cast("string")))
+    known = F.struct(F.ceil(size / REFERENCE_BLOCK).cast("int").alias("blocks"), F.sum("__w").cast("double").alias("total"))
+    shape = points.agg(F.when(size >= 1, known).otherwise(F.raise_error(F.lit("a reference needs at least one point"))).alias("s")).scalar()
+    numbered = points.withColumn("__block", F.pmod(F.xxhash64(*[f"__b{j}" for j in range(m)]), shape["blocks"]).cast("int"))
+    packed = numbered.groupBy("__block").agg(
+        F.collect_list(F.struct(*[f"__b{j}" for j in range(m)], (F.col("__w") / shape["total"]).alias("__w"))).alias("__points")
+    ).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    sent = df.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).withColumn(
+        "__block", F.explode(F.sequence(F.lit(0), shape["blocks"] - 1))
     )
-    return points.agg(checked.alias("r")).scalar()
-
+    met = sent.join(packed, ["__block", "__salt"], "left")  # outer, so that an empty reference raises above
+    return met.select(*df.columns, F.inline_outer("__points")), [F.col(f"__b{j}") for j in range(m)], F.col("__w")
 
-def _weight_sum(ref: Column) -> Column:
-    return F.aggregate(ref, F.lit(0.0), lambda acc, b: acc + b["w"])
 
+def _means(
+    met: DataFrame, keys: Sequence[str], xs: Sequence[Column], bs: Sequence[Column], w: Column, predict: Predict, kept: Mapping[str, Sequence[Column | bool]]
+) -> DataFrame:
+    """``keys`` and for each name the mean output when feature j stays own where ``kept[name][j]``; NULL where any output is."""
+    def mixed(x: Column, b: Column, keep: Column | bool) -> Column:
+        return F.when(keep, x).otherwise(b) if isinstance(keep, Column) else x if keep else b
 
-def _hybrid_mean(xs: list[Column], keep: list[Column], ref: Column, predict: Predict) -> Column:
-    """Mean model output over the reference when feature j stays own where ``keep[j]``."""
-    def add(acc: Column, b: Column) -> Column:
-        mixed = [F.when(k, x).otherwise(b[f"x{j}"]) for j, (x, k) in enumerate(zip(xs, keep))]
-        return acc + b["w"] * predict(mixed)
+    def mean(keep: Sequence[Column | bool]) -> Column:
+        output = predict([mixed(x, b, k) for x, b, k in zip(xs, bs, keep)])
+        total = F.sum(w * F.coalesce(output.cast("double"), F.lit(float("nan"))))
+        return F.when(~F.isnan(total), total)
 
-    return F.aggregate(ref, F.lit(0.0), add) / _weight_sum(ref)
+    return met.groupBy(*keys).agg(*[mean(keep).alias(name) for name, keep in kept.items()])
 
 
 def _bit(mask: Column, j: int) -> Column:
     return mask.bitwiseAND(F.lit(1 << j)) != 0
 
 
-def coalition_values(
-    df: DataFrame, features: Sequence[str], reference: DataFrame, predict: Predict, row_id: str = "row_id"
-) -> DataFrame:
-    """Add ``v``: the value of every coalition, ``v[mask]`` with bit j for feature j."""
+def coalition_rows(df: DataFrame, features: Sequence[str], reference: DataFrame, predict: Predict, row_id: str = "row_id") -> DataFrame:
+    """``(row_id, mask, v)``: the value of every coalition of every row, bit j of the mask for feature j. Row ids are unique."""
     m = len(features)
     require(1 <= m <= MAX_PLAYERS, f"exact coalitions need 1 to {MAX_PLAYERS} features, got {m}")
-    xs = [F.col(f).cast("double") for f in features]
-    with_ref = spread_rows(df, row_id).withColumn("__ref", reference_scalar(reference, features))
-    values = F.transform(
-        F.sequence(F.lit(0), F.lit((1 << m) - 1)),
-        lambda mask: _hybrid_mean(xs, [_bit(mask, j) for j in range(m)], F.col("__ref"), predict),
-    )
-    return with_ref.withColumn("v", values).drop("__ref")
+    low = min(m, WIDE_BITS)
+    narrow = df.select(row_id, *[F.col(f).cast("double").alias(f"__x{j}") for j, f in enumerate(features)])
+    met, bs, w = _against_reference(narrow, row_id, [*[f"__x{j}" for j in range(m)]], reference.select(*[F.col(f).alias(f"__x{j}") for j, f in enumerate(features)]))
+    xs = [F.col(f"__x{j}") for j in range(m)]
+    keys = [row_id]
+    if m > low:
+        met = met.withColumn("__high", F.explode(F.sequence(F.lit(0), F.lit((1 << (m - low)) - 1))))
+        keys.append("__high")
+    kept = {f"v{mask}": [bool(mask >> j & 1) if j < low else _bit(F.col("__high"), j - low) for j in range(m)] for mask in range(1 << low)}
+    wide = _means(met, keys, xs, bs, w, predict, kept)
+    high = F.col("__high") * (1 << low) if m > low else F.lit(0)
+    cells = F.array(*[F.struct((high + mask).alias("mask"), F.col(f"v{mask}").alias("v")) for mask in range(1 << low)])
+    return wide.select(row_id, F.inline(cells))
+
+
+def coalition_values(df: DataFrame, features: Sequence[str], reference: DataFrame, predict: Predict, row_id: str = "row_id") -> DataFrame:
+    """``(row_id, v)``: the value of every coalition, ``v[mask]`` with bit j for feature j."""
+    rows = coalition_rows(df, features, reference, predict, row_id).groupBy(row_id)
+    return rows.agg(F.array_sort(F.collect_list(F.struct("mask", "v"))).alias("v")).select(row_id, F.col("v.v").alias("v"))
 
 
 def _literal(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _signed_sum(v: Column, coefficient: Callable[[Column], Column]) -> Column:
-    return F.aggregate(F.transform(v, lambda value, mask: value * coefficient(mask)), F.lit(0.0), lambda acc, x: acc + x)
+def _signed_sum(coefficient: Column) -> Column:
+    """Sum over a row's coalitions; NULL when any value is."""
+    return F.when(F.count("v") == F.count(F.lit(1)), F.sum(F.col("v") * coefficient))
 
 
-def shapley_columns(m: int, v: Column) -> list[Column]:
-    """One column per feature: the weighted marginal sums in a single pass over ``v``."""
+def shapley_columns(m: int) -> list[Column]:
+    """One aggregate per feature over a row's ``(mask, v)``: the weighted marginal sums."""
+    mask, size = F.col("mask"), F.bit_count("mask")
     weights = _literal([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+    return [_signed_sum(F.when(_bit(mask, j), F.get(weights, size - 1)).otherwise(-F.get(weights, size))) for j in range(m)]
 
-    def phi(j: int) -> Column:
-        def coefficient(mask: Column) -> Column:
-            size = F.bit_count(mask)
-            return F.when(_bit(mask, j), F.get(weights, size - 1)).otherwise(-F.get(weights, size))
 
-        return _signed_sum(v, coefficient)
-
-    return [phi(j) for j in range(m)]
-
-
-def interaction_columns(m: int, v: Column) -> dict[tuple[int, int], Column]:
+def interaction_columns(m: int) -> dict[tuple[int, int], Column]:
     """Pairwise Shapley interaction index for i < j, each pair's effect split in halves."""
+    mask = F.col("mask")
     weights = _literal([factorial(s) * factorial(m - s - 2) / (2 * factorial(m - 1)) for s in range(m - 1)])
 
     def phi(i: int, j: int) -> Column:
-        def coefficient(mask: Column) -> Column:
-            inside = _bit(mask, i).cast("int") + _bit(mask, j).cast("int")
-            weight = F.get(weights, F.bit_count(mask) - inside)
-            return F.when(inside == 1, -weight).otherwise(weight)
-
-        return _signed_sum(v, coefficient)
+        inside = _bit(mask, i).cast("int") + _bit(mask, j).cast("int")
+        weight = F.get(weights, F.bit_count(mask) - inside)
+        return _signed_sum(F.when(inside == 1, -weight).otherwise(weight))
 
     return {(i, j): phi(i, j) for i in range(m) for j in range(i + 1, m)}
 
@@ -123,15 +138,16 @@ def exact_shapley(
     df: DataFrame, features: Sequence[str], reference: DataFrame, predict: Predict, row_id: str = "row_id"
 ) -> DataFrame:
     """``(row_id, base_value, feature, value)`` against a reference distribution."""
-    valued = coalition_values(df, features, reference, predict, row_id).select(row_id, "v", F.get("v", 0).alias("base_value"))
-    return _long(valued, [row_id, "base_value"], features, shapley_columns(len(features), F.col("v")))
+    m = len(features)
+    valued = coalition_rows(df, features, reference, predict, row_id).groupBy(row_id).agg(
+        F.max(F.when(F.col("mask") == 0, F.col("v"))).alias("base_value"), *[c.alias(f"s{j}") for j, c in enumerate(shapley_columns(m))]
+    )
+    return _long(valued, [row_id, "base_value"], features, [F.col(f"s{j}") for j in range(m)])
 
 
 def point_shapley(df: DataFrame, features: Sequence[str], point: DataFrame, predict: Predict, row_id: str = "row_id") -> DataFrame:
     """Shapley values against one reference point; more than one row raises."""
-    single = point.agg(
-        F.when(F.count(F.lit(1)) == 1, F.max(F.struct(*features))).otherwise(F.raise_error(F.lit("point_shapley needs exactly one reference row"))).alias("p")
-    ).select("p.*")
+    single = df.sparkSession.range(1).select(single_point(point, features).alias("p")).select(*[F.col(f"p.x{j}").alias(f) for j, f in enumerate(features)])
     return exact_shapley(df, features, single, predict, row_id)
 
 
@@ -145,11 +161,8 @@ def shapley_interactions(
 ) -> DataFrame:
     """``(row_id, feature_i, feature_j, value)``; the diagonal completes each row to its Shapley value."""
     m = len(features)
-    valued = coalition_values(df, features, reference, predict, row_id).select(row_id, "v")
-    pairs = interaction_columns(m, F.col("v"))
-    named = valued.select(
-        row_id, *[c.alias(f"p{i}_{j}") for (i, j), c in pairs.items()],
-        *[c.alias(f"s{j}") for j, c in enumerate(shapley_columns(m, F.col("v")))],
+    named = coalition_rows(df, features, reference, predict, row_id).groupBy(row_id).agg(
+        *[c.alias(f"p{i}_{j}") for (i, j), c in interaction_columns(m).items()], *[c.alias(f"s{j}") for j, c in enumerate(shapley_columns(m))]
     )
 
     def off(i: int, j: int) -> Column:
@@ -190,8 +203,8 @@ def top_pairs(interactions: DataFrame, k: int) -> DataFrame:
 def feature_ablation(df: DataFrame, features: Sequence[str], point: DataFrame, predict: Predict, row_id: str = "row_id") -> DataFrame:
     """f(x) minus f(x with one feature at the baseline), per feature."""
     xs = [F.col(f).cast("double") for f in features]
-    with_ref = df.withColumn("__ref", reference_scalar(point, features))
-    base = F.get("__ref", 0)
+    with_ref = df.withColumn("__ref", single_point(point, features))
+    base = F.col("__ref")
     full = predict(xs)
 
     def without(j: int) -> Column:
@@ -256,17 +269,12 @@ def group_columns(
     if unknown:
         raise ContractError(f"derived columns have parents that are no features: {unknown}")
     named = attr.withColumn("feature", raw_feature(F.col("feature"), categorical, numeric, derived))
-    seen = {row["feature"] for row in attr.select("feature").distinct().select(raw_feature(F.col("feature"), categorical, numeric, derived).alias("feature")).distinct().collect()}
-    empty = sorted({*categorical, *numeric} - seen)
-    if empty:
-        raise ContractError(f"no encoded column maps to {empty}")
-    return named.groupBy(*keys, "feature").agg(F.sum("value").alias("value"))
-
-
-def embedding_names(categorical: Sequence[str], dim: int) -> dict[str, str]:
-    """Encoded slot name -> raw feature for ``dim`` vector slots per categorical."""
-    require(dim > 0, f"dim must be positive, got {dim}")
-    return {f"{c}[emb{k}]": c for c in categorical for k in range(dim)}
+    wanted = sorted({*categorical, *numeric})
+    lacking = F.array_except(F.array(*[F.lit(w) for w in wanted]), F.collect_set("feature"))
+    checked = named.agg(
+        F.when(F.size(lacking) > 0, F.raise_error(F.concat(F.lit("no encoded column maps to "), F.array_join(lacking, ", ")))).otherwise(F.lit(True)).alias("ok")
+    ).scalar()
+    return named.groupBy(*keys, "feature").agg(F.sum("value").alias("value")).where(checked)
 
 
 def mean_abs_importance(attr: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -310,22 +318,21 @@ def removal_curves(
     features, insertion[k] keeps only them.
     """
     m = len(features)
-    xs = [F.col(f).cast("double") for f in features]
-    packed = order.groupBy(*keys, row_id).agg(F.map_from_entries(F.collect_list(F.struct("feature", "rank"))).alias("__rank"))
-    joined = spread_rows(df.join(packed, row_id), row_id).withColumn("__ref", reference_scalar(reference, features))
-    ranks = [F.col("__rank")[f] for f in features]
-
-    def curve(keep: Callable[[Column, Column], Column]) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(m)), lambda k: _hybrid_mean(xs, [keep(r, k) for r in ranks], F.col("__ref"), predict)
-        )
-
-    curves = joined.select(
-        *keys, row_id, predict(xs).alias("output"),
-        F.arrays_zip(curve(lambda r, k: r > k).alias("deletion"), curve(lambda r, k: r <= k).alias("insertion")).alias("z"),
+    ids = [*keys, row_id]
+    ranks = order.groupBy(*ids).pivot("feature", list(features)).agg(F.max("rank"))
+    narrow = df.select(row_id, *[F.col(f).cast("double").alias(f"__x{j}") for j, f in enumerate(features)]).join(
+        ranks.select(*ids, *[F.col(f).alias(f"__r{j}") for j, f in enumerate(features)]), row_id
+    )
+    met, bs, w = _against_reference(
+        narrow, row_id, [f"__x{j}" for j in range(m)], reference.select(*[F.col(f).alias(f"__x{j}") for j, f in enumerate(features)])
     )
-    out = curves.select(*keys, row_id, "output", F.posexplode("z").alias("k", "c"))
-    return out.select(*keys, row_id, "output", "k", "c.deletion", "c.insertion")
+    xs = [F.col(f"__x{j}") for j in range(m)]
+    kept = {f"d{k}": [F.col(f"__r{j}") > k for j in range(m)] for k in range(m + 1)}
+    kept |= {f"i{k}": [F.col(f"__r{j}") <= k for j in range(m)] for k in range(m + 1)}
+    kept["output"] = [True] * m
+    wide = _means(met, ids, xs, bs, w, predict, kept)
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"d{k}").alias("deletion"), F.col(f"i{k}").alias("insertion")) for k in range(m + 1)])
+    return wide.select(*ids, "output", F.inline(cells))
 
 
 def faithfulness_rows(curves: DataFrame, ks: Sequence[int] = (1, 3, 5), keys: Sequence[str] = (), row_id: str = "row_id") -> DataFrame:

@@ -12,10 +12,17 @@ from plumbline.roles import require
 
 
 def _deal(ranked: DataFrame, n_lists: int, take: str, size: str) -> DataFrame:
-    """Deal each stratum circularly: list i holds the ``take`` ranks from i * take on, wrapping round."""
-    spread = ranked.withColumn("list_id", F.explode(F.sequence(F.lit(0), F.lit(n_lists - 1))))
-    offset = F.pmod(F.col("__rank") - 1 - F.col("list_id") * F.col(take), F.col(size))
-    return spread.where(offset < F.col(take))
+    """Deal each stratum circularly: list i holds the ``take`` ranks from i * take on, wrapping round.
+
+    Each row computes the lists that hold it: on the c-th time round, its place
+    rank - 1 + c * size falls into list place // take. As ``take`` is at most
+    ``size``, a list holds a row once; no row meets a list that doesn't hold it.
+    """
+    place = F.col("__rank") - 1
+    rounds = F.floor((n_lists * F.col(take) - 1 - place) / F.col(size))
+    times = F.when((F.col(take) > 0) & (rounds >= 0), F.sequence(F.lit(0).cast("bigint"), rounds)).otherwise(F.array().cast("array<bigint>"))
+    spread = ranked.withColumn("__round", F.explode(times))
+    return spread.withColumn("list_id", F.floor((place + F.col("__round") * F.col(size)) / F.col(take)).cast("int"))
 
 
 def stratified_contexts(

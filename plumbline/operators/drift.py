@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordering import exact_quantiles
+from plumbline.functions.ordering import exact_quantiles, first_n
 from plumbline.functions.scalars import unpivot_number, unpivot_text
 from plumbline.functions.session import cut
 from plumbline.operators.contracts import ContractError
@@ -264,5 +264,9 @@ def require_segment(profile: DataFrame, segment: str) -> DataFrame:
 
 
 def last_n(df: DataFrame, n: int, time: str = "ts", tie: str = "row_id") -> DataFrame:
-    """The most recent ``n`` rows."""
-    return df.orderBy(F.desc(time), F.desc(tie)).limit(n)
+    """The most recent ``n`` rows by (time, tie); rows without a time come last.
+
+    The minute is found from which on the rows are enough; only rows from there on are ranked, minute by minute.
+    """
+    minute = F.coalesce(-F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 60_000_000), F.lit(1 << 62))
+    return first_n(df, n, minute, [F.desc_nulls_last(time), F.desc(tie)])

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import exp
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays as A
-from plumbline.functions.hashing import hash_int
+from plumbline.functions.hashing import hash_int, hash_key
 from plumbline.functions.ordering import hash_rank, null_safe_join, running_totals
 from plumbline.functions.scalars import safe_ratio
 from plumbline.functions.session import cut
@@ -42,6 +43,43 @@ def bootstrap_draws(
     return null_safe_join(counted, rows, [*strata, "__hit"]).select(*keep, "rep", row_id, "c")
 
 
+#: Poisson replicates: hex digits of one draw, and draws taken from one md5.
+POISSON_DIGITS, POISSON_PER_HASH = 4, 8
+
+
+def poisson_limits() -> list[int]:
+    """The draws from which a count is at least 1, 2, ...: the Poisson(1) distribution function in units of a draw."""
+    units, limits, term, below = 16**POISSON_DIGITS, [], exp(-1.0), 0.0
+    for k in range(1, 10):
+        below += term
+        if round(units * below) < units:
+            limits.append(round(units * below))
+        term /= k
+    return limits
+
+
+def poisson_draws(df: DataFrame, reps: int, seed: object, row_id: str = "row_id") -> DataFrame:
+    """The rows with ``rep`` and their Poisson(1) count ``c``, if it isn't 0; every row once as replicate -1.
+
+    The large-scale form of :func:`bootstrap_draws`: counts come from hashes of the
+    row's id, in the row, so nothing is ranked, joined or shuffled, and aggregates
+    over (replicate, cell) combine in the map stage. Replicates have the sample's size
+    on average only, so results are approximate; a count is exact to 16^-4.
+    """
+    require(reps >= 1, "reps must be positive")
+    blocks = -(-reps // POISSON_PER_HASH)
+    hashed = df.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("__h", hash_key(f"{seed}-poisson", row_id, "__b"))
+
+    def draw(i: int) -> Column:
+        unit = F.conv(F.substring("__h", POISSON_DIGITS * i + 1, POISSON_DIGITS), 16, 10).cast("int")
+        count = sum(((unit >= limit).cast("bigint") for limit in poisson_limits()), F.lit(0))
+        return F.struct((F.col("__b") * POISSON_PER_HASH + i).alias("rep"), count.cast("bigint").alias("c"))
+
+    point = F.struct(F.lit(POINT).alias("rep"), (F.col("__b") == 0).cast("bigint").alias("c"))
+    drawn = hashed.select(*df.columns, F.inline(F.array(point, *[draw(i) for i in range(POISSON_PER_HASH)])))
+    return drawn.where((F.col("c") > 0) & (F.col("rep") < reps))
+
+
 def check_bootstrap(reps: int, level: float) -> None:
     require(reps >= 2, "need at least 2 replicates")
     require(0 < level < 1, f"level must be in (0, 1), got {level}")
@@ -80,10 +118,17 @@ def with_draws(df: DataFrame, draws: DataFrame, row_id: str = "row_id") -> DataF
 
 def bootstrap_ci(
     df: DataFrame, statistic: Callable[[DataFrame, list[str]], DataFrame], by: Sequence[str], reps: int, seed: object,
-    level: float = 0.95, strata: Sequence[str] = (), row_id: str = "row_id",
+    level: float = 0.95, strata: Sequence[str] = (), row_id: str = "row_id", poisson: bool = False,
 ) -> DataFrame:
-    """Estimate and percentile interval of ``statistic(weighted rows, ["rep"]) -> rep, by, value``."""
+    """Estimate and percentile interval of ``statistic(weighted rows, ["rep"]) -> rep, by, value``.
+
+    ``poisson`` takes Poisson counts for draws inside strata and marks the result ``approximate``.
+    """
     check_bootstrap(reps, level)
+    if poisson:
+        require(not strata, "Poisson replicates have no strata")
+        values = statistic(poisson_draws(df, reps, seed, row_id), ["rep"])
+        return point_and_interval(values, by, level).withColumn("approximate", F.lit(True))
     ids = df.select(row_id, *strata).distinct()
     draws = bootstrap_draws(ids, strata, reps, seed, row_id)
     values = statistic(with_draws(df, draws, row_id), ["rep"])
@@ -101,19 +146,30 @@ def importance_ci(attr: DataFrame, reps: int, seed: object, level: float = 0.95)
 def bootstrap_scope_ap(df: DataFrame, draws: DataFrame, by: Sequence[str], group: str = "grp", row_id: str = "row_id") -> DataFrame:
     """``by, rep, scope, ap`` for replicates and the point (rep -1); all arms share the draws."""
     weighted = with_draws(df, draws, row_id)
-    return M.scope_ap(weighted, [*by, "rep"], group, weight=F.col("c"), edges_from=df)
+    return M.scope_ap(weighted, [*by, "rep"], group, weight=F.col("c"))
+
+
+def poisson_scope_ap(df: DataFrame, reps: int, seed: object, by: Sequence[str], group: str = "grp", row_id: str = "row_id") -> DataFrame:
+    """:func:`bootstrap_scope_ap` with Poisson counts: replicates are summed into (replicate, group, score) cells where the rows are."""
+    return M.scope_ap(poisson_draws(df, reps, seed, row_id), [*by, "rep"], group, weight=F.col("c"))
 
 
-def metric_replicates(df: DataFrame, reps: int, seed: object, group: str = "grp") -> tuple[DataFrame, DataFrame]:
+def metric_replicates(
+    df: DataFrame, reps: int, seed: object, group: str = "grp", poisson: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(seed-mean replicates, per-seed points) of every derived metric, per arm.
 
     ``df`` has ``arm, seed, row_id, grp, y, score``. The first table has
-    ``arm, rep, metric, value`` with rep -1 for the point.
+    ``arm, rep, metric, value`` with rep -1 for the point. Arms and seeds share a
+    row's draws; ``poisson`` takes Poisson counts for them (approximate, see there).
     """
     rows = df.select("row_id", group, "y").distinct()
-    draws = bootstrap_draws(rows, [group, "y"], reps, seed)
+    if poisson:
+        values = poisson_scope_ap(df, reps, seed, ["arm", "seed"], group)
+    else:
+        values = bootstrap_scope_ap(df, bootstrap_draws(rows, [group, "y"], reps, seed), ["arm", "seed"], group)
     # arms x seeds x replicates x scopes rows: small, and read several times below
-    scoped = cut(bootstrap_scope_ap(df, draws, ["arm", "seed"], group))
+    scoped = cut(values)
     prev = M.prevalence(rows, group)
 
     def named(derived: DataFrame, by: list[str]) -> DataFrame:

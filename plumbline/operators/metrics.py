@@ -1,15 +1,15 @@
 """Threshold and ranking metrics, pooled and per group.
 
 Inputs carry ``y`` (0/1) and ``score``. Ranking metrics first reduce rows to one
-cell per distinct score, then take exact prefix sums over ordered score buckets,
-so no task ever holds a whole group.
+cell per distinct score, then take exact prefix sums over ordered score buckets
+whose number follows the cells, so no task ever holds a whole group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordering import running_totals
@@ -57,16 +57,14 @@ def threshold_metrics(df: DataFrame, threshold: Column | float, by: Sequence[str
     return counted.select(*by, *[c.alias(n) for n, c in _threshold_columns().items()])
 
 
-def ranking_cells(
-    df: DataFrame, by: Sequence[str] = (), weight: Column | None = None, score: str = "score", edges_from: DataFrame | None = None
-) -> DataFrame:
-    """Per distinct score, descending: ``pos``/``neg`` mass, prefix sums and totals.
-
-    ``edges_from``: the rows before resampling or scope copies, when ``df`` holds many copies of them.
-    """
+def _masses(weight: Column | None) -> dict[str, Column]:
     w = F.lit(1) if weight is None else weight
-    sums = {"pos": w * F.col("y"), "neg": w * (1 - F.col("y"))}
-    return running_totals(df, score, sums, by=by, descending=True, edges_from=edges_from)
+    return {"pos": w * F.col("y"), "neg": w * (1 - F.col("y"))}
+
+
+def ranking_cells(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None, score: str = "score") -> DataFrame:
+    """Per distinct score, descending: ``pos``/``neg`` mass, prefix sums and totals."""
+    return running_totals(df, score, _masses(weight), by=by, descending=True)
 
 
 def _ap() -> Column:
@@ -82,21 +80,17 @@ def _auc() -> Column:
     return safe_ratio(wins, F.sum("pos") * F.sum("neg"))
 
 
-def average_precision(
-    df: DataFrame, by: Sequence[str] = (), weight: Column | None = None, edges_from: DataFrame | None = None
-) -> DataFrame:
-    return ranking_cells(df, by, weight, edges_from=edges_from).groupBy(*by).agg(_ap().alias("ap"))
+def average_precision(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
+    return ranking_cells(df, by, weight).groupBy(*by).agg(_ap().alias("ap"))
 
 
 def roc_auc(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     return ranking_cells(df, by, weight).groupBy(*by).agg(_auc().alias("roc_auc"))
 
 
-def ranking_metrics(
-    df: DataFrame, by: Sequence[str] = (), weight: Column | None = None, edges_from: DataFrame | None = None
-) -> DataFrame:
+def ranking_metrics(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """``ap`` and ``roc_auc`` from one pass over the cells."""
-    return ranking_cells(df, by, weight, edges_from=edges_from).groupBy(*by).agg(_ap().alias("ap"), _auc().alias("roc_auc"))
+    return ranking_cells(df, by, weight).groupBy(*by).agg(_ap().alias("ap"), _auc().alias("roc_auc"))
 
 
 def pr_curve(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -132,11 +126,25 @@ def spread_scopes(df: DataFrame, group: str = "grp", scope: str = "scope", poole
     return df.withColumn(scope, F.explode(F.array(F.lit(pooled), F.col(group).cast("string"))))
 
 
+def scope_cells(df: DataFrame, by: Sequence[str], group: str = "grp", weight: Column | None = None) -> DataFrame:
+    """Ranking cells of the pooled scope and of every group; rows become (group, score) cells before they are copied into scopes."""
+    masses = _masses(weight)
+    cells = df.groupBy(*by, group, "score").agg(*[F.sum(c).alias(n) for n, c in masses.items()])
+    return running_totals(spread_scopes(cells, group), "score", {n: F.col(n) for n in masses}, by=[*by, "scope"], descending=True)
+
+
 def metrics_by_group(df: DataFrame, threshold: Column | float, group: str = "grp", by: Sequence[str] = ("fold",)) -> DataFrame:
-    """All metrics for the pooled scope and each group, within each ``by`` cell."""
+    """All metrics for the pooled scope and each group, within each ``by`` cell, from one pass over the cells."""
+    t = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    said = F.col("score") >= t
+
+    def mass(of: str, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(of))), F.lit(0))
+
+    counts = {"tn": mass("neg", ~said), "fp": mass("neg", said), "fn": mass("pos", ~said), "tp": mass("pos", said)}
     keys = [*by, "scope"]
-    scoped = spread_scopes(df, group)
-    return threshold_metrics(scoped, threshold, keys).join(ranking_metrics(scoped, keys, edges_from=df), keys)
+    summed = scope_cells(df, by, group).groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()], _ap().alias("ap"), _auc().alias("roc_auc"))
+    return summed.select(*keys, *[c.alias(n) for n, c in _threshold_columns().items()], "ap", "roc_auc")
 
 
 def to_long(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -151,61 +159,57 @@ def summarize(long: DataFrame, by: Sequence[str], digits: int = 3) -> DataFrame:
     return out.withColumn("text", mean_pm_std(F.col("mean"), F.col("std"), digits))
 
 
-def scope_ap(
-    df: DataFrame, by: Sequence[str], group: str = "grp", weight: Column | None = None, edges_from: DataFrame | None = None
-) -> DataFrame:
+def scope_ap(df: DataFrame, by: Sequence[str], group: str = "grp", weight: Column | None = None) -> DataFrame:
     """AP of the pooled scope and of every group."""
-    return average_precision(spread_scopes(df, group), [*by, "scope"], weight, df if edges_from is None else edges_from)
+    return scope_cells(df, by, group, weight).groupBy(*by, "scope").agg(_ap().alias("ap"))
 
 
 def derived_metrics(scope_values: DataFrame, prevalence: DataFrame, by: Sequence[str]) -> DataFrame:
     """P, P_c, Ex_c, L_c, W, G, W_ex and W_lift from AP per scope.
 
     ``scope_values`` has ``by, scope, ap``; ``prevalence`` has ``scope, prevalence``
-    per group. Returns ``by, metric, scope, value``; W carries the worst group.
+    per group. Returns ``by, metric, scope, value``; W carries the worst group. A
+    window over one cell's scopes: its size is the number of groups.
     """
     by = list(by)
-    groups = scope_values.where(F.col("scope") != SCOPE_ALL).join(prevalence, "scope")
-    ap, prev = F.col("ap"), F.col("prevalence")
-    per_group = groups.select(
-        *by, "scope",
-        F.inline(F.array(
-            F.struct(F.lit("P_c").alias("metric"), ap.alias("value")),
-            F.struct(F.lit("Ex_c").alias("metric"), (ap - prev).alias("value")),
-            F.struct(F.lit("L_c").alias("metric"), (ap / prev).alias("value")),
-        )),
-    ).select(*by, "metric", "scope", "value")
-    pooled = scope_values.where(F.col("scope") == SCOPE_ALL).select(*by, ap.alias("__p"))
-    worst = groups.groupBy(*by).agg(
-        F.min("ap").alias("w"), F.min_by("scope", F.struct("ap", "scope")).alias("worst"),
-        F.min(ap - prev).alias("w_ex"), F.min(ap / prev).alias("w_lift"),
-    )
     require(len(by) > 0, "derived metrics need at least one key column")
-    both = pooled.join(worst, by)
-    top = both.select(
-        *by,
-        F.inline(F.array(
-            F.struct(F.lit("P").alias("metric"), F.lit(SCOPE_ALL).alias("scope"), F.col("__p").alias("value")),
-            F.struct(F.lit("W").alias("metric"), F.col("worst").alias("scope"), F.col("w").alias("value")),
-            F.struct(F.lit("G").alias("metric"), F.lit(SCOPE_ALL).alias("scope"), (F.col("__p") - F.col("w")).alias("value")),
-            F.struct(F.lit("W_ex").alias("metric"), F.lit(SCOPE_ALL).alias("scope"), F.col("w_ex").alias("value")),
-            F.struct(F.lit("W_lift").alias("metric"), F.lit(SCOPE_ALL).alias("scope"), F.col("w_lift").alias("value")),
-        )),
+    pooled, ap, prev = F.col("scope") == SCOPE_ALL, F.col("ap"), F.col("prevalence")
+    known = scope_values.join(prevalence, "scope", "left").where(pooled | prev.isNotNull())
+    cell = Window.partitionBy(*by)
+    lowest = F.min(F.when(~pooled & ap.isNotNull(), F.struct("ap", "scope"))).over(cell)
+    spread = known.select(
+        *by, "scope", "ap", "prevalence", F.count_if(~pooled).over(cell).alias("__n"), lowest.alias("__w"),
+        F.min(F.when(~pooled, ap - prev)).over(cell).alias("__ex"), F.min(F.when(~pooled, ap / prev)).over(cell).alias("__lift"),
     )
-    return per_group.unionByName(top)
+
+    def metric(name: str, scope: Column, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("metric"), scope.alias("scope"), value.alias("value"))
+
+    everyone, own = F.lit(SCOPE_ALL), F.col("scope")
+    per_group = [metric("P_c", own, ap), metric("Ex_c", own, ap - prev), metric("L_c", own, ap / prev)]
+    top = [
+        metric("P", everyone, ap), metric("W", F.col("__w.scope"), F.col("__w.ap")), metric("G", everyone, ap - F.col("__w.ap")),
+        metric("W_ex", everyone, F.col("__ex")), metric("W_lift", everyone, F.col("__lift")),
+    ]
+    rows = F.when(~pooled, F.array(*per_group)).when(F.col("__n") > 0, F.array(*top))
+    return spread.select(*by, F.inline(rows)).select(*by, "metric", "scope", "value")
 
 
 def prevalence(df: DataFrame, group: str = "grp") -> DataFrame:
     return df.groupBy(F.col(group).cast("string").alias("scope")).agg(F.avg("y").alias("prevalence"))
 
 
-def fairness_metrics(df: DataFrame, by: Sequence[str] = ("arm",), seed: str = "seed", group: str = "grp") -> DataFrame:
-    """Seed-mean AP per scope, then every derived metric; W is the minimum of the seed means."""
+def fairness_metrics(
+    df: DataFrame, by: Sequence[str] = ("arm",), seed: str = "seed", group: str = "grp", row_id: str = "row_id"
+) -> DataFrame:
+    """Seed-mean AP per scope, then every derived metric; W is the minimum of the seed means.
+
+    Prevalence is that of the distinct rows of all arms and seeds together, so an
+    arm that lacks a group doesn't change the others' reference.
+    """
     per_seed = scope_ap(df, [*by, seed], group)
     means = per_seed.groupBy(*by, "scope").agg(F.avg("ap").alias("ap"))
-    first_seed = df.agg(F.min(F.struct(*by, seed)).alias("k")).scalar()
-    one_copy = df.withColumn("__k", first_seed).where(F.struct(*by, seed) == F.col("__k"))
-    return derived_metrics(means, prevalence(one_copy, group), by)
+    return derived_metrics(means, prevalence(df.select(row_id, group, "y").distinct(), group), by)
 
 
 def selection_score(df: DataFrame, kind: str, by: Sequence[str] = (), group: str = "grp") -> DataFrame:

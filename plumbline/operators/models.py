@@ -245,7 +245,7 @@ def ablation_grid(df: DataFrame, arms: Sequence[Arm], k: int = 5, inner: int = 3
 
 def production_threshold(thresholds: DataFrame) -> float:
     """Median of the fold thresholds (column ``threshold``; one row per fold)."""
-    return float(exact_quantiles(thresholds, "threshold", {"t": 0.5}, buckets=1).first()["t"])
+    return float(exact_quantiles(thresholds, "threshold", {"t": 0.5}).first()["t"])
 
 
 def refit_production(df: DataFrame, arms: Mapping[str, Arm], best: str, expected: str, params: dict, thresholds: DataFrame, path: str) -> dict:

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import hash_int, hash_key
-from plumbline.functions.ordering import exact_quantiles, hash_rank, null_safe_join
+from plumbline.functions.ordering import exact_quantiles, first_n, hash_rank, null_safe_join
 from plumbline.operators.encode import stratify_key
 from plumbline.roles import require
 
 
+SAMPLE_DIGITS = 4  # hex digits of a hash key that are counted: 16^4 buckets
+
+
 def stratified_folds(
     df: DataFrame, strata: Sequence[str], k: int, seed: object, row_id: str = "row_id", fold: str = "fold"
 ) -> DataFrame:
@@ -33,14 +36,25 @@ def nested_folds(
     return ranked.withColumn("inner_fold", ((F.col("__rank") - 1) % inner).cast("int")).drop("__rank", "own_fold")
 
 
-def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
-    """One copy of the table per group, marked ``is_val`` where the row belongs to it.
+def leave_one_group_out(df: DataFrame, group: str, out: str = "held_out") -> DataFrame:
+    """Each row once, with the one split that validates it: its group. It trains in all others.
 
-    The group list is a scalar with one entry per group, so no join is needed.
+    A split is a filter on this column (:func:`held_out_split`), so rows aren't copied per group.
     """
-    groups = df.agg(F.array_sort(F.collect_set(group)).alias("g")).scalar()
-    spread = df.withColumn("__g", groups).withColumn("held_out", F.explode("__g")).drop("__g")
-    return spread.withColumn("is_val", F.col(group) == F.col("held_out"))
+    return df.withColumn(out, F.col(group))
+
+
+def held_out_split(df: DataFrame, held_out: object, column: str = "held_out") -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows of one group's split; rows without a group train in every split."""
+    own = F.col(column).eqNullSafe(F.lit(held_out))
+    return df.where(~own), df.where(own)
+
+
+def split_sizes(df: DataFrame, column: str = "held_out") -> DataFrame:
+    """``(held_out, train_rows, val_rows)`` of every group's split."""
+    sizes = df.groupBy(column).agg(F.count(F.lit(1)).alias("val_rows"))
+    total = sizes.agg(F.sum("val_rows").alias("n")).scalar()
+    return sizes.where(F.col(column).isNotNull()).select(column, (total - F.col("val_rows")).alias("train_rows"), "val_rows")
 
 
 def stratified_holdout(
@@ -115,10 +129,10 @@ def fraction_per_stratum(df: DataFrame, fraction: float, strata: Sequence[str],
     return ranked.where(F.col("__rank") <= F.floor(F.col("__n") * F.lit(fraction) + 0.5)).drop("__rank", "__n")
 
 
-def sample_n(df: DataFrame, n: int, seed: object, row_id: str = "row_id") -> DataFrame:
-    """Uniform sample without replacement: the ``n`` smallest hash keys."""
-    require(n > 0, "n must be positive")
-    return df.withColumn("__h", hash_key(seed, row_id)).orderBy("__h", row_id).limit(n).drop("__h")
+def sample_n(df: DataFrame, n: int, seed: object, row_id: str = "row_id", digits: int = SAMPLE_DIGITS) -> DataFrame:
+    """Uniform sample without replacement: the ``n`` smallest hash keys, found by a threshold from counted key prefixes."""
+    keyed = df.withColumn("__h", hash_key(seed, row_id))
+    return first_n(keyed, n, F.substring("__h", 1, digits), ["__h", row_id]).drop("__h")
 
 
 def sample_with_replacement(df: DataFrame, n: int, seed: object, row_id: str = "row_id") -> DataFrame:

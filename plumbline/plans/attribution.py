@@ -30,7 +30,7 @@ def sql_f(x: list[str]) -> str:
 
 
 SX = """sx AS (SELECT row_id, grp, y, priority, CAST(substr(priority, 1, 1) AS DOUBLE) AS x0, CAST(order_year - 1995 AS DOUBLE) AS x1, price / 100000 AS x2, balance / 1000 AS x3 FROM sales)"""
-N_BACKGROUND = 12
+N_BACKGROUND = 200
 BG = f"bg AS (SELECT x0, x1, x2, x3 FROM sx ORDER BY {sql_key('bg', 'row_id')}, row_id LIMIT {N_BACKGROUND})"
 PT = "pt AS (SELECT 2.0::DOUBLE AS x0, 3.0::DOUBLE AS x1, avg(x2) AS x2, avg(x3) AS x3 FROM sx)"
 
@@ -158,22 +158,24 @@ def e8(spark, sf):
 
 
 ENCODED = {1: "job_type_a", 2: "job_type_b", 3: "job_x", 4: "job_y", 5: "age", 6: "size", 7: "size_outlier", 8: "job_type_c"}
-ENCODED_SQL = "CASE pos " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in ENCODED.items()) + " END"
+ENCODED_SQL = "CASE (pos - 1) % 8 + 1 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in ENCODED.items()) + " END"
 
 
-@query("e9_group_columns", with_cte(sql_attribution("a", 1, 8, "a")) + """
-SELECT row_id, CASE WHEN pos IN (1, 2, 8) THEN 'job_type' WHEN pos IN (3, 4) THEN 'job' WHEN pos = 5 THEN 'age' ELSE 'size' END AS feature, round(sum(value), 6) AS value FROM a GROUP BY ALL""")
+@query("e9_group_columns", with_cte(sql_attribution("a", 1, 64, "a")) + """
+SELECT row_id, CASE WHEN (pos - 1) % 8 IN (0, 1, 7) THEN 'job_type' WHEN (pos - 1) % 8 IN (2, 3) THEN 'job' WHEN (pos - 1) % 8 = 4 THEN 'age' ELSE 'size' END AS feature, round(sum(value), 6) AS value FROM a GROUP BY ALL""")
 def e9(spark, sf):
-    a = attribution(spark, sf, 1, 8, "a")
-    names = F.element_at(F.array(*[F.lit(ENCODED[i]) for i in range(1, 9)]), F.col("pos"))
+    a = attribution(spark, sf, 1, 64, "a")
+    names = F.element_at(F.array(*[F.lit(ENCODED[i]) for i in range(1, 9)]), (F.col("pos") - 1) % 8 + 1)
     return rounded(E.group_columns(a.withColumn("feature", names), ["job", "job_type"], ["age", "size"], {"size_outlier": "size"}), "value")
 
 
-TWO = with_cte(sql_attribution("a", 1, 8, "a"), sql_attribution("b", 9, 16, "b"))
+# halves of the 64 positions as two methods; as three, their neighbours share a position
+THIRDS = {"a": (1, 22), "b": (22, 43), "c": (43, 64)}
+TWO = with_cte(sql_attribution("a", 1, 32, "a"), sql_attribution("b", 33, 64, "b"))
 
 
 def two(spark, sf):
-    return attribution(spark, sf, 1, 8, "a"), attribution(spark, sf, 9, 16, "b")
+    return attribution(spark, sf, 1, 32, "a"), attribution(spark, sf, 33, 64, "b")
 
 
 SHARES = """, ab AS (SELECT * FROM a UNION ALL SELECT * FROM b), im AS (SELECT set_id, feature, avg(abs(value)) AS importance FROM ab GROUP BY ALL),
@@ -225,7 +227,7 @@ k AS (SELECT sum(sign(x.ia - z.ia) * sign(x.ib - z.ib)) / sqrt(sum(abs(sign(x.ia
 SELECT round(corr(ra, rb), 6) AS global_spearman, (SELECT round(tau, 6) FROM k) AS global_kendall,
   round(count(*) FILTER (ta <= 3 AND tb <= 3) / 3.0, 6) AS top3_overlap, round(count(*) FILTER (ta <= 5 AND tb <= 5) / 5.0, 6) AS top5_overlap FROM r""")
 def e12(spark, sf):
-    return rounded(G.global_agreement(G.pair(*two(spark, sf)), 8), "global_spearman", "global_kendall", "top3_overlap", "top5_overlap")
+    return rounded(G.global_agreement(G.pair(*two(spark, sf)), 32), "global_spearman", "global_kendall", "top3_overlap", "top5_overlap")
 
 
 @query("e13_instance_rank_corr", TWO + PX + ", " + rho_sql("px", "rr") + "SELECT row_id, round(rho, 6) AS rho FROM rr")
@@ -259,7 +261,7 @@ SELECT count(*) AS n, round(avg((round(rho, 12) < 0.5)::INT), 6) AS share_below_
   round(avg(ad), 6) AS mean_abs_difference, round(avg(sz), 6) AS mean_shared_zero_features, round(quantile_cont(rho, 0.25), 6) AS q25, round(median(rho), 6) AS median, round(quantile_cont(rho, 0.75), 6) AS q75,
   round(any_value(g.s), 6) AS global_spearman, round(any_value(k.tau), 6) AS global_kendall, round(any_value(g.t3), 6) AS top3_overlap, round(any_value(g.t5), 6) AS top5_overlap FROM rs, g, k""")
 def e15(spark, sf):
-    out = G.summarize_agreement(G.pair(*zeroed(spark, sf)), 8)
+    out = G.summarize_agreement(G.pair(*zeroed(spark, sf)), 32)
     return rounded(out, *[c for c in out.columns if c != "n"])
 
 
@@ -288,7 +290,7 @@ SELECT {b}metric, round(max(value) FILTER (rep = -1), 6) AS estimate, round(quan
 
 @query("e15_agreement_with_ci", TWO + PX + PZ + ", cells AS (SELECT * FROM pz), " + row_stats_sql("cells") + ", " + agreement_ci_sql([], 20, "agree"))
 def e15_ci(spark, sf):
-    return rounded(G.agreement_with_ci(G.pair(*zeroed(spark, sf)), 8, 20, "agree"), "estimate", "ci_low", "ci_high")
+    return rounded(G.agreement_with_ci(G.pair(*zeroed(spark, sf)), 32, 20, "agree"), "estimate", "ci_low", "ci_high")
 
 
 @query("e16_per_feature_disagreement", TWO + PX + "SELECT feature, round(avg(abs(va - vb)) / ((avg(abs(va)) + avg(abs(vb))) / 2), 6) AS disagreement FROM px GROUP BY feature")
@@ -296,7 +298,7 @@ def e16(spark, sf):
     return rounded(G.per_feature_disagreement(*two(spark, sf)), "disagreement")
 
 
-THREE = with_cte(sql_attribution("a", 1, 8, "a"), sql_attribution("b", 9, 16, "b"), sql_attribution("c", 17, 24, "c"))
+THREE = with_cte(*[sql_attribution(name, first, last, name) for name, (first, last) in THIRDS.items()])
 
 
 @query("e17_agreement_table", THREE + """
@@ -305,13 +307,13 @@ sm AS (SELECT 'pooled' AS sample, vec_id AS row_id FROM embeddings UNION ALL SEL
 cells AS (SELECT s.id, m.sample, x.row_id, x.feature, x.value AS va, z.value AS vb FROM sp_ s JOIN al_ x ON x.set_id = s.sa JOIN al_ z ON z.set_id = s.sb AND z.row_id = x.row_id AND z.feature = x.feature JOIN sm m ON m.row_id = x.row_id),
 """ + row_stats_sql("cells", "id, sample, row_id") + ", " + agreement_ci_sql(["id", "sample"], 10, "table"))
 def e17(spark, sf):
-    a, b = two(spark, sf)
-    attr = a.unionByName(b).unionByName(attribution(spark, sf, 17, 24, "c"))
+    parts = [attribution(spark, sf, first, last, name) for name, (first, last) in THIRDS.items()]
+    attr = parts[0].unionByName(parts[1]).unionByName(parts[2])
     e = table(spark, sf, "embeddings")
     samples = e.select(F.lit("pooled").alias("sample"), F.col("vec_id").alias("row_id")).unionByName(
         e.where("label < 3").select(F.lit("focus").alias("sample"), F.col("vec_id").alias("row_id"))
     )
-    out = G.agreement_table(attr, [("A1", "a", "b"), ("A2", "a", "c")], samples, 8, 10, "table")
+    out = G.agreement_table(attr, [("A1", "a", "b"), ("A2", "a", "c")], samples, 22, 10, "table")
     return rounded(out, "estimate", "ci_low", "ci_high")
 
 
@@ -411,7 +413,7 @@ im AS (SELECT rep, feature, sum(c * abs(va)) / sum(c) AS ia, sum(c * abs(vb)) /
 sp AS (SELECT rep, corr(ra, rb) AS v FROM (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY ia) AS ra, rank() OVER (PARTITION BY rep ORDER BY ib) AS rb FROM im) GROUP BY rep)
 SELECT 'spearman' AS metric, round(max(v) FILTER (rep = -1), 6) AS estimate, round(quantile_cont(v, 0.025) FILTER (rep <> -1), 6) AS ci_low, round(quantile_cont(v, 0.975) FILTER (rep <> -1), 6) AS ci_high, count(v) FILTER (rep <> -1) AS reps FROM sp""")
 def e23(spark, sf):
-    return rounded(G.baseline_sensitivity(G.pair(*two(spark, sf)), 8, 20, "base"), "estimate", "ci_low", "ci_high")
+    return rounded(G.baseline_sensitivity(G.pair(*two(spark, sf)), 32, 20, "base"), "estimate", "ci_low", "ci_high")
 
 
 @query("e24_ablation_shapley_gap", with_cte(SALES, SX, PT, cv_sql("pt"), phi_sql(), inter_sql(), abl_sql()) + """

@@ -126,7 +126,7 @@ def attribution(spark: SparkSession, sf: str, first: int, last: int, set_id: str
     long = e.select(F.lit(set_id).alias("set_id"), F.col("vec_id").alias("row_id"), F.col("label").alias("grp"), F.posexplode(part).alias("pos", "v"))
     return long.select(
         "set_id", "row_id", "grp", (F.col("pos") + 1).alias("pos"),
-        F.concat(F.lit("f"), (F.col("pos") + 1).cast("string")).alias("feature"), F.col("v").cast("double").alias("value"),
+        F.concat(F.lit("f"), F.lpad((F.col("pos") + 1).cast("string"), 2, "0")).alias("feature"), F.col("v").cast("double").alias("value"),
     )
 
 
@@ -134,5 +134,5 @@ def sql_attribution(name: str, first: int, last: int, set_id: str) -> str:
     n = last - first + 1
     return f"""{name} AS (
   SELECT '{set_id}' AS set_id, e.vec_id AS row_id, e.label AS grp, CAST(i.pos AS INTEGER) AS pos,
-         'f' || CAST(i.pos AS VARCHAR) AS feature, CAST(e.embedding[{first - 1} + i.pos] AS DOUBLE) AS value
+         'f' || lpad(CAST(i.pos AS VARCHAR), 2, '0') AS feature, CAST(e.embedding[{first - 1} + i.pos] AS DOUBLE) AS value
   FROM embeddings e, (SELECT unnest(range(1, {n + 1})) AS pos) i)"""

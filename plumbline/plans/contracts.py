@@ -150,14 +150,14 @@ def v10(spark, sf):
     return C.ood_warnings(part, train, ["p_size", "p_partkey"]).select("p_partkey", F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query("v11_alignment", with_cte(sql_attribution("a", 1, 8, "a"), sql_attribution("b", 9, 16, "b")) + """
+@query("v11_alignment", with_cte(sql_attribution("a", 1, 32, "a"), sql_attribution("b", 33, 64, "b")) + """
 SELECT count(*) FILTER (a.row_id IS NOT NULL AND b.row_id IS NOT NULL) AS aligned,
        count(*) FILTER (b.row_id IS NULL) AS only_a, count(*) FILTER (a.row_id IS NULL) AS only_b
-FROM (SELECT * FROM a WHERE grp <> 0) a FULL OUTER JOIN (SELECT * FROM b WHERE grp <> 1 OR feature <> 'f3') b
+FROM (SELECT * FROM a WHERE grp <> 0) a FULL OUTER JOIN (SELECT * FROM b WHERE grp <> 1 OR feature <> 'f03') b
   ON a.row_id = b.row_id AND a.feature = b.feature""")
 def v11(spark, sf):
-    a = attribution(spark, sf, 1, 8, "a").where("grp <> 0")
-    b = attribution(spark, sf, 9, 16, "b").where("grp <> 1 OR feature <> 'f3'")
+    a = attribution(spark, sf, 1, 32, "a").where("grp <> 0")
+    b = attribution(spark, sf, 33, 64, "b").where("grp <> 1 OR feature <> 'f03'")
     return C.alignment_report(a, b)
 
 
@@ -226,13 +226,13 @@ def v14(spark, sf):
     return rounded(C.completion_report(grid, manifest, ["arm", "seed", "fold"]), "hours")
 
 
-@query("v15_attribution_report", with_cte(sql_attribution("a", 1, 8, "a"), sql_attribution("b", 9, 16, "b")) + """
+@query("v15_attribution_report", with_cte(sql_attribution("a", 1, 32, "a"), sql_attribution("b", 33, 64, "b")) + """
 , x AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM b WHERE grp = 3),
 c AS (SELECT set_id, row_id, feature, count(*) AS c, count(*) FILTER (value IS NULL OR isnan(value) OR isinf(value)) AS bad FROM x GROUP BY ALL)
 SELECT set_id, CAST(sum(c) AS BIGINT) AS n_values, CAST(sum(bad) AS BIGINT) AS n_not_finite, CAST(sum(c - 1) AS BIGINT) AS n_repeated,
   count(DISTINCT feature) AS n_features, CAST(1 AS BIGINT) AS n_headers FROM c GROUP BY set_id""")
 def v15(spark, sf):
-    a, b = attribution(spark, sf, 1, 8, "a"), attribution(spark, sf, 9, 16, "b")
+    a, b = attribution(spark, sf, 1, 32, "a"), attribution(spark, sf, 33, 64, "b")
     body = a.unionByName(b).unionByName(b.where("grp = 3"))
     return C.attribution_report(body, body.select("set_id").distinct())
 

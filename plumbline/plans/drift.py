@@ -16,14 +16,14 @@ from plumbline.sources import prediction_log as S
 # The early events are the reference; the late ones lose most low-k signups and gain an unseen level.
 EARLY_SQL = """early AS (SELECT *, 'u' || (user_id % 4) AS ug FROM ev WHERE ts < TIMESTAMP '2024-01-20'),
 late AS (SELECT row_id, ts, user_id, CASE WHEN event_type = 'error' AND k > 80 THEN 'crash' ELSE event_type END AS event_type, value, k, 'u' || (user_id % 4) AS ug
-  FROM ev WHERE ts >= TIMESTAMP '2024-01-24' AND NOT (event_type = 'signup' AND k < 60))"""
+  FROM ev WHERE ts >= TIMESTAMP '2024-01-20' AND NOT (event_type = 'signup' AND k < 60))"""
 CATEGORICAL, NUMERIC = ["event_type", "ug"], ["k"]
 
 
 def halves(spark, sf):
     ev = events(spark, sf).withColumn("ug", F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")))
     early = ev.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
-    late = ev.where((F.col("ts") >= F.lit("2024-01-24").cast("timestamp_ntz")) & ~((F.col("event_type") == "signup") & (F.col("k") < 60)))
+    late = ev.where((F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")) & ~((F.col("event_type") == "signup") & (F.col("k") < 60)))
     renamed = F.when((F.col("event_type") == "error") & (F.col("k") > 80), "crash").otherwise(F.col("event_type"))
     return early, late.withColumn("event_type", renamed)
 

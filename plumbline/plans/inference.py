@@ -45,15 +45,41 @@ def b2(spark, sf):
     return rounded(out, "estimate", "ci_low", "ci_high")
 
 
+def poisson_sql(src: str, reps: int, seed: str, name: str = "pois") -> str:
+    """CTE of the rows with rep and c > 0, and every row once as replicate -1."""
+    n, d = B.POISSON_PER_HASH, B.POISSON_DIGITS
+    count = " + ".join(f"(u >= {limit})::BIGINT" for limit in B.poisson_limits())
+    return f"""{name} AS (SELECT * FROM (SELECT * EXCLUDE (u), {count} AS c FROM (
+    SELECT * EXCLUDE (h, b), b * {n} + i AS rep, CAST('0x' || substr(h, {d} * i + 1, {d}) AS INTEGER) AS u FROM (
+      SELECT s.*, b, {sql_key(seed + '-poisson', 'row_id', 'b')} AS h FROM {src} s, (SELECT CAST(unnest(range({-(-reps // n)})) AS INTEGER) AS b)),
+    (SELECT CAST(unnest(range({n})) AS INTEGER) AS i))) WHERE c > 0 AND rep < {reps}
+  UNION ALL BY NAME SELECT *, -1 AS rep, 1 AS c FROM {src})"""
+
+
+POISSON_REPS = 200
+
+
+@query("b2_poisson_ci", with_cte(SALES, "few AS (SELECT row_id, grp, y FROM sales)", poisson_sql("few", POISSON_REPS, "ci")) + """
+, st AS (SELECT rep, grp, sum(c * y) / sum(c) AS v FROM pois GROUP BY ALL)
+SELECT grp, round(max(v) FILTER (rep = -1), 6) AS estimate, round(quantile_cont(v, 0.05) FILTER (rep >= 0), 6) AS ci_low,
+  round(quantile_cont(v, 0.95) FILTER (rep >= 0), 6) AS ci_high, count(v) FILTER (rep >= 0) AS reps, true AS approximate FROM st GROUP BY grp""")
+def b2_poisson(spark, sf):
+    def positive_rate(rows, by):
+        return rows.groupBy(*by, "grp").agg((F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("value"))
+
+    out = B.bootstrap_ci(sales(spark, sf).select("row_id", "grp", "y"), positive_rate, ["grp"], POISSON_REPS, "ci", level=0.9, poisson=True)
+    return rounded(out, "estimate", "ci_low", "ci_high")
+
+
 ROWS_A = "rws AS (SELECT DISTINCT row_id FROM a)"
 
 
-@query("b3_importance_ci", with_cte(sql_attribution("a", 1, 8, "a"), ROWS_A, draws_sql("rws", [], 50, "imp")) + """
+@query("b3_importance_ci", with_cte(sql_attribution("a", 1, 32, "a"), ROWS_A, draws_sql("rws", [], 50, "imp")) + """
 , st AS (SELECT rep, feature, sum(c * abs(value)) / sum(c) AS v FROM draws JOIN a USING (row_id) GROUP BY ALL)
 SELECT p.feature, round(p.estimate, 6) AS estimate, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high, count(v) AS reps
 FROM (SELECT feature, avg(abs(value)) AS estimate FROM a GROUP BY feature) p JOIN st USING (feature) GROUP BY p.feature, p.estimate""")
 def b3(spark, sf):
-    return rounded(B.importance_ci(attribution(spark, sf, 1, 8, "a"), 50, "imp"), "estimate", "ci_low", "ci_high")
+    return rounded(B.importance_ci(attribution(spark, sf, 1, 32, "a"), 50, "imp"), "estimate", "ci_low", "ci_high")
 
 
 SCORED_A = f"scored AS (SELECT row_id, grp, y, {sql_arm_score('a')} AS score FROM sales)"
@@ -69,6 +95,19 @@ def b4(spark, sf):
     return rounded(B.bootstrap_scope_ap(s, draws, []), "ap")
 
 
+POISSON_SCOPED = "wscoped AS (SELECT * EXCLUDE (grp), 'pooled' AS scope FROM pois UNION ALL SELECT * EXCLUDE (grp), grp AS scope FROM pois)"
+
+
+@query("b4_poisson_ap", with_cte(SALES, SCORED_A, poisson_sql("scored", POISSON_REPS, "ap"), POISSON_SCOPED, cells_sql("wscoped", ["rep", "scope"], "c")) + f"""
+, ap AS (SELECT rep, scope, {AP_EXPR} AS v FROM cums GROUP BY ALL)
+SELECT scope, round(max(v) FILTER (rep = -1), 6) AS estimate, round(quantile_cont(v, 0.025) FILTER (rep >= 0), 6) AS ci_low,
+  round(quantile_cont(v, 0.975) FILTER (rep >= 0), 6) AS ci_high, count(v) FILTER (rep >= 0) AS reps FROM ap GROUP BY scope""")
+def b4_poisson(spark, sf):
+    s = sales(spark, sf).withColumn("score", arm_score("a")).select("row_id", "grp", "y", "score")
+    values = B.poisson_scope_ap(s, POISSON_REPS, "ap", []).withColumnRenamed("ap", "value")
+    return rounded(B.point_and_interval(values, ["scope"]), "estimate", "ci_low", "ci_high")
+
+
 ARMS = {"plain": 100, "weighted": 200, "robust": 300}
 REPS = 20
 SPECS = [
@@ -164,7 +203,7 @@ def loco(spark, sf):
     base = rows.select("row_id", "grp", "y").distinct()
     draws = B.bootstrap_draws(base, ["grp", "y"], REPS, "loco")
     weighted = B.with_draws(rows, draws)
-    ap = cut(M.average_precision(weighted, ["grp", "arm", "seed", "rep"], F.col("c"), edges_from=rows))
+    ap = cut(M.average_precision(weighted, ["grp", "arm", "seed", "rep"], F.col("c")))
     ap = ap.withColumnRenamed("grp", "held_out").withColumn("metric", F.lit("P"))
     boot = ap.groupBy("held_out", "arm", "rep", "metric").agg(F.avg("ap").alias("value"))
     per_seed = ap.where(F.col("rep") == B.POINT).select("held_out", "arm", "seed", "metric", F.col("ap").alias("value"))
@@ -236,7 +275,7 @@ NET_SQL = """SELECT measure, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.
 FROM (SELECT c.measure, c.d - n.d AS v FROM crossed c JOIN noise n ON c.rep = n.rep AND c.measure = n.measure) GROUP BY measure"""
 
 
-@query("b10_group_disagreement", with_cte(sql_attribution("a", 1, 8, "a"), f"""
+@query("b10_group_disagreement", with_cte(sql_attribution("a", 1, 32, "a"), f"""
 rws AS (SELECT DISTINCT row_id, grp FROM a), reps AS (SELECT CAST(unnest(range({HALF_REPS})) AS INTEGER) AS rep),
 rk AS (SELECT rep, grp, row_id, row_number() OVER (PARTITION BY rep, grp ORDER BY {sql_key('half', 'rep', 'row_id')}, row_id) AS r FROM rws, reps),
 hv AS (SELECT rep, grp, row_id, CASE WHEN r > {HALF_SIZE} THEN 1 ELSE 0 END AS half FROM rk WHERE r <= {2 * HALF_SIZE}),
@@ -246,14 +285,14 @@ cp AS (SELECT x.rep, x.k AS ka, y.k AS kb FROM ks x JOIN ks y ON x.rep = y.rep A
 np AS (SELECT x.rep, x.k AS ka, y.k AS kb FROM ks x JOIN ks y ON x.rep = y.rep AND x.half = 0 AND y.half = 1 AND x.grp = y.grp)""",
     disagreement_sql("cp", "crossed"), disagreement_sql("np", "noise")) + NET_SQL)
 def b10(spark, sf):
-    out = B.group_disagreement_beyond_noise(attribution(spark, sf, 1, 8, "a"), HALF_SIZE, HALF_REPS, "half")
+    out = B.group_disagreement_beyond_noise(attribution(spark, sf, 1, 32, "a"), HALF_SIZE, HALF_REPS, "half")
     return rounded(out, "mean", "ci_low", "ci_high")
 
 
 MODEL_SIZE = 60
 
 
-@query("b10_model_disagreement", with_cte(sql_attribution("a", 1, 8, "a"), sql_attribution("b", 9, 16, "b"), f"""
+@query("b10_model_disagreement", with_cte(sql_attribution("a", 1, 32, "a"), sql_attribution("b", 33, 64, "b"), f"""
 rws AS (SELECT DISTINCT row_id FROM a), reps AS (SELECT CAST(unnest(range({HALF_REPS})) AS INTEGER) AS rep),
 rk AS (SELECT rep, row_id, row_number() OVER (PARTITION BY rep ORDER BY {sql_key('half', 'rep', 'row_id')}, row_id) AS r FROM rws, reps),
 hv AS (SELECT rep, row_id, CASE WHEN r > {MODEL_SIZE} THEN 1 ELSE 0 END AS half FROM rk WHERE r <= {2 * MODEL_SIZE}),
@@ -263,7 +302,7 @@ cp AS (SELECT rep, rep || '-a-0' AS ka, rep || '-b-0' AS kb FROM reps),
 np AS (SELECT rep, rep || '-a-0' AS ka, rep || '-a-1' AS kb FROM reps UNION ALL SELECT rep, rep || '-b-0', rep || '-b-1' FROM reps)""",
     disagreement_sql("cp", "crossed"), disagreement_sql("np", "noise")) + NET_SQL)
 def b10_models(spark, sf):
-    out = B.model_disagreement_beyond_noise(attribution(spark, sf, 1, 8, "a"), attribution(spark, sf, 9, 16, "b"), MODEL_SIZE, HALF_REPS, "half")
+    out = B.model_disagreement_beyond_noise(attribution(spark, sf, 1, 32, "a"), attribution(spark, sf, 33, 64, "b"), MODEL_SIZE, HALF_REPS, "half")
     return rounded(out, "mean", "ci_low", "ci_high")
 
 

@@ -60,14 +60,14 @@ def j6(spark, sf):
 
 
 @query("j7_full_outer", """
-WITH a AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 5 AND l_discount > 0.08 GROUP BY 1),
-b AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 5 AND l_discount > 0.08 GROUP BY 1)
+WITH a AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+b AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, a.n AS n_returned, b.n AS n_accepted FROM a FULL OUTER JOIN b ON a.k = b.k""")
 def j7(spark, sf):
-    small = table(spark, sf, "lineitem").where("l_quantity < 5 AND l_discount > 0.08")
+    items = table(spark, sf, "lineitem")
 
     def side(flag, name):
-        return small.where(F.col("l_returnflag") == flag).groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias(name))
+        return items.where(F.col("l_returnflag") == flag).groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias(name))
 
     return side("R", "n_returned").join(side("A", "n_accepted"), "k", "full_outer")
 
@@ -101,12 +101,12 @@ def w1(spark, sf):
     return Q.rank_min(counts, ["p_type"], F.desc("n"))
 
 
-@query("w2_rank_ordinal", with_cte(sql_attribution("a", 1, 8, "a")) + """
+@query("w2_rank_ordinal", with_cte(sql_attribution("a", 1, 32, "a")) + """
 SELECT row_id, feature, CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(value) DESC, pos) AS INTEGER) AS rank FROM a""")
 def w2(spark, sf):
     from plumbline.operators.attribution import feature_ranks
 
-    return feature_ranks(attribution(spark, sf, 1, 8, "a"), "pos").select("row_id", "feature", "rank")
+    return feature_ranks(attribution(spark, sf, 1, 32, "a"), "pos").select("row_id", "feature", "rank")
 
 
 @query("w3_rank_average", with_cte(EVENTS) + """

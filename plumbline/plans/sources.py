@@ -146,10 +146,10 @@ def s7(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("s8_attributions", with_cte(sql_attribution("a", 1, 8, "a"), sql_attribution("b", 9, 16, "b")) + """
+@query("s8_attributions", with_cte(sql_attribution("a", 1, 32, "a"), sql_attribution("b", 33, 64, "b")) + """
 SELECT set_id, feature, 'hash' AS method, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
 def s8(spark, sf):
-    values = attribution(spark, sf, 1, 8, "a").unionByName(attribution(spark, sf, 9, 16, "b"))
+    values = attribution(spark, sf, 1, 32, "a").unionByName(attribution(spark, sf, 33, 64, "b"))
     header = values.select("set_id").distinct().select("set_id", F.lit("hash").alias("method"), F.lit("logit").alias("space"), F.lit(0.0).alias("base_value"))
     loaded, head = S.load_attributions(spark, S.save_attributions(values, header, scratch_path(spark, "attributions")))
     joined = loaded.join(head.select("set_id", "method"), "set_id")

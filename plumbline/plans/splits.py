@@ -37,8 +37,7 @@ def d2(spark, sf):
 SELECT h.held_out, count(*) FILTER (grp <> held_out) AS train_rows, count(*) FILTER (grp = held_out) AS val_rows
 FROM sales, (SELECT DISTINCT grp AS held_out FROM sales) h GROUP BY h.held_out""")
 def d3(spark, sf):
-    spread = D.leave_one_group_out(sales(spark, sf).select("grp"), "grp")
-    return spread.groupBy("held_out").agg(F.count_if(~F.col("is_val")).alias("train_rows"), F.count_if("is_val").alias("val_rows"))
+    return D.split_sizes(D.leave_one_group_out(sales(spark, sf).select("grp"), "grp"))
 
 
 @query("d4_stratified_holdout", with_cte(SALES) + f"SELECT row_id, {rank_sql('y', 'hold')} <= floor(count(*) OVER (PARTITION BY y) * 0.2 + 0.5) AS is_holdout FROM sales")

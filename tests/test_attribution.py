@@ -99,6 +99,49 @@ def test_curve_end_points(rows):
     assert "comprehensiveness@3" in metrics and "comprehensiveness@5" not in metrics
 
 
+def brute_coalitions(x, reference, predict):
+    m = x.shape[1]
+    out = np.zeros((len(x), 1 << m))
+    for mask in range(1 << m):
+        keep = [j for j in range(m) if mask >> j & 1]
+        for i, row in enumerate(x):
+            mixed = reference.copy()
+            mixed[:, keep] = row[keep]
+            out[i, mask] = np.mean(predict(mixed.T))
+    return out
+
+
+@pytest.mark.parametrize("block", [E.REFERENCE_BLOCK, 4])
+def test_coalitions_beyond_one_aggregate_and_one_block(spark, monkeypatch, block):
+    monkeypatch.setattr(E, "REFERENCE_BLOCK", block)
+    rng = np.random.default_rng(1)
+    names = [f"x{j}" for j in range(6)]
+    x, b = np.round(rng.normal(size=(9, 6)), 2), np.round(rng.normal(size=(37, 6)), 1)
+
+    def predict(v):
+        return v[0] * v[1] - 2 * v[2] * v[3] * v[5] + v[4] + 0.5 * v[1] * v[5]
+
+    schema = ", ".join(f"{n} double" for n in names)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], f"row_id long, {schema}")
+    ref = spark.createDataFrame([tuple(map(float, r)) for r in b], schema)
+    got = {r.row_id: r.v for r in E.coalition_values(df, names, ref, predict).collect()}
+    assert np.allclose([got[i] for i in range(9)], brute_coalitions(x, b, predict))
+    phi = E.exact_shapley(df, names, ref, predict)
+    out = df.select("row_id", predict([F.col(n) for n in names]).alias("output"))
+    assert E.check_efficiency(phi, out, 1e-9).first()["passed"]
+    assert E.interaction_summary(E.shapley_interactions(df, names, ref, predict), phi).first()["max_row_sum_error"] < 1e-9
+
+
+def test_missing_values_make_their_rows_null(spark, rows):
+    df, ref = rows
+    odd = df.unionByName(spark.createDataFrame([(100, None, 1.0, 2.0)], df.schema))
+    got = E.exact_shapley(odd, FEATURES, ref, additive).where("row_id = 100").collect()
+    assert [r.value for r in got] == [None] * 3 and got[0].base_value is not None
+    assert E.exact_shapley(df.limit(0), FEATURES, ref, additive).count() == 0
+    with pytest.raises(Exception, match="at least one point"):
+        E.exact_shapley(df, FEATURES, ref.limit(0), additive).collect()
+
+
 def test_too_many_players(rows):
     df, ref = rows
     with pytest.raises(ValueError):
@@ -114,10 +157,10 @@ def test_grouping_longest_prefix_and_failures(spark):
     a = attr(spark, [[1, 2, 3, 4, 5]], names)
     got = {r["feature"]: r["value"] for r in E.group_columns(a, ["job", "job_type"], ["size"], {"size_outlier": "size"}).collect()}
     assert got == {"job": 1.0, "job_type": 5.0, "size": 9.0}
-    with pytest.raises(ContractError, match="no encoded column"):
-        E.group_columns(a, ["job", "job_type"], ["size", "age"], {"size_outlier": "size"})
+    with pytest.raises(Exception, match="no encoded column maps to age"):
+        E.group_columns(a, ["job", "job_type"], ["size", "age"], {"size_outlier": "size"}).collect()
     with pytest.raises(Exception, match="belongs to no raw feature"):
-        E.group_columns(attr(spark, [[1.0]], ["other"]), ["job"], [])
+        E.group_columns(attr(spark, [[1.0]], ["other"]), ["job"], []).collect()
 
 
 def test_zero_total_has_no_share(spark):

@@ -162,6 +162,50 @@ def test_bootstrap_keeps_stratum_sizes(spark):
     assert sizes == {(rep, s): n for rep in range(50) for s, n in (("a", 30), ("b", 70))}
 
 
+def test_poisson_counts_are_poisson_and_need_no_shuffle(spark):
+    rows = spark.range(4000).withColumnRenamed("id", "row_id").withColumn("y", (F.col("row_id") % 5 == 0).cast("int"))
+    drawn = B.poisson_draws(rows, 20, "s")
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    counts = drawn.toPandas()
+    points = counts[counts.rep == B.POINT]
+    assert sorted(points.row_id) == list(range(4000)) and (points.c == 1).all()
+    c = np.zeros((20, 4000), int)
+    for r in counts[counts.rep != B.POINT].itertuples():
+        c[r.rep, r.row_id] = r.c
+    assert abs(c.mean() - 1) < 0.015 and abs(c.var() - 1) < 0.04
+    for k, share in enumerate([0.3679, 0.3679, 0.1839, 0.0613, 0.0153]):
+        assert abs((c == k).mean() - share) < 0.006
+    assert abs(np.corrcoef(c[0], c[1])[0, 1]) < 0.06 and abs(np.corrcoef(c[:10].ravel(), c[10:].ravel())[0, 1]) < 0.02
+    again = B.poisson_draws(rows.repartition(7), 20, "s").toPandas()
+    key = ["rep", "row_id"]
+    assert counts.sort_values(key).c.tolist() == again.sort_values(key).c.tolist()
+
+
+def test_poisson_interval_agrees_with_exact_draws(spark):
+    rows = spark.range(600).select(F.col("id").alias("row_id"), (F.col("id") % 4 == 0).cast("int").alias("y"), F.lit("a").alias("grp"))
+
+    def rate(weighted, by):
+        return weighted.groupBy(*by, "grp").agg((F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("value"))
+
+    exact, poisson = (B.bootstrap_ci(rows, rate, ["grp"], 300, "s", poisson=p).first() for p in (False, True))
+    assert poisson["estimate"] == exact["estimate"] == 0.25 and poisson["approximate"] and poisson["reps"] == 300
+    assert abs(poisson["ci_low"] - exact["ci_low"]) < 0.01 and abs(poisson["ci_high"] - exact["ci_high"]) < 0.01
+    with pytest.raises(ValueError):
+        B.bootstrap_ci(rows, rate, ["grp"], 10, "s", strata=["y"], poisson=True)
+
+
+def test_prevalence_comes_from_all_arms(spark):
+    rows = [("a", 0, i, "x" if i % 2 else "y", int(i % 3 == 0), i / 40) for i in range(40)]
+    rows += [("b", 0, i, "x", int(i % 3 == 0), 1 - i / 40) for i in range(40) if i % 2]
+    df = spark.createDataFrame(rows, "arm string, seed int, row_id long, grp string, y int, score double")
+    got = {(r.arm, r.metric, r.scope): r.value for r in M.fairness_metrics(df).collect()}
+    for g in "xy":
+        labels = [r[4] for r in rows[:40] if r[3] == g]
+        assert got["a", "P_c", g] - got["a", "Ex_c", g] == pytest.approx(np.mean(labels))
+    assert ("b", "P_c", "y") not in got and ("b", "P", "pooled") in got
+
+
 def test_paired_tests_on_known_folds(spark):
     a = frame(spark, [(i, v) for i, v in enumerate([0.60, 0.58, 0.61, 0.59, 0.57])], "fold int, value double")
     b = frame(spark, [(i, v) for i, v in enumerate([0.58, 0.57, 0.58, 0.55, 0.52])], "fold int, value double")
@@ -224,6 +268,27 @@ def test_balanced_contexts_are_balanced(people):
     assert max(r["count"] for r in counts) - min(r["count"] for r in counts) <= 1
 
 
+def test_lists_are_dealt_without_rows_that_no_list_holds(people):
+    lists = X.stratified_contexts(people, ["grp", "y"], 8, 200, "c")
+    lists.collect()
+    sizes = people.groupBy("grp", "y").count().collect()
+    total = sum(r["count"] for r in sizes)
+    got = {(r.grp, r.y, r.list_id): r["count"] for r in lists.groupBy("grp", "y", "list_id").count().collect()}
+    for r in sizes:
+        take = math.floor(r["count"] * min(1.0, 200 / total))
+        assert all(got.get((r.grp, r.y, i), 0) == take for i in range(8))
+    assert "Generate explode" in (text := lists._jdf.queryExecution().optimizedPlan().toString())
+    assert not [line for line in text.split("Generate explode")[0].splitlines() if "Filter" in line]
+
+
+def test_held_out_splits_are_filters(people):
+    marked = D.leave_one_group_out(people, "grp")
+    for r in D.split_sizes(marked).collect():
+        train, held = D.held_out_split(marked, r.held_out)
+        assert (train.count(), held.count()) == (r.train_rows, r.val_rows)
+        assert train.where(F.col("grp") == r.held_out).count() == 0
+
+
 def test_batches_have_equal_groups_and_no_early_repeats(people):
     plan = X.balanced_batches(people, "grp", 30, 2, "b").toPandas()
     steps = math.ceil(400 / 30)
