@@ -2,16 +2,22 @@
 
 Two multinomials over hashed word unigrams and bigrams are counted, one over a
 trusted target and one over the raw corpus. A document's verdict is the mean of
-log(p_target / p_raw) over its n-grams, held against a fixed threshold. The number
-of cells follows the counted n-grams (CELL_NGRAMS a cell), so a cell means the same
-at every size. Own n-grams are taken out of both multinomials, so being labelled or
-not doesn't move a verdict, and a cell without other counts has ratio 0. Base
-statistics are computed inside the row; a text's cells are joined with the count
-table, which is broadcast up to BROADCAST_CELLS. No Python.
+log(p_target / p_raw) over its n-grams, held against a fixed threshold. The model
+has a cell for every CELL_CHARS characters of the corpus, up to MODEL_WIDTH cells:
+a hashed model's width, all n-grams of all texts are counted in it. Own n-grams
+are taken out of both multinomials, so being labelled or not doesn't move a verdict,
+and a cell without other counts has ratio 0.
+
+Counts are combined where the rows are and packed into one row of two arrays. These
+are literals of the judging expression (subqueries can't stand in lambdas, and as
+columns they would be copied into every row). Each text is judged inside its row: its
+sorted cells give its own counts, and the arrays the others'. Nothing is exploded or
+joined for a verdict, and what passes the driver is bounded by the width. No Python.
 
 Defined results: a NULL or blank text has no words, fails the base rules and is
 not kept; its ratio is 0. Repeated rows are judged alike, each on its own row.
-Other columns pass through; a clashing one is replaced by the operator's.
+Other columns pass through, whatever their names; a clashing one is replaced by the
+operator's.
 """
 
 from __future__ import annotations
@@ -24,8 +30,11 @@ from pyspark.sql import functions as F
 from plumbline.functions.session import cut
 from plumbline.llm.common import words_of
 
-#: n-grams in a cell on average, at any size of the corpus
-CELL_NGRAMS = 128
+#: characters of the corpus for one cell (about 128 n-grams), and the most cells
+CELL_CHARS = 396
+MODEL_WIDTH = 1 << 17
+#: cells that are packed together before all are
+_PACK = 1 << 12
 #: counts at the raw corpus's ratio that each cell has beside its own, so sparse cells have a ratio near 0
 PRIOR = 2.0
 THRESHOLD = -0.15
@@ -35,10 +44,6 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "[#*$%&|<>]"
 #: Trusted ids up to this number are broadcast; a larger set is joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-#: Cells up to this number are broadcast with their counts; more are joined by a shuffle.
-BROADCAST_CELLS = 3_000_000
-#: Then the cells with more than 1 / HOT of all n-grams are still broadcast.
-HOT = 10_000
 
 
 def _dup_count(items: Column) -> Column:
@@ -106,7 +111,7 @@ def with_base(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-#: what `judge` adds
+#: what the operator adds
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
 
 
@@ -114,92 +119,76 @@ def _bigrams(h2: str) -> Column:
     return F.slice(h2, F.lit(1), F.greatest(F.size(h2) - 1, F.lit(0)))
 
 
-def count_cells(marked: DataFrame, text: str, buckets: int | None) -> tuple[DataFrame, int, int, int]:
-    """(cell, r, t) over `marked`, which has boolean `_trusted`; with the n-grams in all and in the target, and the number of cells."""
-    n = F.greatest(2 * F.size(words_of(F.col(text))) - 1, F.lit(0)).cast("long")
-    total = marked.agg(F.sum(n).alias("r"), F.sum(F.when(F.col("_trusted"), n)).alias("t")).first()
-    n_raw, n_target = total["r"] or 0, total["t"] or 0
-    buckets = buckets or max(1, n_raw // CELL_NGRAMS)
-    grams = with_hashes(marked.select(F.col(text).alias("_text"), F.coalesce("_trusted", F.lit(False)).alias("t")), "_text")
-    cells = grams.select("t", F.explode(F.concat("_h1", _bigrams("_h2"))).alias("h")).groupBy(F.pmod("h", F.lit(buckets)).alias("cell"))
-    return cut(cells.agg(F.count("*").alias("r"), F.count_if("t").alias("t"))), n_raw, n_target, buckets
+def _cells(buckets: int) -> Column:
+    return F.transform(F.concat("_h1", _bigrams("_h2")), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
-def _own_cells(marked: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(a, b, own, n, cell, m): the m n-grams of a text of n in each cell. `a` and `b` are the text's hash, `own` its being trusted."""
-    grams = with_hashes(marked.select(F.col(text).alias("_text"), F.coalesce("_trusted", F.lit(False)).alias("own")), "_text")
-    ordered = grams.select(*_identity("_text"), "own", F.sort_array(F.transform(F.concat("_h1", _bigrams("_h2")), lambda h: F.pmod(h, F.lit(buckets)))).alias("s"))
-    places = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - 1))
-    first = ordered.withColumn("starts", F.filter(places, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))))
-    runs = F.transform("starts", lambda i, k: F.struct(F.get("s", i).alias("cell"), (F.coalesce(F.get("starts", k + 1), F.size("s")) - i).alias("m")))
-    # not explode: its inferred filter on the runs would be pushed below, with sorting anew for each entry
-    return first.select("a", "b", "own", F.size("s").alias("n"), F.explode_outer(runs).alias("x")).select("a", "b", "own", "n", "x.cell", "x.m")
+def model_width(docs: DataFrame, text: str) -> int:
+    """Cells for a corpus: one for every CELL_CHARS characters, at least one and at most MODEL_WIDTH."""
+    chars = docs.agg(F.sum(F.length(text).cast("bigint")).alias("n")).first()["n"] or 0
+    return max(1, min(MODEL_WIDTH, chars // CELL_CHARS))
 
 
-def _identity(text: str) -> list[Column]:
-    return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b")]
+def packed_counts(marked: DataFrame, text: str, buckets: int) -> tuple[str, str, int, int]:
+    """The counts by cell of all n-grams and of those of rows with `own`, as text, and the sums of both."""
+    every = marked.sparkSession.range(buckets).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("t"))
+    found = with_hashes(marked.select(F.col(text).alias("_text"), F.col("own").cast("bigint").alias("t")), "_text")
+    grams = found.select(F.explode(_cells(buckets)).alias("cell"), F.lit(1).cast("bigint").alias("r"), "t")
+    # every cell occurs, so that a cell's number is its place
+    counts = cut(grams.unionByName(every).groupBy("cell").agg(F.sum("r").alias("r"), F.sum("t").alias("t")))
+    rows = counts.groupBy(F.floor(F.col("cell") / _PACK).alias("part")).agg(F.array_sort(F.collect_list(F.struct("cell", "r", "t"))).alias("x"))
+    parts = rows.agg(F.array_sort(F.collect_list(F.struct("part", F.col("x.r").alias("r"), F.col("x.t").alias("t")))).alias("x"))
+    text_of = lambda name: F.array_join(F.flatten(F.col(f"x.{name}")).cast("array<string>"), " ").alias(name)
+    packed = parts.select(text_of("r"), text_of("t")).first()
+    sums = counts.agg(F.sum("r").alias("r"), F.sum("t").alias("t")).first()
+    return packed["r"], packed["t"], sums["r"], sums["t"]
 
 
-def log_ratios(marked: DataFrame, text: str = "text", buckets: int | None = None, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
-    """(a, b, own, llr) of each text that has words; copies of a text have the same ratio.
+def with_log_ratio(df: DataFrame, model: tuple[str, str, int, int], buckets: int) -> DataFrame:
+    """Adds `llr` to rows that have `own`, `_h1` and `_h2`: a text is judged on the counts of the others."""
+    raw, target = (F.split(F.lit(m), " ").cast("array<bigint>") for m in model[:2])  # each folded to one literal
+    n_raw, n_target = model[2:]
+    n, own = F.size("_cells"), F.col("own").cast("bigint")
+    share = (n_target - own * n) / F.nullif((n_raw - n).cast("double"), F.lit(0.0))
+    cells = df.withColumn("_cells", F.sort_array(_cells(buckets)))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    runs = cells.withColumn("_share", share).withColumn("_starts", F.filter(places, lambda i: (i == 0) | (F.get("_cells", i) != F.get("_cells", i - 1))))
 
-    A text is judged on the counts of the others: its own n-grams leave both multinomials.
-    """
-    counts, n_raw, n_target, buckets = count_cells(marked, text, buckets)
-    runs = _own_cells(marked, text, buckets)
-    if buckets <= broadcast_cells:
-        joined = runs.join(F.broadcast(counts), "cell")
-    else:
-        # at most HOT cells hold more than their share each; the rest has no hot key
-        hot = counts.where(F.col("r") * HOT > n_raw)
-        rest = runs.join(F.broadcast(hot.select("cell")), "cell", "left_anti")
-        joined = runs.join(F.broadcast(hot), "cell").unionByName(rest.join(counts.where(F.col("r") * HOT <= n_raw), "cell"))
-    share = (F.lit(float(n_target)) - F.when(F.col("own"), F.col("n")).otherwise(0)) / F.nullif(F.lit(float(n_raw)) - F.col("n"), F.lit(0.0))
-    others = F.col("r") - F.col("m")
-    trusted = F.col("t") - F.when(F.col("own"), F.col("m")).otherwise(0)
-    ratio = F.when(F.col("share") > 0, F.log((trusted + PRIOR * F.col("share")) / ((others + PRIOR) * F.col("share")))).otherwise(0.0)
-    return joined.withColumn("share", share).groupBy("a", "b", "own").agg((F.sum(F.col("m") * ratio) / F.sum("m")).alias("llr"))
-
-
-def judge(
-    docs: DataFrame, log_ratios: list[float], text: str = "text", threshold: float = THRESHOLD,
-    min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
-) -> DataFrame:
-    """Every row of `docs` with its statistics, `llr`, `base_failed` and `kept`."""
-    buckets = len(log_ratios)
-    table = F.split(F.lit(" ".join(map(repr, log_ratios))), " ").cast("array<double>")  # folded to one literal
-    def total(hashes: Column) -> Column:
-        return F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.get(table, F.pmod(h, F.lit(buckets)).cast("int")))
-    n_grams = F.greatest(2 * F.size("_w") - 1, F.lit(1))
-    judged = with_base(with_hashes(docs, text), text).withColumn("llr", (total(F.col("_h1")) + total(_bigrams("_h2"))) / n_grams)
-    return _with_verdict(judged, docs.columns, threshold, min_words, max_repeat_percent)
+    def term(i: Column, k: Column) -> Column:
+        m = F.coalesce(F.get("_starts", k + 1), n) - i
+        cell = F.get("_cells", i)
+        trusted, others = F.get(target, cell) - own * m, F.get(raw, cell) - m
+        return m * F.log((trusted + PRIOR * F.col("_share")) / ((others + PRIOR) * F.col("_share")))
 
+    total = F.aggregate(F.transform("_starts", term), F.lit(0.0), lambda a, x: a + x)
+    ratio = F.when((F.col("_share") > 0) & (n > 0), total / n).otherwise(0.0)
+    return runs.withColumn("llr", ratio).drop("_cells", "_share", "_starts")
 
-def _with_verdict(stated: DataFrame, columns: list[str], threshold: float, min_words: int, max_repeat_percent: int) -> DataFrame:
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    judged = stated.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    # A row number (never negative) makes the result indeterminate to the optimizer. Else a later filter
-    # on a statistic would be pushed down, with the statistic's whole computation at each of its uses.
-    result = F.when(F.monotonically_increasing_id() >= 0, F.struct(*STATISTICS)).alias("_result")
-    return judged.select(*[c for c in columns if c not in STATISTICS], result).select("*", "_result.*").drop("_result")
 
-
-def mark_trusted(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`docs` with boolean `_trusted`: whether `trusted_ids` holds the row's key."""
-    ids = trusted_ids.select(F.col(key).alias("_tid")).where("_tid is not null").distinct().withColumn("_trusted", F.lit(True))
+def mark_trusted(rows: DataFrame, trusted_ids: DataFrame, key: str) -> DataFrame:
+    """`rows` (with `id`) with boolean `own`: whether `trusted_ids` holds the id."""
+    ids = trusted_ids.select(F.col(key).alias("_tid")).where("_tid is not null").distinct().withColumn("_own", F.lit(True))
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, F.col(key) == F.col("_tid"), "left").drop("_tid")
+    marked = rows.join(F.broadcast(ids) if small else ids, F.col("id") == F.col("_tid"), "left")
+    return marked.withColumn("own", F.coalesce("_own", F.lit(False))).drop("_tid", "_own")
 
 
 def quality_rules(
     docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int | None = None,
-    broadcast_cells: int = BROADCAST_CELLS,
+    min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
 ) -> DataFrame:
-    """Fit on `docs` with the ids of the trusted target, then judge every row. `buckets` fixes the number of cells."""
-    marked = mark_trusted(docs, trusted_ids, key)
-    ratios = log_ratios(marked.select(text, "_trusted"), text, buckets, broadcast_cells).select(*[F.col(c).alias(f"_{c}") for c in ("a", "b", "own", "llr")])
-    names = [c.alias(f"_text_{i}") for i, c in enumerate(_identity(text))]
-    stated = with_base(with_hashes(marked.select("*", *names).withColumn("_trusted", F.coalesce("_trusted", F.lit(False))), text), text).drop("_w", "_h1", "_h2")
-    same = (F.col("_text_0") == F.col("_a")) & (F.col("_text_1") == F.col("_b")) & (F.col("_trusted") == F.col("_own"))
-    judged = stated.join(ratios, same, "left").withColumn("llr", F.coalesce("_llr", F.lit(0.0)))
-    return _with_verdict(judged, docs.columns, threshold, MIN_WORDS, MAX_REPEAT_PERCENT)
+    """Every row of `docs` with its statistics, `llr`, `base_failed` and `kept`; fitted on `docs` with the ids of the trusted target."""
+    # the caller's columns travel in one struct, so that none can clash with the inner ones
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(own.alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    marked = mark_trusted(rows, trusted_ids, key)
+    buckets = buckets or model_width(rows, "text")
+    model = packed_counts(marked.select("text", "own"), "text", buckets)
+    stated = with_log_ratio(with_base(with_hashes(marked, "text"), "text"), model, buckets)
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    judged = stated.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # A row number (never negative) makes the result indeterminate to the optimizer. Else a later filter
+    # on a statistic would be pushed down, with the statistic's whole computation at each of its uses.
+    result = F.when(F.monotonically_increasing_id() >= 0, F.struct(*STATISTICS)).alias("result")
+    kept = [c for c in docs.columns if c not in STATISTICS]
+    return judged.select("row", result).select(*[F.col("row").getField(c).alias(c) for c in kept], "result.*")
