@@ -5,12 +5,18 @@ every page's DOM tree is aligned with it by simple tree matching (the largest se
 node pairs that keeps parents and order; runs of equal siblings count as one repeated
 node, so lists and paragraphs of any length align). A text that the same node of the
 pivot has on most pages of the host is template; all else stands in varying slots. The
-counts cover all different pages, copies of one having one vote together: (host, node, text) triples are aggregated map-side, and only
-triples of most pages of a host are kept, so a host has few however many pages it has.
+counts cover all different pages, copies of one having one vote together: (host, node,
+text) triples are aggregated map-side, and only triples of most pages of a host are
+kept, so a host has few however many pages it has. Trees of any depth are walked
+without recursion.
 
 Content is then the text in varying slots outside of what isn't an article by its
 element or its class: menus, headers, footers, sidebars, forms, adverts, notices,
-comments. If a page has articles or a main part, content is looked for in there only.
+comments. A class or id counts as a whole: each of its words must name such a part or
+be neutral (`site-header`, not `has-sidebar` or `article-search`), and an element that
+holds the page's main part or article body is never outside by its class. Content is
+looked for in the main part or article body only, or else in the articles if they hold
+most of the text.
 
 Blocks are joined by one space, white space inside a block is one space, character
 references are decoded. Defined results: NULL and empty html give an empty text; a page
@@ -64,7 +70,7 @@ CLOSE_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 #: elements that are never part of an article's text
-OUTSIDE = frozenset("nav footer aside form button dialog head fieldset menu label input".split())
+OUTSIDE = frozenset("nav footer aside form button dialog head fieldset menu input".split())
 #: roles with the same meaning
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: words of classes and ids that name what isn't an article
@@ -74,39 +80,58 @@ OUTSIDE_WORDS = frozenset(
     "overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond discussion disqus share sharing social "
     "related recommended recommendations trending pagination pager tags taglist skip hidden form search paywall disclaimer copyright".split()
 )
+#: words that may stand beside them in one class or id
+NEUTRAL_WORDS = frozenset(
+    "site page global main primary secondary top bottom left right upper lower sticky fixed mobile desktop post posts entry wrapper wrap container holder "
+    "inner outer box block area section zone region slot unit panel group row column col list item items link links button buttons icon icons bar strip text "
+    "title label js id module component cmp the my user view".split()
+)
+#: how much of an article an element is: none, an article, the main part or an article's body
+NONE, ARTICLE, MAIN = 0, 1, 2
 
 
 class Node:
-    """An element: its tag, the nodes and texts in it, and whether it is outside of articles."""
+    """An element: its tag, the nodes and texts in it, whether it is outside of articles (for sure, or by its class), and which part of one it is."""
 
-    __slots__ = ("tag", "kids", "outside", "article")
+    __slots__ = ("tag", "kids", "outside", "named", "article")
 
-    def __init__(self, tag: str, outside: bool, article: bool):
-        self.tag, self.outside, self.article = tag, outside, article
+    def __init__(self, tag: str, outside: bool, named: bool, article: int):
+        self.tag, self.outside, self.named, self.article = tag, outside, named, article
         self.kids: list[Node | str] = []
 
 
-def _describe(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is outside of articles, and whether it is one."""
-    outside, article = tag in OUTSIDE or tag == "header", tag in ("article", "main")
+def names_outside(value: str) -> bool:
+    """Whether one of the blank-separated names of a class or id consists of outside words, neutral ones aside."""
+    for name in value.split():
+        words = [w.rstrip("0123456789") for w in re.split(r"[^a-z0-9]+", name)]
+        words = [w for w in words if w]
+        if any(w in OUTSIDE_WORDS for w in words) and all(w in OUTSIDE_WORDS or w in NEUTRAL_WORDS for w in words):
+            return True
+    return False
+
+
+def _describe(tag: str, attributes: str) -> tuple[bool, bool, int]:
+    """Whether an element is outside of articles, whether its class or id says so, and which part of an article it is."""
+    outside, named = tag in OUTSIDE or tag == "header", False
+    article = MAIN if tag == "main" else ARTICLE if tag == "article" else NONE
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words = re.split(r"[^a-z0-9]+", value)
-            outside |= any(w in OUTSIDE_WORDS for w in words)
+            named |= names_outside(value)
         elif name == "role":
             outside |= value in OUTSIDE_ROLES
-            article |= value in ("main", "article")
+            article = max(article, MAIN if value == "main" else ARTICLE if value == "article" else NONE)
         elif name == "itemprop":
-            article |= value == "articlebody"
+            article = max(article, MAIN if value == "articlebody" else NONE)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             outside = True
-    return outside and tag not in ("body", "html"), article
+    page = tag in ("body", "html")
+    return outside and not page, named and not page, article
 
 
 def parse(page: str) -> Node:
     """The page's tree. What is missing at the end is closed there; stray end tags are skipped."""
-    root = Node("#", False, False)
+    root = Node("#", False, False, NONE)
     stack = [root]
     at = 0
     for m in _TOKEN.finditer(page):
@@ -141,6 +166,9 @@ def parse(page: str) -> Node:
                         break
             node = Node(tag, *_describe(tag, attributes))
             stack[-1].kids.append(node)
+            if node.article == MAIN:
+                for holder in stack:
+                    holder.named = False
             if tag not in VOID and not attributes.rstrip().endswith("/"):
                 stack.append(node)
     if at < len(page):
@@ -167,18 +195,31 @@ def runs(node: Node) -> list[tuple[str, list[Node]]]:
 class Template:
     """A pivot tree as nested runs with numbers; all members of a run are one node."""
 
-    def __init__(self, nodes: list[Node], counter: list[int]):
-        self.number = counter[0]
-        counter[0] += 1
-        merged: list[tuple[str, list[Node]]] = []
-        for n in nodes:
-            merged = _merge(merged, runs(n))
-        self.size = 1
-        self.kids = []
-        for tag, members in merged:
-            kid = Template(members, counter)
-            self.kids.append((tag, kid))
-            self.size += kid.size
+    __slots__ = ("number", "kids")
+
+    def __init__(self, number: int):
+        self.number = number
+        self.kids: list[tuple[str, Template]] = []
+
+
+def _runs_of(nodes: list[Node]) -> list[tuple[str, list[Node]]]:
+    merged: list[tuple[str, list[Node]]] = []
+    for n in nodes:
+        merged = _merge(merged, runs(n))
+    return merged
+
+
+def template_of(root: Node) -> Template:
+    top, count = Template(0), 1
+    todo = [(top, [root])]
+    while todo:
+        node, members = todo.pop()
+        for tag, group in _runs_of(members):
+            kid = Template(count)
+            count += 1
+            node.kids.append((tag, kid))
+            todo.append((kid, group))
+    return top
 
 
 def _merge(a: list[tuple[str, list[Node]]], b: list[tuple[str, list[Node]]]) -> list[tuple[str, list[Node]]]:
@@ -194,29 +235,43 @@ def _merge(a: list[tuple[str, list[Node]]], b: list[tuple[str, list[Node]]]) ->
     return out + a[at:]
 
 
-def match(template: Template, nodes: list[Node], numbers: dict[int, int], depth: int = 0) -> int:
+def match(template: Template, nodes: list[Node], numbers: dict[int, int]) -> int:
     """Simple tree matching of a run of page nodes with a template node; numbers: id of page node -> template node."""
+    waiting = [_matching(template, nodes, numbers)]
+    score: int | None = None
+    while waiting:
+        try:
+            below = waiting[-1].send(score)
+        except StopIteration as done:
+            waiting.pop()
+            score = done.value
+        else:
+            waiting.append(_matching(*below))
+            score = None
+    return score or 0
+
+
+def _matching(template: Template, nodes: list[Node], numbers: dict[int, int]):
+    """One level of the matching: asks for its children's by yielding their arguments, and returns its score."""
     for n in nodes:
         numbers[id(n)] = template.number
-    if depth > 60:
-        return 1
-    merged: list[tuple[str, list[Node]]] = []
-    for n in nodes:
-        merged = _merge(merged, runs(n))
-    a, b = template.kids, merged
+    a, b = template.kids, _runs_of(nodes)
     if not a or not b:
         return 1
     if [t for t, _ in a] == [t for t, _ in b]:
-        return 1 + sum(match(k, members, numbers, depth + 1) for (_, k), (_, members) in zip(a, b))
-    trial: dict[tuple[int, int], tuple[int, dict[int, int]]] = {}
+        total = 1
+        for (_, kid), (_, members) in zip(a, b):
+            total += yield kid, members, numbers
+        return total
+    trial: dict[tuple[int, int], dict[int, int]] = {}
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, (tag, kid) in enumerate(a, 1):
         for j, (other, members) in enumerate(b, 1):
             best[i][j] = max(best[i - 1][j], best[i][j - 1])
             if tag == other:
                 own: dict[int, int] = {}
-                score = match(kid, members, own, depth + 1)
-                trial[i, j] = (score, own)
+                score = yield kid, members, own
+                trial[i, j] = own
                 best[i][j] = max(best[i][j], best[i - 1][j - 1] + score)
     i, j = len(a), len(b)
     while i and j:
@@ -225,16 +280,16 @@ def match(template: Template, nodes: list[Node], numbers: dict[int, int], depth:
         elif best[i][j] == best[i][j - 1]:
             j -= 1
         else:
-            numbers.update(trial[i, j][1])
+            numbers.update(trial[i, j])
             i, j = i - 1, j - 1
     return 1 + best[len(a)][len(b)]
 
 
-def blocks(root: Node) -> list[tuple[str, Node, bool, bool]]:
-    """(text, innermost block element, outside, in an article) of each block of text, in page order."""
-    out: list[tuple[str, Node, bool, bool]] = []
+def blocks(root: Node) -> list[tuple[str, Node, bool, int]]:
+    """(text, innermost block element, outside, which part of an article it is in) of each block of text, in page order."""
+    out: list[tuple[str, Node, bool, int]] = []
     piece: list[str] = []
-    state: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    state: list[tuple[Node, bool, int]] = [(root, False, NONE)]
 
     def close() -> None:
         text = plain("".join(piece))
@@ -242,7 +297,7 @@ def blocks(root: Node) -> list[tuple[str, Node, bool, bool]]:
         if text:
             out.append((text, *state[-1]))
 
-    todo: list[tuple[Node, int, bool, bool]] = [(root, 0, False, False)]
+    todo: list[tuple[Node, int, bool, int]] = [(root, 0, False, NONE)]
     while todo:
         node, at, outside, article = todo.pop()
         if at == len(node.kids):
@@ -250,7 +305,7 @@ def blocks(root: Node) -> list[tuple[str, Node, bool, bool]]:
                 close()
                 state.pop()
                 if not state:
-                    state.append((root, False, False))
+                    state.append((root, False, NONE))
             continue
         todo.append((node, at + 1, outside, article))
         kid = node.kids[at]
@@ -260,9 +315,9 @@ def blocks(root: Node) -> list[tuple[str, Node, bool, bool]]:
             if kid.tag in ("br", "hr"):
                 piece.append("\n")
         else:
-            inner = article or kid.article
+            inner = max(article, kid.article)
             # the head of an article isn't the page's
-            away = outside or (kid.outside and not (kid.tag == "header" and article))
+            away = outside or kid.named or (kid.outside and not (kid.tag == "header" and article))
             if kid.tag not in INLINE or away != outside:
                 close()
                 state.append((kid, away, inner))
@@ -277,23 +332,16 @@ def text_of(page: str, pivot: Template | None, constant: set[tuple[int, int]]) -
     numbers: dict[int, int] = {}
     if pivot is not None and constant:
         match(pivot, [root], numbers)
-    found = blocks(root)
-    narrowed = any(article and not outside for _, _, outside, article in found)
-    kept = [
-        text for text, node, outside, article in found
-        if not outside and (article or not narrowed) and (numbers.get(id(node), -1), _hash(text)) not in constant
-    ]
-    return " ".join(kept)
+    found = [b for b in blocks(root) if not b[2]]
+    sizes = [sum(len(text) for text, _, _, part in found if part >= level) for level in (NONE, ARTICLE, MAIN)]
+    least = MAIN if sizes[MAIN] else ARTICLE if 2 * sizes[ARTICLE] >= sizes[NONE] else NONE
+    return " ".join(text for text, node, _, part in found if part >= least and (numbers.get(id(node), -1), _hash(text)) not in constant)
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def _template(page: str) -> Template:
-    return Template([parse(page)], [0])
-
-
 class _Pivots(dict):
     """Pivot trees of a task's hosts."""
 
@@ -301,7 +349,7 @@ class _Pivots(dict):
         if page not in self:
             if len(self) >= 256:
                 self.clear()
-            self[page] = _template(page)
+            self[page] = template_of(parse(page))
         return self[page]
 
 

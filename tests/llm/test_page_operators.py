@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,13 +60,66 @@ def test_no_pages(pages):
 
 
 def test_matching_keeps_order_and_parents():
-    tree = html_extract.Template([html_extract.parse("<div><h1>a</h1><p>b</p><ul><li>c</ul></div>")], [0])
-    assert tree.size == 6
+    tree = html_extract.template_of(html_extract.parse("<div><h1>a</h1><p>b</p><ul><li>c</ul></div>"))
     assert html_extract.match(tree, [html_extract.parse("<div><p>x</p><p>y</p><ul><li>1<li>2</ul></div>")], {}) == 5
     assert html_extract.match(tree, [html_extract.parse("<div><ul><li>1</ul><h1>z</h1></div>")], {}) == 4
     assert html_extract.match(tree, [html_extract.parse("<section><p>x</section>")], {}) == 1
 
 
+def brute_match(template, nodes) -> int:
+    """The largest pairing by trying, for every pair of child lists, all ways to skip one or pair both."""
+    a, b = template.kids, html_extract._runs_of(nodes)
+
+    def best(i: int, j: int) -> int:
+        if i == len(a) or j == len(b):
+            return 0
+        pair = best(i + 1, j + 1) + brute_match(a[i][1], b[j][1]) if a[i][0] == b[j][0] else 0
+        return max(best(i + 1, j), best(i, j + 1), pair)
+
+    return 1 + best(0, 0)
+
+
+def test_matching_is_that_of_brute_force():
+    rng = random.Random(5)
+
+    def tree(depth: int) -> str:
+        kids = "".join(tree(depth - 1) for _ in range(rng.randint(0, 4))) if depth else "x"
+        tag = rng.choice(["div", "section", "b", "ul"])
+        return f"<{tag}>{kids}</{tag}>"
+
+    for _ in range(300):
+        one, other = (html_extract.parse(tree(3) + tree(3)) for _ in range(2))
+        pivot = html_extract.template_of(one)
+        numbers: dict[int, int] = {}
+        assert html_extract.match(pivot, [other], numbers) == brute_match(pivot, [other])
+        assert len(set(numbers.values())) <= brute_match(pivot, [other])
+
+
+def test_deep_pages_of_one_host(spark):
+    deep = lambda i: "<div>" * 5000 + f"<p>deep {i}</p>" + ("<p>same</p>" if i % 2 else "<b>same</b>") + "</div>" * 5000
+    rows = [(i, "http://deep.org/", deep(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i].startswith(f"deep {i}") for i in range(8))
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post no-comments", "side-effects", "article-search", "social-science-article", "layout-with-nav"])
+def test_names_that_only_mention_a_part_keep_their_text(name):
+    assert html_extract.text_of(f'<body><div class="{name}"><p>Own text.</p></div></body>', None, set()) == "Own text."
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-header", "cookie-banner", "ad-slot-2", "post-comments", "x newsletter-signup", "main-nav", "share_buttons"])
+def test_names_of_parts_are_outside(name):
+    assert html_extract.text_of(f'<body><div id="{name}"><p>Other.</p></div><p>Own text.</p></body>', None, set()) == "Own text."
+
+
+def test_main_parts_and_teasers():
+    text = lambda page: html_extract.text_of(page, None, set())
+    assert text("<div><p>A long story about many things.</p></div><article>Other.</article>").startswith("A long story")
+    assert text("<div>Menu words</div><article><p>A long story about many things.</p></article>") == "A long story about many things."
+    assert text('<div class="sidebar"><main><p>Story</p></main></div><p>x</p>') == "Story"
+    assert text("<p>See <label>x</label> and y</p>") == "See x and y"
+
+
 @pytest.mark.parametrize("slice_blocks", [capture_index.SLICE, 1])
 def test_archives_round_trip(spark, pages, slice_blocks, monkeypatch):
     monkeypatch.setattr(capture_index, "BLOCK_ROWS", 3)
