@@ -13,7 +13,8 @@ shuffled are identifiers and their contexts.
 
 Defined results: a NULL or empty text has no spans. Rows equal in key and text share
 their result. Spans of one kind don't overlap, added spans overlap no base span.
-Positions are code points, the end is exclusive.
+Positions are code points, the end is exclusive. The work on a text grows with its
+length. Other columns pass through redact(), whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ IP_VALID = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[
 #: words with a digit or an at sign
 CANDIDATE = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
 
+#: entries of an array that are folded at once
+CHUNK = 256
+#: characters of a text from block to block
+BLOCK = 1 << 14
 ROUNDS = 3
 MIN_SEEDS = 5
 MIN_SCORE = 0.8
@@ -45,19 +50,49 @@ MIN_SCORE = 0.8
 BROADCAST_ROWS = 200_000
 
 
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running combination (sum, maximum) of non-negative integers, in chunks.
+
+    Appending copies an array, so one fold over n values would copy n^2 / 2; chunks of
+    CHUNK and a fold over their totals copy n * CHUNK / 2 + (n / CHUNK)^2 / 2.
+    """
+    nothing = F.array().cast("array<int>")
+
+    def scan(part: Column, before: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            return F.struct(combine(a["at"], x).alias("at"), F.array_append(a["out"], combine(a["at"], x)).alias("out"))
+
+        return F.aggregate(part, F.struct(before.alias("at"), nothing.alias("out")), step, lambda a: a["out"])
+
+    def whole(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), combine))
+        return _bound(scan(totals, F.lit(0)), lambda t: F.flatten(F.transform(parts, lambda part, i: scan(part, F.coalesce(F.get(t, i - 1), F.lit(0))))))
+
+    def cut_up(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int"))
+        parts = F.transform(numbers, lambda c: F.slice(v, c * CHUNK + 1, CHUNK))
+        return F.when(F.size(v) > 0, _bound(parts, whole)).otherwise(nothing)
+
+    return _bound(values, cut_up)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, m) of the leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    nothing = F.array().cast("array<struct<start:int,end:int,m:string>>")
 
-    def step(a: Column, z: Column) -> Column:
-        start = a["at"] + F.length(z["b"])
-        end = start + F.length(z["m"])
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"), z["m"].alias("m"))).alias("out"))
+    def placed(ms: Column) -> Column:
+        # what lies before a match, and the match: their lengths run up to the matches' ends
+        lengths = F.zip_with(ms, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(ms)), lambda m, b: F.length(m) + F.length(b))
+        ends = running(lengths, lambda a, x: a + x)
+        return F.zip_with(ms, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("m")))
 
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda a: a["out"])
+    nothing = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    return _bound(found, lambda ms: F.when(F.size(ms) > 0, placed(ms)).otherwise(nothing))
 
 
 def _digits(m: Column) -> Column:
@@ -104,14 +139,38 @@ def candidate_spans(text: Column, base: Column) -> Column:
     """Identifier-like words (an at sign between letters, or six digits and more) that meet no base span."""
     found = F.transform(matches(text, CANDIDATE), _trimmed)
     alike = F.filter(found, lambda s: s["m"].rlike("[A-Za-z0-9]@[A-Za-z0-9]") | (F.length(_digits(s["m"])) >= 6))
-    free = F.filter(alike, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.when(text.rlike("[0-9@]"), free).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
+
+    def free(far: Column) -> Column:
+        # far: by base span, the farthest end so far; of the spans that start before a candidate's end, none may reach into it
+        def steps(s: Column) -> Column:
+            def farther(n: Column, step: Column) -> Column:
+                inside = (n + step <= F.size(base)) & (F.get(base, n + step - 1)["start"] < s["end"])
+                return F.when(inside, n + step).otherwise(n)
+
+            return F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(28))]), F.lit(0), farther)
+
+        return F.filter(alike, lambda s: F.coalesce(F.get(far, steps(s) - 1) <= s["start"], F.lit(True)))
+
+    ends = running(F.transform(base, lambda b: b["end"]), lambda a, x: F.greatest(a, x))
+    return F.when(text.rlike("[0-9@]"), _bound(ends, free)).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
 
 
-def _context(text: Column, start: Column, end: Column) -> Column:
+def blocks_of(text: Column) -> Column:
+    """The text from every BLOCK-th character on, 2 * BLOCK characters each: a piece is found there without counting from the text's start."""
+    numbers = F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK).cast("int"))
+    return F.when(F.length(text) > BLOCK, F.transform(numbers, lambda i: F.substring(text, i * BLOCK + 1, F.lit(2 * BLOCK)))).otherwise(F.array(text))
+
+
+def piece(blocks: Column, text: Column, at: Column, length: Column) -> Column:
+    """`length` characters from `at` (from 0) on."""
+    near = F.substring(F.get(blocks, F.floor(at / BLOCK).cast("int")), at % BLOCK + 1, length)
+    return F.when(length <= BLOCK, near).otherwise(F.substring(text, at + 1, length))
+
+
+def _context(blocks: Column, text: Column, start: Column, end: Column) -> Column:
     """The lower-case words before and after, of at most 40 characters each; empty at the text's ends."""
-    before = F.substring(text, F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64)))
-    after = F.substring(text, end + 1, F.lit(64))
+    before = piece(blocks, text, F.greatest(start - 64, F.lit(0)), F.least(start, F.lit(64)))
+    after = piece(blocks, text, end, F.lit(64))
     left = F.regexp_extract(before, r"([^ \t-\r]{1,40})[ \t-\r]*$", 1)
     right = F.regexp_extract(after, r"^[^ \t-\r]?[ \t-\r]*([^ \t-\r]{1,40})", 1)
     return F.array(F.concat(F.lit("<"), F.lower(left)), F.concat(F.lit(">"), F.lower(right)))
@@ -122,10 +181,10 @@ def read_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), t.alias("t"))
     rows = rows.withColumn("base", base_spans(F.col("t")))
-    rows = rows.withColumn("free", candidate_spans(F.col("t"), F.col("base")))
+    rows = rows.withColumn("free", candidate_spans(F.col("t"), F.col("base"))).withColumn("blocks", blocks_of(F.col("t")))
 
     def placed(rank: Column, s: Column) -> Column:
-        return F.struct(rank.alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), _context(F.col("t"), s["start"], s["end"]).alias("patterns"))
+        return F.struct(rank.alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), _context(F.col("blocks"), F.col("t"), s["start"], s["end"]).alias("patterns"))
 
     seen = F.concat(
         F.transform("base", lambda s: placed(s["rank"], s)), F.transform("free", lambda s: placed(F.lit(None).cast("int"), s)),
@@ -188,21 +247,26 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with every span of the text replaced by its kind in angle brackets."""
-    found = cut(find(docs, key, text).where("size(spans) > 0").select(F.col(key).alias("_k"), F.col("h").alias("_h"), "spans"))
-    found = found.dropDuplicates(["_k", "_h"])
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_h"))
+    found = cut(find(docs, key, text).where("size(spans) > 0").select(F.col(key).alias("k"), "h", "spans")).dropDuplicates(["k", "h"])
+    # the caller's columns travel in one struct, so that none can clash with the inner ones
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t"))
+    same = F.col("id").eqNullSafe(F.col("k")) & (F.xxhash64("t") == F.col("h"))
     labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    t = F.col(text)
+    t = F.col("t")
+
+    def cleaned(far: Column) -> Column:
+        def before(s: Column, i: Column) -> Column:
+            # a span inside an earlier one leaves nothing of its own
+            at = F.coalesce(F.get(far, i - 1), F.lit(0))
+            kept = piece(F.col("blocks"), t, at, F.greatest(s["start"] - at, F.lit(0)))
+            return F.concat(kept, F.when(s["end"] > at, F.get(labels, s["rank"])).otherwise(""))
 
-    def before(s: Column, i: Column) -> Column:
-        # a span inside an earlier one leaves nothing of its own
-        at = F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda p: p["end"])), F.lit(0))
-        return F.concat(F.substring(t, at + 1, F.greatest(s["start"] - at, F.lit(0))), F.when(s["end"] > at, F.get(labels, s["rank"])).otherwise(""))
+        last = F.get(far, F.size(far) - 1)
+        return F.concat(F.array_join(F.transform("spans", before), ""), F.substring(t, last + 1, F.length(t)))
 
-    last = F.array_max(F.transform("spans", lambda s: s["end"]))
-    clean = F.concat(F.array_join(F.transform("spans", before), ""), F.substring(t, last + 1, F.length(t)))
-    out = docs.join(_small(found), same, "left")
-    return out.withColumn(text, F.when(F.col("spans").isNotNull(), clean).otherwise(t)).select(*docs.columns)
+    clean = _bound(running(F.transform("spans", lambda s: s["end"]), lambda a, x: F.greatest(a, x)), cleaned)
+    out = rows.join(_small(found), same, "left").withColumn("blocks", F.when(F.col("spans").isNotNull(), blocks_of(t))).withColumn("clean", F.when(F.col("spans").isNotNull(), clean).otherwise(t))
+    return out.select(*[F.col("clean").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def count_of(spans: Column, rank: int) -> Column:

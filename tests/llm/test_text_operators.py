@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -453,3 +454,25 @@ def test_crossing_tokens():
     starts, ends = np.array([0, 2, 5, 6, 7, 8]), np.array([2, 4, 6, 7, 9, 9])
     counts, crossing, between = token_counts.attribute(starts, ends, sections)
     assert counts.tolist() == [2, 1, 2] and crossing.tolist() == [1, 0, 1] and between == 1
+
+
+def test_personal_data_in_a_very_long_text(spark):
+    text = " ".join(f"w{i} 10.0.{i % 300}.{i % 7} a{i}@b.org" if i % 10 == 0 else f"id{i}23456" for i in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")
+    start = time.perf_counter()
+    read = pii.read_spans(docs, "doc_id", "text").select("k", "base", F.size("seen").alias("n_seen")).collect()
+    found = {r.k: r.base for r in read}
+    assert max(r.n_seen for r in read) > 200_000
+    assert time.perf_counter() - start < 60
+    places = [(m.start(), 0, m.end()) for m in re.finditer(r"a\d+@b\.org", text)]
+    places += [(m.start(), 1, m.end()) for m in re.finditer(r"10\.0\.(\d+)\.\d", text) if int(m[1]) <= 255]
+    assert [tuple(x) for x in found[1]] == sorted(places) and found[2] == []
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = "_k _h spans blocks k h k2 h2 row id t clean base added m start end rank".split()
+    texts = ["mail a@b.org or 10.0.0.1.", "none", None, "a@b.org"]
+    docs = spark.createDataFrame([(i, x, *range(len(names))) for i, x in enumerate(texts)], "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    got = sorted(pii.redact(docs).collect(), key=lambda r: r.doc_id)
+    assert pii.redact(docs).columns == docs.columns and {r.spans for r in got} == {2}
+    assert [r.text for r in got] == ["mail <EMAIL> or <IP>.", "none", None, "<EMAIL>"]
