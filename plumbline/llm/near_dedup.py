@@ -13,7 +13,8 @@ Buckets are never expanded into all pairs:
    share a bucket with it (most central: the largest sum of its buckets' sizes);
 2. verified links give components; only buckets that still hold several components
    go on. There each member outside the bucket's largest component is compared with
-   the likeliest of one member of that component per bucket, twice;
+   the likeliest of two members per bucket, one of that component and one of the
+   others, drawn anew in each round, as long as rounds bring members in;
 3. what is still outside is compared with all members of other components, each pair
    in its first common bucket only. Pairs inside a component can't change it.
 A pair goes on if the registers' likelihood leaves the similarity possible: in 1 the
@@ -42,7 +43,9 @@ M = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
 #: bit planes of register bits, and 64-bit words of each
 PLANES, WORDS = 3, -(-M // 64)
-STAR_ROUNDS = 2
+#: Stars are drawn while they bring members into their bucket's top: rounds at most, and the share of members outside it from which on they stop.
+STAR_ROUNDS = 8
+STAR_GAIN = 0.9
 #: Log-likelihood by which "below the similarity" must beat it for a pair to be dropped unseen: a chance of about e^-20.
 MARGIN = 20.0
 _CACHED_WORDS = 150_000
@@ -250,10 +253,17 @@ def _mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(placed.join(largest, "bucket"))
 
 
-def _likeliest(mixed: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each member outside its bucket's top, the likeliest of one member of each bucket's top."""
-    chosen = mixed.where("root = top").groupBy("bucket").agg(F.max(F.struct(F.xxhash64("c"), "c")).alias("y")).select("bucket", F.col("y.c").alias("yc"))
-    x = mixed.where("root <> top").select("bucket", "c").join(chosen, "bucket").select("c", "yc").distinct().join(signed, "c").alias("x")
+def _likeliest(mixed: DataFrame, signed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): for each member outside its bucket's top, the likeliest of two members of other components of each bucket.
+
+    One is of the top, one of the others; each turn draws them anew.
+    """
+    drawn = F.struct(F.xxhash64("c", F.lit(turn)), "c", "root")
+    chosen = mixed.groupBy("bucket", (F.col("root") == F.col("top")).alias("of_top")).agg(F.max(drawn).alias("y")).select(
+        "bucket", F.col("y.c").alias("yc"), F.col("y.root").alias("yroot")
+    )
+    outside = mixed.where("root <> top").select("bucket", "c", "root")
+    x = outside.join(chosen, "bucket").where("root <> yroot").select("c", "yc").distinct().join(signed, "c").alias("x")
     y = signed.withColumnRenamed("c", "yc").alias("y")
     equal = equal_registers(F.col("x.bits"), F.col("y.bits"))
     best = x.join(y, (F.col("x.yc") == F.col("y.yc")) & _possible("x", "y", percent)).groupBy("x.c").agg(F.max(F.struct(equal, "y.yc")).alias("m"))
@@ -283,11 +293,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
     links = cut(confirm(cut(likely_pairs(first, classes, percent / 100)), texts, size, percent))
     signed = cut(signs(classes.join(members.select("c").distinct(), "c", "left_semi")))
-    for _ in range(STAR_ROUNDS):
-        mixed = _mixed_buckets(members, components(links))
-        tried = cut(_likeliest(mixed, signed, percent))
-        links = cut(links.unionByName(confirm(tried, texts, size, percent)))
     mixed = _mixed_buckets(members, components(links))
+    outside = mixed.where("root <> top").count()
+    for turn in range(STAR_ROUNDS):
+        tried = cut(_likeliest(mixed, signed, percent, turn))
+        links = cut(links.unionByName(confirm(tried, texts, size, percent)))
+        mixed = _mixed_buckets(members, components(links))
+        before, outside = outside, mixed.where("root <> top").count()
+        if outside > STAR_GAIN * before:
+            break
     x = mixed.where("root <> top").join(signed, "c").alias("x")
     y = mixed.join(signed, "c").alias("y")
     earlier = F.exists(
