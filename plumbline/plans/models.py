@@ -12,9 +12,11 @@ from plumbline.operators import metrics as M
 from plumbline.operators import models as L
 from plumbline.operators import profile as A
 from plumbline.operators import weights as W
+from plumbline.operators.dro import batched_group_dro
 from plumbline.plans.bindings import DOCS, SALES, arm_score, docs, rounded, sales, sql_arm_score, table, with_cte
 from plumbline.plans.profile import LOSS
 from plumbline.plans.registry import query
+from plumbline.plans.splits import rank_sql
 
 FAST = {"maxIter": 8, "regParam": 0.01}
 TREES = {"maxIter": 3, "maxDepth": 3}
@@ -127,6 +129,51 @@ def l10(spark, sf):
     return history
 
 
+BATCH, STEP, RATE, ADJUST = 64, 0.5, 0.05, 1.0
+
+
+def dro_step_sql(name: str, before: str, score: str, model: str, step: int) -> str:
+    """Losses, gradients and q of one step: ``before`` gives q by group, ``score`` the probability from ``model``."""
+    loss = LOSS.format(s="s")
+    return f"""{name}_l AS (SELECT grp, avg({loss}) AS loss, avg(s - y) AS gb, avg((s - y) * x) AS gx FROM (SELECT bt.*, {score} AS s FROM bt{model} WHERE step = {step}) GROUP BY grp),
+{name}_u AS (SELECT l.*, g.n, b.q * exp({STEP} * (l.loss + {ADJUST} / sqrt(g.n))) AS u FROM {name}_l l JOIN g USING (grp) JOIN {before} b USING (grp)),
+{name} AS (SELECT *, u / sum(u) OVER () AS q FROM {name}_u)"""
+
+
+@query("l10_batched_dro", with_cte(DOCS) + f"""
+, g AS (SELECT grp, count(*) AS n, floor({BATCH} / count(*) OVER ()) AS per, ceil(sum(count(*)) OVER () / {BATCH}) AS steps FROM docs GROUP BY grp),
+p AS (SELECT d.row_id, d.y, d.n_chars / 10000.0 AS x, g.*, unnest(range(CAST(ceil(per * steps / n) AS BIGINT))) AS pass FROM docs d JOIN g USING (grp)),
+o AS (SELECT *, pass * n + {rank_sql('grp, pass', 'dro', 'pass')} - 1 AS o FROM p),
+bt AS (SELECT CAST(floor(o / per) AS INTEGER) AS step, grp, y, x FROM o WHERE floor(o / per) < 2),
+q00 AS (SELECT grp, 1.0 / count(*) OVER () AS q FROM g),
+{dro_step_sql('q0', 'q00', '0.5::DOUBLE', '', 0)},
+w1 AS (SELECT -{RATE} * sum(q * gb) AS b, -{RATE} * sum(q * gx) AS w FROM q0),
+{dro_step_sql('q1', 'q0', '1 / (1 + exp(-(w1.b + w1.w * x)))', ', w1', 1)}
+SELECT 0 AS step, grp, round(q, 6) AS q, round(loss, 6) AS loss, round(sum(q * (loss + {ADJUST} / sqrt(n))) OVER (), 6) AS objective FROM q0
+UNION ALL SELECT 1, grp, round(q, 6), round(loss, 6), round(sum(q * (loss + {ADJUST} / sqrt(n))) OVER (), 6) FROM q1""")
+def l10_batched(spark, sf):
+    rows = docs(spark, sf).select("row_id", "grp", "y", (F.col("n_chars") / 10000.0).alias("x"))
+    _, history = batched_group_dro(rows, ["x"], BATCH, 2, STEP, RATE, ADJUST, seed="dro")
+    return rounded(history, "q", "loss", "objective")
+
+
+@query("l1_saturated_logistic", with_cte(SALES) + "SELECT priority, round(avg(y), 3) AS score FROM sales GROUP BY priority")
+def l1_saturated(spark, sf):
+    """Without a penalty, a model with one parameter per level gives each level's rate."""
+    rows = sales(spark, sf).select("row_id", "grp", "y", "priority")
+    model = L.fit_logistic(L.FeatureSet(("priority",)))(rows, {"maxIter": 200, "regParam": 0.0, "tol": 1e-8})
+    return L.score(model, rows).groupBy("priority").agg(F.round(F.avg("score"), 3).alias("score"))
+
+
+@query("l2_single_split", with_cte(SALES) + """
+SELECT x, round(1 / (1 + exp(-2 * (2 * avg(y) - 1))), 6) AS score FROM (SELECT y, (order_year < 1996)::INT AS x FROM sales) GROUP BY x""")
+def l2_single(spark, sf):
+    """One boosting step of depth 1 on a binary feature: each side's mean of the label as -1 or 1."""
+    rows = sales(spark, sf).select("row_id", "grp", "y", (F.col("order_year") < 1996).cast("int").alias("x"))
+    model = L.fit_boosted_trees(L.FeatureSet(numeric=("x",)))(rows, {"maxIter": 1, "maxDepth": 1})
+    return L.score(model, rows).groupBy("x").agg(F.round(F.avg("score"), 6).alias("score"))
+
+
 @query("l11_vector_head")
 def l11(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding", (F.col("label") % 3).alias("grp"), (F.col("label") < 5).cast("int").alias("y"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import models as L
 from plumbline.operators import weights as W
+from plumbline.operators.contexts import balanced_batches
 from plumbline.operators.contracts import ContractError
+from plumbline.operators.dro import batched_group_dro
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +60,31 @@ def test_unexpected_winner_is_refused(rows):
 def test_dro_without_a_step_keeps_q_uniform(rows):
     _, history = L.group_dro(rows, L.fit_logistic(FEATURES), FAST, rounds=2, step=0.0)
     assert all(r["q"] == 0.5 for r in history.collect())
+
+
+@pytest.mark.parametrize("step", [0.0, 0.7])
+def test_batched_dro_is_that_of_numpy(spark, step):
+    rng = np.random.default_rng(2)
+    rows = [(i, "a" if i % 4 else "b", int(rng.random() < 0.4), *map(float, rng.normal(size=2))) for i in range(90)]
+    df = spark.createDataFrame(rows, "row_id long, grp string, y int, x0 double, x1 double")
+    model, history = batched_group_dro(df, ["x0", "x1"], 20, 7, step, 0.3, adjustment=2.0, seed="s")
+    plan = balanced_batches(df, "grp", 20, 2, "s").toPandas()
+    plan["number"] = plan.epoch * 5 + plan.step
+    by_id = {r[0]: r for r in rows}
+    sizes = {"a": sum(r[1] == "a" for r in rows), "b": sum(r[1] == "b" for r in rows)}
+    w, q = np.zeros(3), {"a": 0.5, "b": 0.5}
+    got = {(r.step, r.grp): r for r in history.collect()}
+    for i in range(7):
+        loss, slope = {}, {}
+        for g in "ab":
+            part = [by_id[r] for r in plan[(plan.number == i) & (plan.grp == g)].row_id]
+            assert len(part) == 10
+            x, y = np.array([[1.0, *r[3:]] for r in part]), np.array([r[2] for r in part])
+            p = 1 / (1 + np.exp(-x @ w))
+            loss[g], slope[g] = np.mean(-(y * np.log(p) + (1 - y) * np.log(1 - p))), ((p - y)[:, None] * x).mean(0)
+        moved = {g: q[g] * np.exp(step * (loss[g] + 2 / np.sqrt(sizes[g]))) for g in q}
+        q = {g: m / sum(moved.values()) for g, m in moved.items()}
+        w = w - 0.3 * sum(q[g] * slope[g] for g in q)
+        for g in "ab":
+            assert got[i, g].q == pytest.approx(q[g]) and got[i, g].loss == pytest.approx(loss[g])
+    assert [model.intercept, *model.weights] == pytest.approx(w.tolist())
