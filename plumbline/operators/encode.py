@@ -59,6 +59,47 @@ def index_levels(df: DataFrame, vocab: DataFrame, columns: Sequence[str], suffix
     return out
 
 
+def one_hot_sparse(df: DataFrame, vocab: DataFrame, columns: Sequence[str], out: str = "hot") -> DataFrame:
+    """One-hot codes from a vocabulary table as ``struct<size, indices>``: the places that are 1, columns side by side.
+
+    For vocabularies too large for a column per level: levels are joined, never
+    listed on the driver; what is a scalar are the columns' sizes. Unseen and NULL
+    levels have no place.
+    """
+    indexed = index_levels(df, vocab, columns, "__at")
+    sizes = vocab.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    known = sizes.agg(F.map_from_entries(F.collect_list(F.struct("column", "n"))).alias("m")).scalar()
+    width = [F.coalesce(F.try_element_at(F.col("__sizes"), F.lit(c)), F.lit(0)) for c in columns]
+    before = F.lit(0).cast("bigint")
+    places = []
+    for c, n in zip(columns, width):
+        places.append(F.when(F.col(f"{c}__at") > 0, before + F.col(f"{c}__at") - 1))
+        before = before + n
+    coded = indexed.withColumn("__sizes", known).withColumn(out, F.struct(before.alias("size"), F.array_compact(F.array(*places)).alias("indices")))
+    return coded.drop("__sizes", *[f"{c}__at" for c in columns])
+
+
+def codes_from_table(df: DataFrame, vocab: DataFrame, columns: Sequence[str], numeric: Sequence[str], out: str = "codes") -> DataFrame:
+    """:func:`to_codes` with the vocabulary as a joined table: 0-based level positions, then numerics. Unseen levels fail the job."""
+    indexed = index_levels(df, vocab, columns, "__at")
+
+    def code(c: str) -> Column:
+        message = F.concat(F.lit(f"unseen level in {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL")))
+        return F.when(F.col(f"{c}__at") == 0, F.raise_error(message).cast("double")).otherwise((F.col(f"{c}__at") - 1).cast("double"))
+
+    coded = indexed.withColumn(out, F.array(*[code(c) for c in columns], *[F.col(c).cast("double") for c in numeric]))
+    return coded.drop(*[f"{c}__at" for c in columns])
+
+
+def levels_from_table(df: DataFrame, vocab: DataFrame, columns: Sequence[str], codes: str = "codes") -> DataFrame:
+    """The levels of :func:`codes_from_table`; a code that the table lacks gives NULL."""
+    out = df
+    for j, c in enumerate(columns):
+        known = vocab.where(F.col("column") == c).select((F.col("idx") - 1).alias(f"__k_{c}"), F.col("level").alias(f"__v_{c}"))
+        out = out.join(known, F.element_at(codes, j + 1).cast("int") == F.col(f"__k_{c}"), "left").withColumn(c, F.col(f"__v_{c}")).drop(f"__k_{c}", f"__v_{c}")
+    return out
+
+
 def vocabulary_sizes(vocab: DataFrame) -> DataFrame:
     """Index space per column: the number of levels plus one for unknown."""
     return vocab.groupBy("column").agg((F.count(F.lit(1)) + 1).alias("size"))

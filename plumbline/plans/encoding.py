@@ -56,6 +56,28 @@ def p3(spark, sf):
     return out.select("row_id", *[F.col(f"`{k}`").alias(v) for k, v in names.items()], F.lit(n_encoded).alias("n_encoded"))
 
 
+@query("p3_one_hot_sparse", with_cte(EVENTS) + """
+, a AS (SELECT event_type AS level, row_number() OVER (ORDER BY event_type) AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT event_type FROM ev)),
+b AS (SELECT level, row_number() OVER (ORDER BY level) AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS level FROM ev))
+SELECT row_id, a.n + b.n AS size, CAST(a.idx - 1 AS VARCHAR) || ',' || CAST(a.n + b.idx - 1 AS VARCHAR) AS places FROM ev JOIN a ON a.level = event_type JOIN b ON b.level = CAST(user_id AS VARCHAR)""")
+def p3_sparse(spark, sf):
+    """Users as levels: a vocabulary that grows with the table."""
+    ev = events(spark, sf).select("row_id", "event_type", "user_id")
+    columns = ["event_type", "user_id"]
+    out = P.one_hot_sparse(ev, P.vocabulary(ev, columns), columns)
+    return out.select("row_id", "hot.size", F.array_join(F.col("hot.indices").cast("array<string>"), ",").alias("places"))
+
+
+@query("p9_codes_from_table", with_cte(EVENTS) + """
+SELECT row_id, CAST(user_id AS VARCHAR) AS user_id, CAST(dense_rank() OVER (ORDER BY CAST(user_id AS VARCHAR)) - 1 AS BIGINT) AS code FROM ev""")
+def p9_table(spark, sf):
+    ev = events(spark, sf).select("row_id", "user_id", "value")
+    vocab = P.vocabulary(ev, ["user_id"])
+    coded = P.codes_from_table(ev, vocab, ["user_id"], ["value"])
+    back = P.levels_from_table(coded.drop("user_id"), vocab, ["user_id"])
+    return back.select("row_id", "user_id", F.get("codes", 0).cast("bigint").alias("code"))
+
+
 @query("p4_index_levels", with_cte(SALES, VOCAB_SQL) + """
 SELECT s.row_id, coalesce(p.idx, 0) AS priority_idx, coalesce(g.idx, 0) AS segment_idx
 FROM sales s LEFT JOIN vocab p ON p."column" = 'priority' AND p.level = s.priority

@@ -11,10 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.operators import drift as R
 
 WINDOW = ["window_start", "window_end"]
+NO_REFERENCE = -1
 
 
 def binned_rows(profile: DataFrame, df: DataFrame, time: str, categorical: Sequence[str], numeric: Sequence[str], score: str | None, group: str | None) -> DataFrame:
-    """One row per (event, segment, feature) with its profile bin; works on streams and tables."""
+    """One row per (event, segment, feature) with its profile bin; works on streams and tables.
+
+    Segments and features that the profile lacks keep their rows, in bin NO_REFERENCE.
+    """
     keys = ["segment", "feature"]
     spread = R.spread_segments(df, group)
     named = spread.withColumn(R.SCORE_FEATURE, F.col(score)) if score else spread
@@ -29,12 +33,14 @@ def binned_rows(profile: DataFrame, df: DataFrame, time: str, categorical: Seque
         F.map_from_entries(F.collect_list(F.when((F.col("kind") == "categorical") & (F.col("label") != R.UNSEEN), F.struct("label", "bin")))).alias("bins"),
         F.max("bin").alias("last"), F.first("kind").alias("kind"),
     )
-    joined = long.join(specs, keys)
-    bin_no = F.when(F.col("kind") == "numeric", R.bin_index(F.col("value"), F.col("edges"))).otherwise(
+    joined = long.join(specs, keys, "left")
+    bin_no = F.when(F.col("kind").isNull(), NO_REFERENCE).when(F.col("kind") == "numeric", R.bin_index(F.col("value"), F.col("edges"))).otherwise(
         F.coalesce(F.try_element_at("bins", F.col("level")), F.col("last"))
     )
-    usable = (F.col("kind") == "categorical") | F.col("value").isNotNull()
-    return joined.where(usable).select(time, *keys, bin_no.cast("int").alias("bin"))
+    # inside a group's segment the group itself is constant and no feature
+    own = (F.col("feature") == F.lit(group)) & (F.col("segment") != R.POOLED) if group else F.lit(False)
+    usable = F.coalesce(F.col("kind") == "categorical", F.col("level").isNotNull()) | F.col("value").isNotNull()
+    return joined.where(usable & ~own).select(time, *keys, bin_no.cast("int").alias("bin"))
 
 
 def window_counts(profile: DataFrame, df: DataFrame, time: str, window: str, categorical, numeric, score=None, group=None) -> DataFrame:
@@ -56,5 +62,7 @@ def stream_counts(
 
 
 def window_drift(profile: DataFrame, counts: DataFrame) -> DataFrame:
-    """PSI, status and largest shift per window, segment and feature."""
-    return R.drift_from_counts(profile, counts, extra=WINDOW)
+    """PSI, status and largest shift per window, segment and feature; without PSI and with status ``no_reference`` where the profile has none."""
+    known = R.drift_from_counts(profile, counts.where(F.col("bin") != NO_REFERENCE), extra=WINDOW)
+    unknown = counts.where(F.col("bin") == NO_REFERENCE).select(*WINDOW, "segment", "feature").distinct()
+    return known.unionByName(unknown.withColumn("status", F.lit("no_reference")), allowMissingColumns=True)

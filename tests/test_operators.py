@@ -431,6 +431,21 @@ def test_unknown_levels(spark):
         C.finite_score_gate(frame(spark, [(float("nan"),)], "score double")).collect()
 
 
+def test_a_hundred_thousand_levels(spark):
+    rows = spark.range(130_000).select(F.col("id").alias("row_id"), (F.col("id") % 100_000).cast("string").alias("c"), (F.col("id") % 3).cast("string").alias("d"), F.lit(1.5).alias("x"))
+    vocab = P.vocabulary(rows, ["d", "c"])
+    odd = rows.limit(50).unionByName(frame(spark, [(-1, "none", "1", 1.5), (-2, None, None, 1.5)], "row_id long, c string, d string, x double"))
+    got = {r.row_id: r.hot for r in P.one_hot_sparse(odd, vocab, ["d", "c"]).collect()}
+    place = {level: i for i, level in enumerate(sorted(str(i) for i in range(100_000)))}
+    assert got[-1].indices == [1] and got[-2].indices == [] and got[-1].size == 100_003
+    assert all(h.indices == [i % 3, 3 + place[str(i)]] for i, h in got.items() if i >= 0)
+    coded = P.codes_from_table(rows, vocab, ["d", "c"], ["x"])
+    back = P.levels_from_table(coded.drop("c", "d"), vocab, ["d", "c"])
+    assert back.select("row_id", "c", "d").exceptAll(rows.select("row_id", "c", "d")).count() == 0 and back.count() == 130_000
+    with pytest.raises(Exception, match="unseen level in c"):
+        P.codes_from_table(odd, vocab, ["c"], []).collect()
+
+
 def test_constant_column_scales_by_one(spark):
     df = frame(spark, [(3.0,), (3.0,)], "x double")
     assert [r["x"] for r in P.standardize(df, df, ["x"]).collect()] == [0.0, 0.0]

@@ -147,6 +147,21 @@ def test_late_rows_are_counted(spark, folder):
     assert {str(r["window_start"])[:10] for r in counts.select("window_start").distinct().collect()} >= {"2026-01-01", "2026-01-20"}
 
 
+def test_unknown_segments_of_a_stream_stay_across_restarts(spark, folder):
+    rows = lambda g, day: spark.createDataFrame([(f"2026-01-{day:02d} 0{i % 9}:00:00", float(i % 5), g) for i in range(30)], "t string, k double, g string").select(F.col("t").cast("timestamp").alias("ts"), "k", "g")
+    profile = R.build_profile(rows("a", 1).drop("ts"), ["g"], ["k"], group="g").cache()
+    for part, day in ((rows("a", 2).unionByName(rows("new", 2)), 2), (rows("new", 3), 3), (rows("a", 9), 9)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = TS.file_stream(spark, f"{folder}/in", part.schema, files_per_trigger=1)
+        TD.stream_counts(profile, stream, "ts", "1 day", "1 hour", ["g"], ["k"], f"{folder}/out", f"{folder}/cp", group="g").awaitTermination()
+    counts = spark.read.parquet(f"{folder}/out")
+    closed = [rows("a", 2), rows("new", 2), rows("new", 3)]
+    twin = TD.window_counts(profile, closed[0].unionByName(closed[1]).unionByName(closed[2]), "ts", "1 day", ["g"], ["k"], group="g")
+    assert sorted(map(tuple, counts.select(twin.columns).collect())) == sorted(map(tuple, twin.collect()))
+    found = {(r.segment, r.feature, r.window_start.day): r.status for r in TD.window_drift(profile, counts).collect()}
+    assert found["new", "k", 2] == found["new", "k", 3] == "no_reference" and found["a", "k", 2] == "stable" and ("new", "g", 2) not in found
+
+
 def test_drift_check_refuses_and_counts(spark):
 
     from plumbline.operators import drift_check as K
