@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.session import cut
 from plumbline.llm.common import words_of
 
-#: characters of the corpus for one cell (about 128 n-grams), and the most cells
-CELL_CHARS = 396
+#: characters of the corpus for one cell (85 to 170 n-grams, as cells are a power of two), and the most cells
+CELL_CHARS = 264
 MODEL_WIDTH = 1 << 17
 #: cells that are packed together before all are
 _PACK = 1 << 12
@@ -120,13 +120,14 @@ def _bigrams(h2: str) -> Column:
 
 
 def _cells(buckets: int) -> Column:
-    return F.transform(F.concat("_h1", _bigrams("_h2")), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    # a bit mask is never NULL, so that sorting takes Java's sort of plain integers
+    return F.transform(F.concat("_h1", _bigrams("_h2")), lambda h: h.bitwiseAND(F.lit(buckets - 1).cast("bigint")).cast("int"))
 
 
 def model_width(docs: DataFrame, text: str) -> int:
-    """Cells for a corpus: one for every CELL_CHARS characters, at least one and at most MODEL_WIDTH."""
+    """Cells for a corpus: a power of two, at most one for every CELL_CHARS characters and at most MODEL_WIDTH."""
     chars = docs.agg(F.sum(F.length(text).cast("bigint")).alias("n")).first()["n"] or 0
-    return max(1, min(MODEL_WIDTH, chars // CELL_CHARS))
+    return 1 << min(MODEL_WIDTH, max(1, chars // CELL_CHARS)).bit_length() - 1
 
 
 def packed_counts(marked: DataFrame, text: str, buckets: int) -> tuple[str, str, int, int]:
@@ -183,6 +184,8 @@ def quality_rules(
     rows = docs.select(own.alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     marked = mark_trusted(rows, trusted_ids, key)
     buckets = buckets or model_width(rows, "text")
+    if buckets & (buckets - 1):
+        raise ValueError("the number of cells must be a power of two")
     model = packed_counts(marked.select("text", "own"), "text", buckets)
     stated = with_log_ratio(with_base(with_hashes(marked, "text"), "text"), model, buckets)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

@@ -94,7 +94,7 @@ def cell_of(gram: tuple, buckets: int) -> int:
     return (h[0] - (1 << 64 if h[0] >> 63 else 0)) % buckets
 
 
-@pytest.mark.parametrize("buckets", [1, 50, 10_000])
+@pytest.mark.parametrize("buckets", [1, 64, 16_384])
 def test_ratios_are_those_of_the_other_documents(spark, buckets, monkeypatch):
     monkeypatch.setattr(quality_rules, "_PACK", 64)
     texts = [prose(i, 40) for i in range(30)] + [prose(3, 40), prose(31, 40) + " " + prose(31, 40), "a", None, ""]
