@@ -70,14 +70,25 @@ def poisson_draws(df: DataFrame, reps: int, seed: object, row_id: str = "row_id"
     blocks = -(-reps // POISSON_PER_HASH)
     hashed = df.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("__h", hash_key(f"{seed}-poisson", row_id, "__b"))
 
-    def draw(i: int) -> Column:
-        unit = F.conv(F.substring("__h", POISSON_DIGITS * i + 1, POISSON_DIGITS), 16, 10).cast("int")
-        count = sum(((unit >= limit).cast("bigint") for limit in poisson_limits()), F.lit(0))
-        return F.struct((F.col("__b") * POISSON_PER_HASH + i).alias("rep"), count.cast("bigint").alias("c"))
-
-    point = F.struct(F.lit(POINT).alias("rep"), (F.col("__b") == 0).cast("bigint").alias("c"))
-    drawn = hashed.select(*df.columns, F.inline(F.array(point, *[draw(i) for i in range(POISSON_PER_HASH)])))
-    return drawn.where((F.col("c") > 0) & (F.col("rep") < reps))
+    # a hash gives words, a word two draws; each is a column of its own, computed once however often it is compared
+    pairs, width = POISSON_PER_HASH // 2, 2 * POISSON_DIGITS
+    words = F.array(*[
+        F.struct(F.lit(i).alias("__i"), F.conv(F.substring("__h", width * i + 1, width), 16, 10).cast("bigint").alias("__v")) for i in range(pairs)
+    ])
+    worded = hashed.select(*df.columns, "__b", F.inline(words))
+    limits, units = poisson_limits(), 16**POISSON_DIGITS
+    rep, first = F.col("__b") * POISSON_PER_HASH + 2 * F.col("__i"), (F.col("__b") == 0) & (F.col("__i") == 0)
+
+    def drawn(number: Column, unit: Column) -> Column:
+        return F.struct(number.alias("rep"), unit.cast("int").alias("__u"))
+
+    draws = F.array(
+        drawn(rep, F.shiftright("__v", 4 * POISSON_DIGITS)), drawn(rep + 1, F.col("__v").bitwiseAND(F.lit(units - 1).cast("bigint"))),
+        drawn(F.lit(POINT), F.when(first, limits[0]).otherwise(0)),  # a draw that counts once
+    )
+    count = sum(((F.col("__u") >= limit).cast("bigint") for limit in limits), F.lit(0).cast("bigint"))
+    spread = worded.select(*df.columns, F.inline(draws)).where((F.col("__u") >= limits[0]) & (F.col("rep") < reps))
+    return spread.withColumn("c", count).drop("__u")
 
 
 def check_bootstrap(reps: int, level: float) -> None:
