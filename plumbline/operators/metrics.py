@@ -126,24 +126,31 @@ def spread_scopes(df: DataFrame, group: str = "grp", scope: str = "scope", poole
     return df.withColumn(scope, F.explode(F.array(F.lit(pooled), F.col(group).cast("string"))))
 
 
-def scope_cells(df: DataFrame, by: Sequence[str], group: str = "grp", weight: Column | None = None) -> DataFrame:
-    """Ranking cells of the pooled scope and of every group; rows become (group, score) cells before they are copied into scopes."""
-    masses = _masses(weight)
+def scope_cells(
+    df: DataFrame, by: Sequence[str], group: str = "grp", weight: Column | None = None, sums: dict[str, Column] | None = None
+) -> DataFrame:
+    """Ranking cells of the pooled scope and of every group, with further ``sums``; rows become (group, score) cells before they are copied into scopes."""
+    masses = {**_masses(weight), **(sums or {})}
     cells = df.groupBy(*by, group, "score").agg(*[F.sum(c).alias(n) for n, c in masses.items()])
     return running_totals(spread_scopes(cells, group), "score", {n: F.col(n) for n in masses}, by=[*by, "scope"], descending=True)
 
 
 def metrics_by_group(df: DataFrame, threshold: Column | float, group: str = "grp", by: Sequence[str] = ("fold",)) -> DataFrame:
-    """All metrics for the pooled scope and each group, within each ``by`` cell, from one pass over the cells."""
-    t = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    said = F.col("score") >= t
+    """All metrics for the pooled scope and each group, within each ``by`` cell, from one pass over the cells.
+
+    A number is held against the cells' scores; a column belongs to the rows, so its counts are summed there.
+    """
+    of_rows = isinstance(threshold, Column)
+    said = F.col("score") >= (threshold if of_rows else F.lit(threshold))
 
-    def mass(of: str, where: Column) -> Column:
-        return F.coalesce(F.sum(F.when(where, F.col(of))), F.lit(0))
+    def split(of: dict[str, Column]) -> dict[str, Column]:
+        return {"tn": F.when(~said, of["neg"]), "fp": F.when(said, of["neg"]), "fn": F.when(~said, of["pos"]), "tp": F.when(said, of["pos"])}
 
-    counts = {"tn": mass("neg", ~said), "fp": mass("neg", said), "fn": mass("pos", ~said), "tp": mass("pos", said)}
+    sums = split(_masses(None)) if of_rows else {}
+    parts = {n: F.col(n) for n in sums} or split({n: F.col(n) for n in ("pos", "neg")})
+    counts = {n: F.coalesce(F.sum(c), F.lit(0)) for n, c in parts.items()}
     keys = [*by, "scope"]
-    summed = scope_cells(df, by, group).groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()], _ap().alias("ap"), _auc().alias("roc_auc"))
+    summed = scope_cells(df, by, group, sums=sums).groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()], _ap().alias("ap"), _auc().alias("roc_auc"))
     return summed.select(*keys, *[c.alias(n) for n, c in _threshold_columns().items()], "ap", "roc_auc")
 
 

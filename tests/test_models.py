@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import metrics
 from plumbline.operators import models as L
 from plumbline.operators import weights as W
 from plumbline.operators.contexts import balanced_batches
@@ -45,6 +46,26 @@ def test_nested_cv_tunes_inside_the_training_part(rows):
     assert set(result.thresholds) == {0, 1} and all(0 < t < 1 for t in result.thresholds.values())
 
 
+def test_nested_cv_metrics_use_each_folds_own_threshold(rows):
+    result = L.nested_cv(rows, L.fit_logistic(FEATURES), [FAST, {"maxIter": 2}], k=2, inner=2)
+    got = {(r["fold"], r["scope"], r["metric"]): r["value"] for r in result.metrics().collect()}
+    scored = result.oof.collect()
+    for fold, t in result.thresholds.items():
+        for scope in ("pooled", "A", "B"):
+            part = [r for r in scored if r["fold"] == fold and scope in ("pooled", r["grp"])]
+            assert got[fold, scope, "accuracy"] == pytest.approx(np.mean([(r["score"] >= t) == r["y"] for r in part]))
+            said = [r["y"] for r in part if r["score"] >= t]
+            assert got[fold, scope, "precision"] == pytest.approx(np.mean(said))
+
+
+def test_metrics_by_group_with_a_threshold_column(spark):
+    data = [(0, "A", 1, 0.4, 0.3), (0, "A", 0, 0.4, 0.5), (0, "B", 1, 0.2, 0.3), (1, "B", 0, 0.9, 0.5), (1, "B", None, 0.9, 0.5), (1, "B", 1, None, 0.5)]
+    df = spark.createDataFrame(data, "fold int, grp string, y int, score double, threshold double")
+    got = {(r["fold"], r["scope"]): (r["precision"], r["recall"], r["accuracy"]) for r in metrics.metrics_by_group(df, F.col("threshold")).collect()}
+    assert got[0, "A"] == (1.0, 1.0, 1.0) and got[0, "B"][1:] == (0.0, 0.0)
+    assert got[0, "pooled"] == pytest.approx((1.0, 0.5, 2 / 3)) and got[1, "pooled"][0] == got[1, "pooled"][2] == 0.0
+
+
 def test_unseen_level_at_scoring_time(rows):
     model = L.fit_logistic(FEATURES)(rows, FAST)
     out = L.score(model, rows.withColumn("c", F.lit("new level")))
