@@ -78,6 +78,13 @@ def test_unexpected_winner_is_refused(rows):
         L.refit_production(rows, {"a": arm}, "a", "b", {}, rows, "/tmp/never-written")
 
 
+def test_ablation_grid_summarises_every_arm_and_scope(rows):
+    arms = [L.Arm("long", L.fit_logistic(FEATURES), space=(FAST,)), L.Arm("short", L.fit_logistic(FEATURES), W.no_resampling, ({"maxIter": 1},))]
+    out = L.ablation_grid(rows, arms, k=2)
+    assert {(r["arm"], r["scope"]) for r in out["summary"].collect()} == {(a, s) for a in ("long", "short") for s in ("pooled", "A", "B")}
+    assert out["folds"].count() == 2 * 2 * 3 * 6 and out["best"] in ("long", "short") and "paired" in out
+
+
 def test_dro_without_a_step_keeps_q_uniform(rows):
     _, history = L.group_dro(rows, L.fit_logistic(FEATURES), FAST, rounds=2, step=0.0)
     assert all(r["q"] == 0.5 for r in history.collect())
