@@ -1,7 +1,7 @@
 """WARC archives and a two-level capture index over them.
 
-Writing: tasks write archive files of WARC/1.1 records (response or revisit) into the
-shared folder, a new file for each attempt; only what a finished attempt reports is
+Writing: tasks write archive files of WARC/1.1 records (response or revisit), each a
+gzip member of its own as usual in WARC files, into the shared folder, a new file for each attempt; only what a finished attempt reports is
 ever referred to. Of records with equal payloads of REVISIT_BYTES or more, the one
 with the largest id is the response; the others are revisits that refer to it and hold
 its HTTP header (with the payload's length and digest) but no payload.
@@ -39,6 +39,8 @@ from plumbline.llm.common import map_batches, parts, utf8
 REVISIT_BYTES = 1000
 BLOCK_ROWS = 512
 SLICE = 200_000
+#: zlib level of an archive's records, and the window bits that stand for gzip
+_LEVEL, _GZIP = 1, 31
 _DATE = "2024-01-01T00:00:00Z"
 _URL = re.compile(r"(?:([A-Za-z][A-Za-z0-9+.-]*)://)?(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^#]*)", re.S)
 
@@ -103,15 +105,15 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     typed = typed.withColumn("revisit", F.col("d").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
 
     def run(batches):
-        name = f"{folder}/archive-{uuid.uuid4().hex}.warc"
+        name = f"{folder}/archive-{uuid.uuid4().hex}.warc.gz"
         system, path = _open(name)
         system.create_dir(path.rsplit("/", 1)[0])
         at = 0
-        with system.open_output_stream(path) as out:
+        with system.open_output_stream(path, compression=None) as out:
             for b in batches:
                 done = {"id": b["id"], "key": [], "file": [name] * len(b["id"]), "offset": [], "length": []}
                 for i, u, p, d, first, again in zip(b["id"], b["url"], b["payload"], b["digest"], b["first"], b["revisit"]):
-                    raw = record(i, u, p, d, first, again)
+                    raw = zlib.compress(record(i, u, p, d, first, again), _LEVEL, _GZIP)
                     out.write(raw)
                     done["key"].append(url_key(u))
                     done["offset"].append(at)
@@ -225,7 +227,7 @@ def _lookup(directory: DataFrame, wanted: DataFrame) -> DataFrame:
             out = {c: [] for c in ("key", "id", "bytes", "digest", "type", "refers_to")}
             for key, row_id in zip(b["key"], b["id"]):
                 for file, offset, length in _search(_place(key, row_id), starts, blocks, files, kept):
-                    got = parse(files.read(file, offset, length))
+                    got = parse(zlib.decompress(files.read(file, offset, length), _GZIP))
                     out["key"].append(key)
                     for c in ("id", "bytes", "digest", "type", "refers_to"):
                         out[c].append(got[c])

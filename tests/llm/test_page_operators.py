@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 
@@ -144,6 +145,17 @@ def test_archives_round_trip(spark, pages, slice_blocks, monkeypatch):
     assert capture_index.lookup(directory, missing).count() == 0
 
 
+def test_archives_are_gzip_members(spark):
+    rows = spark.createDataFrame([(i, f"http://c.org/{i}", f"<p>{i}" + "some words " * 500) for i in range(20)], "page_id bigint, url string, html string")
+    captures = capture_index.write_archives(rows, capture_index.scratch_path(spark, "warc"))
+    found = capture_index.cut(captures).collect()
+    assert sum(r.length for r in found) * 5 < 20 * 5500
+    for r in found:
+        with open(r.file.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            assert gzip.decompress(f.read(r.length)).startswith(b"WARC/1.1\r\n")
+
+
 def test_url_keys_and_damage():
     assert capture_index.url_key("HTTPS://u@WWW.A.org:443/x?y=1#z") == "org,a,www)/x?y=1"
     assert capture_index.url_key("http://a.org:8080") == "org,a:8080)/" and capture_index.url_key("") == ""
