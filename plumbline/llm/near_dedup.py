@@ -20,7 +20,11 @@ Buckets are never expanded into all pairs:
 A pair goes on if the registers' likelihood leaves the similarity possible: in 1 the
 joint likelihood of the counts of larger, smaller and equal registers given both
 sizes, in 2 and 3 that of the count of equal ones (three bits of each), a condition of
-the join itself. What is left is confirmed on the full sets.
+the join itself. Registers can't tell pairs a little below the similarity from those
+above it, and a group of such texts has the square of its size of them: in 3 the
+condition goes on to the sets, 32 bits of each shingle, so that only pairs that are
+links (or would be but for such a collision) become rows. What is left is confirmed
+on the full sets.
 
 Defined results: texts without words have an empty set, link with nothing and are
 their own component. A NULL doc_id never names a component unless all its members
@@ -169,6 +173,25 @@ def _possible(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (equal_registers(F.col(f"{x}.bits"), F.col(f"{y}.bits")) >= fewest_equal(percent))
 
 
+def low_bits(texts: DataFrame, size: int) -> DataFrame:
+    """(c, items, lost): 32 bits of each shingle of (c, t), and how many of these coincide inside the set."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, size) for t in b["t"]]
+            low = [np.unique(s.astype(np.uint32)) for s in sets]
+            yield {"c": b["c"], "items": [x.view(np.int32).tolist() for x in low], "lost": [len(s) - len(x) for s, x in zip(sets, low)]}
+
+    return map_batches(texts.select("c", "t"), run, "c binary, items array<int>, lost int")
+
+
+def _similar(x: str, y: str, percent: int) -> Column:
+    """Whether the sets reach the similarity if all their coinciding bits are common shingles: never false for a link."""
+    both = F.size(F.array_intersect(f"{x}.items", f"{y}.items")) + F.least(f"{x}.lost", f"{y}.lost")
+    # the union is both sizes less the intersection, which is so computed once
+    return (100 + percent) * both >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def likely(n_a: np.ndarray, n_b: np.ndarray, larger: np.ndarray, smaller: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the registers leave a similarity of `threshold` or more possible.
 
@@ -287,12 +310,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         ranked.join(pivots, "bucket").where("c <> p.c").groupBy("c").agg(F.max("p").alias("p"))
         .select(F.col("p.c").alias("a"), F.col("c").alias("b"))
     )
-    texts = (
+    bucketed = classes.join(members.select("c").distinct(), "c", "left_semi")
+    texts = cut(
         docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), utf8(F.col(text)).alias("t"))
-        .join(classes.select("c", "row"), F.col("k").eqNullSafe(F.col("row.k")) & (F.col("h") == F.col("row.h"))).select("c", "t")
+        .join(bucketed.select("c", "row"), F.col("k").eqNullSafe(F.col("row.k")) & (F.col("h") == F.col("row.h"))).select("c", "t")
     )
     links = cut(confirm(cut(likely_pairs(first, classes, percent / 100)), texts, size, percent))
-    signed = cut(signs(classes.join(members.select("c").distinct(), "c", "left_semi")))
+    signed = cut(signs(bucketed))
     mixed = _mixed_buckets(members, components(links))
     outside = mixed.where("root <> top").count()
     for turn in range(STAR_ROUNDS):
@@ -302,14 +326,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         before, outside = outside, mixed.where("root <> top").count()
         if outside > STAR_GAIN * before:
             break
-    x = mixed.where("root <> top").join(signed, "c").alias("x")
-    y = mixed.join(signed, "c").alias("y")
+    involved = texts.join(mixed.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
+    compared = mixed.join(signed.join(cut(low_bits(involved, size)), "c"), "c")
+    x, y = compared.where("root <> top").alias("x"), compared.alias("y")
     earlier = F.exists(
         F.zip_with(F.slice("x.keys", F.lit(1), F.col("x.band")), F.slice("y.keys", F.lit(1), F.col("x.band")), lambda a, b: a == b), lambda e: e,
     )
     rest = cut(
         x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
-               & ((F.col("y.root") == F.col("y.top")) | (F.col("x.c") < F.col("y.c"))) & _possible("x", "y", percent) & ~earlier)
+               & ((F.col("y.root") == F.col("y.top")) | (F.col("x.c") < F.col("y.c"))) & _possible("x", "y", percent) & ~earlier & _similar("x", "y", percent))
         .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     )
     roots = components(links.unionByName(confirm(rest, texts, size, percent)))

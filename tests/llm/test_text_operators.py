@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
 import re
 import time
 import zlib
@@ -171,6 +173,50 @@ def test_components_are_those_of_brute_force(spark):
         assert got == brute_components(rows, size, percent)
 
 
+def test_texts_a_little_below_the_similarity_dont_become_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+
+    def copy(i: int, changes: int) -> tuple[int, str]:
+        words = list(base)
+        for at in rng.sample(range(150), changes):
+            words[at] = f"x{i}at{at}"
+        return i, " ".join(words)
+
+    # most pairs of three changes each have a similarity of about 0.78; 8 copies of one change link with each other
+    rows = [copy(i, 3) for i in range(120)] + [copy(1000 + i, 1) for i in range(8)]
+    tested, confirm = [], near_dedup.confirm
+
+    def counted(pairs, *rest):
+        tested.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "confirm", counted)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(tested) < 8 * len(rows)  # of 8128 pairs
+    sets = {i: {tuple(w[k : k + 3]) for k in range(148)} for i, t in rows for w in [t.split()]}
+    own = {i: i for i in sets}
+    for _ in sets:  # least ids spread over links
+        for i, j in itertools.combinations(sorted(sets), 2):
+            if own[i] != own[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                own[i] = own[j] = min(own[i], own[j])
+        if all(own[own[i]] == own[i] for i in own) and not any(
+            own[i] != own[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for i, j in itertools.combinations(sets, 2)
+        ):
+            break
+    assert got == own
+
+
+def test_bits_of_sets_never_hide_a_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "shingles", lambda t, size: np.array([int(x) for x in t.split()], np.uint64))
+    # 1 and 2**32 + 1 coincide in their bits, in both sets
+    rows = [(b"a", f"1 {2**32 + 1} 2 3"), (b"b", f"1 {2**32 + 1} 2 4"), (b"c", "1 5 6 7")]
+    texts = spark.createDataFrame([(c, t.encode()) for c, t in rows], "c binary, t binary")
+    low = near_dedup.low_bits(texts, 3).withColumn("n", F.lit(4).cast("long")).cache()
+    pairs = low.alias("x").join(low.alias("y"), (F.col("x.c") < F.col("y.c")) & near_dedup._similar("x", "y", 60)).select("x.c", F.col("y.c").alias("d")).collect()
+    assert [(bytes(r.c), bytes(r.d)) for r in pairs] == [(b"a", b"b")]
+
+
 def test_near_duplicates_of_odd_rows(odd_rows, no_rows):
     got = near_dedup.near_duplicates(odd_rows.select("doc_id", "text", F.lit(1).alias("n_shingles"), F.lit(2).alias("c"))).collect()
     assert len(got) == odd_rows.count()
@@ -476,3 +522,22 @@ def test_redaction_keeps_columns_of_any_name(spark):
     got = sorted(pii.redact(docs).collect(), key=lambda r: r.doc_id)
     assert pii.redact(docs).columns == docs.columns and {r.spans for r in got} == {2}
     assert [r.text for r in got] == ["mail <EMAIL> or <IP>.", "none", None, "<EMAIL>"]
+
+
+def test_cells_of_many_words_are_those_of_each():
+    words = [b"a", b"aaaaaaaaaa", b"subword", b"\0", b"x-y.z", b"<>", bytes(range(33, 127))]
+    cells, ends = quality_classifier.cells_at_once(words, 1 << 10)
+    assert [cells[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [quality_classifier.subwords(w, 1 << 10) for w in words]
+
+
+def test_scoring_cuts_no_ascii_word_alone(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = quality_classifier.Model(rng.normal(size=(1 << 10, 4)).astype(np.float32), rng.normal(size=(2, 4)).astype(np.float32), 0.1, 0.2)
+    texts = [b"", b"some words and some more", b"again again again", "straße naïve é".encode(), b" \n "]
+    alone, subwords = [], quality_classifier.subwords
+    monkeypatch.setattr(quality_classifier, "subwords", lambda w, n: alone.append(w) or subwords(w, n))
+    got = [model.score(t) for t in texts]
+    assert sorted(alone) == sorted("straße naïve é".encode().split())
+    for text, score in zip(texts, got):
+        odds = [np.mean([model.cells[c] for c in subwords(w, 1 << 10)]) for w in quality_classifier.stream(text)]
+        assert score == pytest.approx(1 / (1 + np.exp(-(np.mean(odds) + 0.2 if odds else 0.1))))
