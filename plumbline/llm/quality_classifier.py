@@ -17,7 +17,10 @@ repeat are scored alike. Labels other than 0 and 1, or of unknown rows, aren't u
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, eq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,6 +38,7 @@ SEED = 17
 STEP = 16
 THRESHOLD = 0.3
 _CACHED_WORDS = 500_000
+_TEXTS_AT_ONCE, _WORDS_AT_ONCE = 256, 50_000
 AGAIN = b"\0"
 
 
@@ -50,9 +54,43 @@ def subwords(word: bytes, buckets: int = BUCKETS) -> list[int]:
 def stream(text: bytes) -> list[bytes]:
     """The text's words; one that repeats the word before is AGAIN, so that stutter is alike in all words."""
     words = text.split()
+    if True not in map(eq, words, words[1:]):
+        return words
     return [AGAIN if w == before else w for before, w in zip([b"", *words], words)]
 
 
+def cells_at_once(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, ends): the subwords of each of some ASCII words in turn, and where each word's end; as `subwords` has them.
+
+    The CRC of an n-gram goes on from that of the n-1 characters before its last one, at all places at once.
+    """
+    marked = [b"<" + w + b">" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    letters = np.frombuffer(b"".join(marked), np.uint8)
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(letters))  # letters from here to the word's end
+    found = [np.fromiter(map(zlib.crc32, marked), np.uint32, len(marked)).astype(np.int64) % buckets + np.arange(len(marked)) * buckets]
+    crc = np.full(len(letters), 0xFFFFFFFF, np.uint32)
+    for k in range(max(SIZES)):
+        n = len(letters) - k
+        crc = _CRC[(crc[:n] ^ letters[k:]) & 0xFF] ^ (crc[:n] >> np.uint32(8))
+        if k + 1 in SIZES:
+            inside = left[:n] > k
+            found.append((~crc[inside]).astype(np.int64) % buckets + owner[:n][inside] * buckets)
+    both = np.unique(np.concatenate(found))
+    return both % buckets, np.searchsorted(both // buckets, np.arange(len(marked)), "right")
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+
+
 @dataclass
 class Model:
     """Vectors by cell, the two classes' weights, and the log odds of the prior."""
@@ -65,29 +103,44 @@ class Model:
     def __post_init__(self):
         self.shares: dict[bytes, float] = {}
         #: each cell's part in the difference of the two classes' outputs
-        self.cells = (self.vectors.astype(np.float64) @ (self.weights[1] - self.weights[0]).astype(np.float64)).tolist()
+        self.outputs = self.vectors.astype(np.float64) @ (self.weights[1] - self.weights[0]).astype(np.float64)
+        self.cells = self.outputs.tolist()
 
     def share(self, word: bytes) -> float:
         """The word's part in the difference of the two classes' outputs."""
         if word not in self.shares:
-            if len(self.shares) >= _CACHED_WORDS:
-                self.shares.clear()
             own = subwords(word, len(self.cells))
             self.shares[word] = sum(self.cells[c] for c in own) / len(own)
         return self.shares[word]
 
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Shares of new words, those of ASCII all at once."""
+        plain = []
+        for w in words:
+            if w.isascii():
+                plain.append(w)
+            else:
+                self.share(w)
+        for at in range(0, len(plain), _WORDS_AT_ONCE):
+            some = plain[at : at + _WORDS_AT_ONCE]
+            cells, ends = cells_at_once(some, len(self.cells))
+            starts = np.concatenate(([0], ends[:-1]))
+            self.shares.update(zip(some, (np.add.reduceat(self.outputs[cells], starts) / (ends - starts)).tolist()))
+
+    def scores(self, texts: list[bytes]) -> list[float]:
+        """The score of each text."""
+        out = []
+        for at in range(0, len(texts), _TEXTS_AT_ONCE):
+            split = list(map(stream, texts[at : at + _TEXTS_AT_ONCE]))
+            if len(self.shares) >= _CACHED_WORDS:
+                self.shares.clear()
+            self.learn(set().union(*split).difference(self.shares))
+            known = self.shares.__getitem__
+            out += [reduce(add, map(known, words)) / len(words) + self.shift if words else self.prior for words in split]
+        return (1.0 / (1.0 + np.exp(-np.clip(np.array(out, float), -60, 60)))).tolist()
+
     def score(self, text: bytes) -> float:
-        words = stream(text)
-        if words:
-            known = self.shares
-            total = 0.0
-            for w in words:
-                s = known.get(w)
-                total += self.share(w) if s is None else s
-            odds = total / len(words) + self.shift
-        else:
-            odds = self.prior
-        return float(1.0 / (1.0 + np.exp(-np.clip(odds, -60, 60))))
+        return self.scores([text])[0]
 
 
 def train(texts: list[bytes], labels: list[int], prior: float, buckets: int = BUCKETS, dimension: int = DIMENSION, epochs: int = EPOCHS, rate: float = RATE) -> Model:
@@ -150,12 +203,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", tex
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, folds: int = 5) -> DataFrame:
     """(key, held_out, score, predicted) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.weights, model.prior, model.shift))
-    local: list[Model] = []
 
     def run(batches):
-        own = local or [Model(*shared.value)]
+        own = Model(*shared.value)
         for b in batches:
-            yield {"k": b["k"], "score": [own[0].score(t) for t in b["t"]]}
+            yield {"k": b["k"], "score": own.scores(b["t"])}
 
     out = map_batches(docs.select(F.col(key).alias("k"), utf8(F.col(text)).alias("t")), run, "k bigint, score double")
     return out.select(
