@@ -441,6 +441,37 @@ def test_scores_follow_exact_counts_of_all_words(spark, vocabulary):
     assert max(errors) < 0.1 and np.mean(errors) < 0.04 and got[0].train_tokens == n
 
 
+def test_bigrams_leave_a_task_as_one_row_for_each_group(spark):
+    texts = [b"A b a b c", b"", b"c a b " * 50, b"b a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t binary").coalesce(1)
+    grams = Counter(g for t in texts for g in zip([None, *lm_scoring.tokens(t)], lm_scoring.tokens(t)))
+    code = lambda w: int(lm_scoring.hashes_of([w])[0])
+    codes = {int(lm_scoring.bigrams(np.array([code(p), code(w)] if p else [code(w)]), np.array([0]))[-1]): c for (p, w), c in grams.items()}
+    rows = lm_scoring.bigram_counts(df, 3).collect()
+    assert len(rows) == len({r["g"] for r in rows}) <= 3
+    got = {}
+    for r in rows:
+        part = np.frombuffer(r["code"], np.int64)
+        assert (lm_scoring.group_of(part, 3) == r["g"]).all()
+        got.update(zip(part.tolist(), np.frombuffer(r["n"], np.int64).tolist()))
+    assert got == codes
+
+
+def test_groups_of_the_filter_give_the_same_scores(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, 40), 10**6))) for i in range(200)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    one = sorted(lm_scoring.score(docs, vocabulary=20, bits_per_token=40.0).collect(), key=key)
+    monkeypatch.setattr(lm_scoring, "GROUP_GRAMS", 900)
+    monkeypatch.setattr(lm_scoring, "_WORDS_KEPT", 50)
+    for limit in (1 << 29, 3 << 16):
+        many = sorted(lm_scoring.score(docs, vocabulary=20, bits_per_token=40.0, broadcast_bytes=limit).collect(), key=key)
+        assert [key(r) for r in many] == [key(r) for r in one]
+        assert [(r.n_known, r.base_score) for r in many] == [(r.n_known, pytest.approx(r.base_score)) for r in one]
+        assert [r.score for r in many] == [pytest.approx(r.score, rel=1e-6) for r in one]
+
+
 # classifier
 
 
