@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -331,6 +332,80 @@ def test_neighbours_match_brute_force(spark, pivots):
         assert np.allclose(np.sort(part.dist), expected[i])
 
 
+def by_distance_and_id(rows, k):
+    """(id, neighbour, position) by brute force: NaN is the greatest distance, points of one id share their neighbours."""
+    usable = [(i, np.array(x, float)) for i, x in rows if i is not None and None not in x]
+    out = []
+    for i in {i for i, _ in usable}:
+        with np.errstate(all="ignore"):
+            met = [(float(np.sqrt(((x - y) ** 2).sum())), j) for own, x in usable if own == i for j, y in usable if j != i]
+        met.sort(key=lambda p: (math.isnan(p[0]), 0.0 if math.isnan(p[0]) else p[0], p[1]))
+        out += [(i, j, pos) for pos, (_, j) in enumerate(met[:k], 1)]
+    return sorted(out)
+
+
+def neighbour_rows(df):
+    return sorted((r["id"], r["nbr"], r["pos"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("pivots", [None, 1, 7, 40])
+def test_equal_distances_go_by_id(spark, pivots):
+    rows = [((i * 37) % 200, [float(i % 20), float(i // 20)]) for i in range(200)]  # a lattice
+    df = frame(spark, rows, "id long, x array<double>")
+    assert neighbour_rows(resample.exact_neighbours(df, 5, pivots)) == by_distance_and_id(rows, 5)
+
+
+@pytest.mark.parametrize("pivots", [None, 4, 30])
+def test_neighbours_of_odd_points(spark, pivots):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 1, 2).round(2).tolist()) for i in range(90)]
+    rows += [(100, [math.nan, 0.0]), (101, [0.1, math.nan]), (102, [math.inf, 0.0]), (103, [-math.inf, 0.0]), (104, [1e200, 1e200])]
+    rows += [(None, [0.0, 0.0]), (None, [0.1, 0.1]), (105, [None, 0.0]), (106, [None, None])]
+    df = frame(spark, rows, "id long, x array<double>")
+    assert neighbour_rows(resample.exact_neighbours(df, 4, pivots)) == by_distance_and_id(rows, 4)
+
+
+def test_neighbours_of_few_points_and_of_none(spark):
+    rows = [(1, [0.0]), (2, [1.0]), (3, [5.0])]
+    df = frame(spark, rows, "id long, x array<double>")
+    for pivots in (None, 3):
+        assert neighbour_rows(resample.exact_neighbours(df, 5, pivots)) == by_distance_and_id(rows, 5)
+    assert resample.exact_neighbours(df.where("id > 9"), 5).count() == 0
+
+
+def test_points_that_share_an_id_share_their_neighbours(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i // 2 if i < 60 else i, rng.normal(0, 1, 2).tolist()) for i in range(150)]
+    df = frame(spark, rows, "id long, x array<double>")
+    assert neighbour_rows(resample.exact_neighbours(df, 3, 5)) == by_distance_and_id(rows, 3)
+
+
+def test_carried_columns_are_those_of_the_neighbours(spark):
+    rng = np.random.default_rng(9)
+    points = {i: rng.normal(0, 1, 2).tolist() for i in range(120)}
+    df = frame(spark, [(i, x, f"n{i}") for i, x in points.items()], "id long, x array<double>, name string")
+    plain = {}
+    for r in resample.exact_neighbours(df.select("id", "x"), 3, 6).orderBy("id", "pos").collect():
+        plain.setdefault(r["id"], []).append((r["nbr"], r["dist"]))
+    lists = resample.exact_neighbours(df, 3, 6, carry=["name", "x"]).collect()
+    assert len(lists) == len(points)
+    for r in lists:
+        assert [*zip(r["nbr"], r["dist"])] == plain[r["id"]]
+        assert r["nbr_name"] == [f"n{j}" for j in r["nbr"]] and r["nbr_x"] == [points[j] for j in r["nbr"]]
+
+
+def test_neighbours_of_many_points(spark):
+    rng = np.random.default_rng(10)
+    x = np.vstack([rng.random((60_000, 2)) * [1e5, 1e6], rng.normal(2e5, 1, (20_000, 2))])
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "a": x[:, 0], "b": x[:, 1]})).select("id", F.array("a", "b").alias("x"))
+    started = time.time()
+    got = resample.exact_neighbours(df, 5).where("pos = 5").toPandas().set_index("id")["dist"]
+    assert time.time() - started < 60  # each point meets a few hundred others, not hundreds of thousands
+    assert len(got) == len(x)
+    for i in range(0, len(x), 400):
+        assert got[i] == np.partition(np.sqrt(((x - x[i]) ** 2).sum(axis=1)), 5)[5]
+
+
 def test_smote_fails_with_too_few_neighbours(spark):
     df = frame(spark, [(i, int(i < 2), float(i), 1.0) for i in range(20)], "row_id long, y int, a double, b double")
     with pytest.raises(Exception, match="fewer than 5 minority neighbours"):
